@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import buffers, span_hashes, windows, words
+from .textkernel import buffers, slices, span_hashes, windows, words
 
 #: n-gram length -> largest share of word characters inside duplicated n-grams.
 COVERAGE = {5: 0.30, 6: 0.28, 8: 0.25, 10: 0.22}
@@ -118,7 +118,7 @@ def quality(docs: DataFrame, text_col: str = "text", coverage: dict[int, float]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, whole.num_columns - 1)):
             got = measure(b.column(b.num_columns - 1), coverage, line_limit, symbol_limit)
             cols = [pa.array(v, t) for v, t in zip(got.values(), types)]
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*kept, *names])
