@@ -20,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .textkernel import slices
+
 #: Pre-token pattern of byte-level files whose pre-tokenizer uses its own.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered by a process; two generations of so many at most.
@@ -266,8 +268,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
         file = bpe_file(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in slices(whole, 1):
                 n, one, two, raws = [], [], [], []
                 for raw, said in encoded_texts(file, path, b.column(1).to_pylist()):
                     n.append(len(raw) // 4)

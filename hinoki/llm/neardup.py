@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .scratch import Scratch
-from .textkernel import shingle_sets
+from .textkernel import shingle_sets, slices
 
 #: Retained values of a sketch.
 K = 32
@@ -55,7 +55,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import hashlib
 
-        for b in batches:
+        for b in (s for whole in batches for s in slices(whole, 1)):
             n, ids, low = [], [], []
             for s in shingle_sets(b.column(1), words):
                 n.append(len(s))
@@ -73,8 +73,7 @@ def _verified(pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 256):
-                part = b.slice(at, 256)
+            for part in slices(b, 2):
                 hit = []
                 for x, y in zip(shingle_sets(part.column(2), words), shingle_sets(part.column(3), words)):
                     both = np.sort(np.concatenate((x, y)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BpeFile, bpe_file, memo, process_cache
+from .textkernel import slices
 
 
 def whole_tokens(file: BpeFile) -> dict[str, int]:
@@ -68,8 +69,7 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
 
         file = bpe_file(path)
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in slices(whole, 1):
                 size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
                 n = pa.array(count_texts(file, path, b.column(1).to_pylist()), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe import BpeFile, bpe_file, int_lists, memo
+from .textkernel import slices
 
 STRIDE = 1000
 STRIPE_BYTES = 32 << 20
@@ -58,8 +59,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
         file, part, pos = bpe_file(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for at in range(0, whole.num_rows, 512):
-                b = whole.slice(at, 512)
+            for b in slices(whole, 1):
                 ids = int_lists(library_ids(file, tokenizer, b.column(1).to_pylist(), end_id))
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids], names=["doc_id", "part", "pos", "ids"])
