@@ -13,6 +13,7 @@ import re
 import struct
 import sys
 import types
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -29,7 +30,11 @@ MEMO = 250_000
 #: Texts with other characters go through the library's own normalizer and
 #: pre-tokenizer, as character classes differ between versions of Unicode. The ranges
 #: have been stable for long; U+001C to U+001F and U+0085 are left out on purpose.
-_UNUSUAL = re.compile("[^\x00-\x1b\x20-\x84\x86-ɏΑ-ΡΣ-ωА-я‐-‧‰-⁞ぁ-ゖァ-ヺ一-龥]")
+_LATIN_RANGE = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e"
+_NOT_LATIN = re.compile(f"[^{_LATIN_RANGE}]")
+_UNUSUAL = re.compile(f"[^{_LATIN_RANGE}\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
+#: What the classes of the files' patterns are within the Latin range.
+_LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 
 
 def process_cache() -> types.SimpleNamespace:
@@ -84,9 +89,11 @@ class BpeFile:
         pre = spec["pre_tokenizer"]
         steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
-        # Unicode's White_Space, which \s is in the file's own dialect.
-        white = r"\t-\r \x85\xa0  -     　"
-        self.pattern = regex.compile((split or BYTE_LEVEL).replace(r"[^\s", f"[^{white}").replace(r"\s", f"[{white}]").replace(r"\S", f"[^{white}]"))
+        self.pattern = regex.compile(split or BYTE_LEVEL)
+        latin = (split or BYTE_LEVEL).replace(r"[^\s\p{L}\p{N}]", f"[^{_WHITE}{_LETTERS}{_NUMBERS}]")
+        for name, chars in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS)):
+            latin = latin.replace(f"[{name}]", name).replace(name, f"[{chars}]")
+        self.latin = re.compile(latin.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
         self.folds = spec["normalizer"] is not None
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         # For the library's normalizer and pre-tokenizer only; padding and truncation stay unused.
@@ -97,14 +104,20 @@ class BpeFile:
     # -- text to words ------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens, as plain strings."""
-        if text.isascii() and "\x1c" not in text and "\x1d" not in text and "\x1e" not in text and "\x1f" not in text or not _UNUSUAL.search(text):
+        pattern = None
+        if not _NOT_LATIN.search(text):
+            pattern = self.latin
+        elif not _UNUSUAL.search(text):
+            pattern = self.pattern
+        if pattern is not None:
             if self.folds:
                 if not text.isascii():
-                    import unicodedata
-
                     text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-                text = text.lower()
-            return self.pattern.findall(text)
+                    pattern = self.pattern if _NOT_LATIN.search(low := text.lower()) else pattern
+                    text = low
+                else:
+                    text = text.lower()
+            return pattern.findall(text)
         lib = self.library
         if lib.normalizer is not None:
             text = lib.normalizer.normalize_str(text)
@@ -196,43 +209,42 @@ def bpe_file(path: str) -> BpeFile:
     return files[path]
 
 
-class Memo:
-    """word -> value, bounded: the older of two generations goes when the newer is full."""
+class Memo(dict):
+    """word -> value, made on demand and bounded.
 
-    def __init__(self, make: Callable[[list[str]], list], limit: int = MEMO):
-        self.make, self.limit, self.now, self.old = make, limit, {}, {}
+    When it is full it becomes the older generation, which goes at the next turn.
+    ``seed`` holds values that stay.
+    """
 
-    def ready(self, words: set[str]) -> dict:
-        """A dict that holds at least ``words``."""
-        if len(self.now) >= self.limit:
-            self.old, self.now = self.now, {}
-        now, old = self.now, self.old
-        todo = []
-        for w in words.difference(now):
-            v = old.get(w)
-            if v is None:
-                todo.append(w)
-            else:
-                now[w] = v
-        if todo:
-            now.update(zip(todo, self.make(todo)))
-        return now
+    def __init__(self, make: Callable[[str], object], limit: int = MEMO, seed: dict | None = None):
+        super().__init__(seed or {})
+        self.make, self.seed, self.limit, self.old = make, seed or {}, limit + len(seed or {}), {}
 
+    def __missing__(self, word: str):
+        value = self.old.get(word)
+        if value is None:
+            value = self.make(word)
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+            self.update(self.seed)
+        self[word] = value
+        return value
 
-def memo(path: str, kind: str, make: Callable[[list[str]], list]) -> Memo:
+
+def memo(path: str, kind: str, make: Callable[[str], object], seed: Callable[[], dict] | None = None) -> Memo:
     files = process_cache().files
-    return files.setdefault((kind, path), Memo(make))
+    if (kind, path) not in files:
+        files[kind, path] = Memo(make, seed=seed() if seed else None)
+    return files[kind, path]
 
 
 def encoded_texts(file: BpeFile, path: str, texts: list[str | None]) -> Iterator[tuple[bytes, str]]:
     """(ids as little-endian unsigned 32-bit integers, decoded text) of each text."""
 
-    def make(words: list[str]) -> list[tuple[bytes, str]]:
-        out = []
-        for w in words:
-            ids = file.encode_word(w)
-            out.append((struct.pack(f"<{len(ids)}I", *ids), " ".join(map(file.strings.__getitem__, ids))))
-        return out
+    def make(word: str) -> tuple[bytes, str]:
+        ids = file.encode_word(word)
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(file.strings.__getitem__, ids))
 
     words = memo(path, "words", make)
     spaced = not file.byte_decoder
@@ -243,9 +255,7 @@ def encoded_texts(file: BpeFile, path: str, texts: list[str | None]) -> Iterator
                 raw.append(struct.pack("<I", file.added[run]))
                 said.append(run)
                 continue
-            ws = file.pieces(run)
-            known = words.ready(set(ws))
-            pairs = [known[w] for w in ws]
+            pairs = list(map(words.__getitem__, file.pieces(run)))
             raw += [p[0] for p in pairs]
             if spaced:
                 said += [p[1] for p in pairs if p[0]]

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import BpeFile, bpe_file, memo, process_cache
+from .bpe import BpeFile, bpe_file, memo
 from .textkernel import slices
 
 
@@ -34,23 +34,11 @@ def whole_tokens(file: BpeFile) -> dict[str, int]:
 
 
 def count_texts(file: BpeFile, path: str, texts: list[str | None]) -> Iterator[int]:
-    files = process_cache().files
-    if ("whole", path) not in files:
-        files["whole", path] = whole_tokens(file)
-    whole = files["whole", path]
-    rest = memo(path, "counts", lambda words: [len(file.encode_word(w)) for w in words])
+    counts = memo(path, "counts", lambda word: len(file.encode_word(word)), seed=lambda: whole_tokens(file))
     for text in texts:
         n = 0
         for special, run in file.parts(text or ""):
-            if special:
-                n += 1
-                continue
-            ws = file.pieces(run)
-            other = [w for w in ws if w not in whole]
-            n += len(ws) - len(other)
-            if other:
-                known = rest.ready(set(other))
-                n += sum(map(known.__getitem__, other))
+            n += 1 if special else sum(map(counts.__getitem__, file.pieces(run)))
         yield n
 
 

@@ -7,7 +7,9 @@ readers take stripes in parallel and skip what the metadata rules out.
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
@@ -19,36 +21,37 @@ from .textkernel import slices
 
 STRIDE = 1000
 STRIPE_BYTES = 32 << 20
-SCHEMA = "doc_id long, part int, pos long, ids array<int>"
+SCHEMA = "doc_id long, part int, pos long, n_tokens int, ids array<int>"
 
 
 def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int) -> list[bytes]:
     """Packed ids of whole texts from the library, ``end_id`` appended to each.
 
-    The library encodes each distinct pre-token once; texts with special strings are
-    encoded by it in one piece.
+    The library's model encodes a pre-token when it is first met; texts with special
+    strings are encoded by the library in one piece.
     """
 
-    def make(words: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in file.library.encode_batch_fast(words, add_special_tokens=False)]
+    tokenize, chars, at = file.library.model.tokenize, dict(enumerate(file.chars)), attrgetter("id")
 
-    words, end = memo(path, "library", make), np.array([end_id], np.uint32).tobytes()
-    split = [None if t and file.added_split is not None and file.added_split.search(t) else file.pieces(t or "") for t in texts]
-    known = words.ready({w for ws in split if ws for w in ws})
-    out = []
-    for t, ws in zip(texts, split):
-        if ws is None:
-            out.append(np.array(file.library.encode(t, add_special_tokens=False).ids, np.uint32).tobytes() + end)
+    def make(word: str) -> bytes:
+        ids = list(map(at, tokenize(word.encode("utf-8", "surrogateescape").decode("latin-1").translate(chars))))
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    words, end, out = memo(path, "library", make), struct.pack("<I", end_id), []
+    for t in texts:
+        if t and file.added_split is not None and file.added_split.search(t):
+            ids = file.library.encode(t, add_special_tokens=False).ids
+            out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
         else:
-            out.append(b"".join(map(known.__getitem__, ws)) + end)
+            out.append(b"".join(map(words.__getitem__, file.pieces(t or ""))) + end)
     return out
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row and write it to ``path``.
 
-    Columns: doc_id, part (rank of the file among the files), pos (row within it) and
-    ids. Null texts are empty documents with the end id alone. Rows with a null id come
+    Columns: doc_id, part (rank of the file among the files), pos (row within it),
+    n_tokens and ids. Null texts are empty documents with the end id alone. Rows with a null id come
     first, rows that repeat an id follow each other by text. Other columns are left out.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
@@ -62,7 +65,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
             for b in slices(whole, 1):
                 ids = int_lists(library_ids(file, tokenizer, b.column(1).to_pylist(), end_id))
                 n = b.num_rows
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids], names=["doc_id", "part", "pos", "ids"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids.value_lengths(), ids], names=["doc_id", "part", "pos", "n_tokens", "ids"])
                 pos += n
 
     options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
@@ -87,7 +90,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
         from zlib import crc32
 
         for b in batches:
-            ids = b.column(3)
+            ids = b.column(4)
             offs = np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, ids.offset * 4)
             flat = np.ascontiguousarray(ids.values.to_numpy(zero_copy_only=False)).view(np.uint8)
             crc = [crc32(flat[4 * x : 4 * y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
@@ -96,7 +99,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     rows = read_tokens(spark, path).mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
-    files = read_tokens(spark, path).groupBy("part").agg(F.sum(F.size("ids")).alias("n"))
+    files = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     shift = files.select(F.col("part").alias("__part"), F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__before"))
     out = rows.join(F.broadcast(shift), F.col("part") == F.col("__part"))
