@@ -60,19 +60,22 @@ def signature(points: np.ndarray, k: int = KMER, sketches: int = SKETCHES, keep:
         return out
     # The smallest few of m evenly spread values lie below this bound but for bad luck.
     bound = U64(int((keep + 24) / m * 2.0**63) * 2) if m > 4 * (keep + 24) else None
+    chosen = np.empty((sketches, min(keep, m)), np.int64)
+    everything = np.arange(m) if bound is None else None
     with np.errstate(over="ignore"):
         for j in range(sketches):
             v = h * _MULTIPLIERS[j]
             v ^= v >> U64(32)
-            at = np.flatnonzero(v < bound) if bound is not None else np.arange(m)
-            if len(at) < min(keep, m):
+            at = everything if bound is None else np.flatnonzero(v < bound)
+            if len(at) < keep < m:
                 at = np.arange(m)
             if len(at) > keep:
-                at = np.sort(at[np.lexsort((at, v[at]))[:keep]])
-            t = U64(j + 1)
-            for x in h[at]:
-                t = mix(np.array([t * U64(_ROLL) + x], U64))[0]
-            out[j] = np.uint32((t >> U64(32)) & U64(0xFFFFFFFF))
+                at = np.sort(at[np.argsort(v[at], kind="stable")[:keep]])
+            chosen[j] = at
+        t = np.arange(1, sketches + 1, dtype=U64)
+        for c in range(chosen.shape[1]):
+            t = mix(t * U64(_ROLL) + h[chosen[:, c]])
+        out[:] = t >> U64(32)
     return out
 
 

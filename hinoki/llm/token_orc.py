@@ -34,7 +34,8 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
     tokenize, chars, at = file.library.model.tokenize, dict(enumerate(file.chars)), attrgetter("id")
 
     def make(word: str) -> bytes:
-        ids = list(map(at, tokenize(word.encode("utf-8", "surrogateescape").decode("latin-1").translate(chars))))
+        raw = word if word.isascii() else word.encode("utf-8", "surrogateescape").decode("latin-1")
+        ids = list(map(at, tokenize(raw.translate(chars))))
         return struct.pack(f"<{len(ids)}I", *ids)
 
     words, end, out = memo(path, "library", make), struct.pack("<I", end_id), []
@@ -68,7 +69,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids.value_lengths(), ids], names=["doc_id", "part", "pos", "n_tokens", "ids"])
                 pos += n
 
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
+    options = {"compression": "snappy", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
     dealt.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
 
 
