@@ -11,8 +11,6 @@ import heapq
 import json
 import re
 import struct
-import sys
-import types
 import unicodedata
 from collections.abc import Callable, Iterator
 
@@ -21,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .process import process_cache
 from .textkernel import slices
 
 #: Pre-token pattern of byte-level files whose pre-tokenizer uses its own.
@@ -37,11 +36,6 @@ _UNUSUAL = re.compile(f"[^{_LATIN_RANGE}\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\
 _LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 
 
-def process_cache() -> types.SimpleNamespace:
-    """Things worth keeping between the tasks of one worker process."""
-    return sys.modules.setdefault("_hinoki_process_cache", types.SimpleNamespace(files={}))
-
-
 def byte_chars() -> list[str]:
     """The printable character that stands for each byte in byte-level vocabularies."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]

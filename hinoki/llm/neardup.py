@@ -4,7 +4,7 @@ One hash function ranks the word shingles of a text; its ``k`` smallest values a
 the sketch. Inverted lists of retained values generate overlaps, the sketch of the
 union estimates the similarity and filters, and the exact Jaccard similarity of the
 full sets verifies. Two sets with similarity 3/4 miss each other in every list with
-probability 4**-k at most, about 5e-20 for k = 32.
+probability 4**-k at most, about 3e-39 for k = 64.
 
 No list is ever expanded into all of its pairs while that can grow with its square:
 
@@ -13,9 +13,12 @@ No list is ever expanded into all of its pairs while that can grow with its squa
 3. in lists of up to ``short`` nodes, remaining pairs in different components are compared;
 4. longer lists are needed only by nodes whose sketch lies mostly in long lists (a
    linked pair shares at least 3/4 of either set, so a node with enough values in
-   short lists meets all its partners there, see ``SATURATED``). Among those, every
-   member outside the list's largest component is compared with all members of other
-   components, in rounds of bounded size until none is left.
+   short lists meets all its partners there, see ``SATURATED``). Of those, the full
+   sets tell how many values u of a node no other has: a pair shares n - u at most and
+   its union has u more than the other set at least. Nodes and members that this
+   bound rules out leave; the rest are compared with the list's member of least u,
+   and then, in rounds of bounded size until none is left, every member outside the
+   list's largest component with all members of other components.
 
 Pairs are verified best first and dropped once their ends are connected, as a link
 inside a component changes nothing.
@@ -35,16 +38,16 @@ from .scratch import Scratch
 from .textkernel import shingle_sets, slices
 
 #: Retained values of a sketch.
-K = 32
+K = 64
 #: Longest inverted list whose pairs are compared directly.
 SHORT = 64
 #: A node is compared in long lists if more than this share of its sketch lies in
-#: them. Below it, at least 20 of 32 values are in short lists, and all of them would
-#: have to be among the quarter that a partner may lack: probability under 1e-6.
-SATURATED = 0.375
+#: them. Below it, at least 34 of 64 values are in short lists, and all of them would
+#: have to be among the quarter that a partner may lack: probability about 1e-6.
+SATURATED = 0.47
 #: A pair goes on to verification if this share of the union's sketch is in both.
-#: At similarity 3/4 a sample of 32 falls below it with probability under 1e-7.
-PROMISING = 0.31
+#: At similarity 3/4 a sample of 64 falls below it with probability about 1e-6.
+PROMISING = 0.47
 #: Largest table of ids, in rows, that is broadcast; beyond it the join shuffles.
 BROADCAST_ROWS = 2_000_000
 
@@ -85,6 +88,17 @@ def _verified(pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
     return pairs.mapInArrow(run, "a long, b long")
 
 
+def _full_sets(texts: DataFrame, words: int) -> DataFrame:
+    """(a, v): every value of the full set of each (doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (s for whole in batches for s in slices(whole, 1)):
+            for i, s in enumerate(shingle_sets(b.column(1), words)):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column(0)[i].as_py())), pa.array(s.view(np.int64))], names=["a", "v"])
+
+    return texts.mapInArrow(run, "a long, v long")
+
+
 class _Search:
     """The state of one search: nodes, their components so far, pairs still open."""
 
@@ -115,20 +129,22 @@ class _Search:
         out = out.select("a", "b", union.alias("u"), F.array_intersect("s_a", "s_b").alias("i"))
         return out.select("a", "b", (F.size(F.array_intersect("u", "i")) / F.size("u")).alias("est")).filter(F.col("est") >= PROMISING)
 
+    def texts(self, ids: DataFrame) -> DataFrame:
+        """(doc_id, text) of the distinct ids."""
+        ids = self.scratch.table(ids, "ids")
+        return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+
     def verify(self, pairs: DataFrame) -> None:
-        ids = self.scratch.table(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), "ids")
-        few = ids.count() <= BROADCAST_ROWS
-        texts = self.docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
+        texts = self.texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
         side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
         both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
         links = self.scratch.table(_verified(both, self.words, self.num, self.den), "links")
         self.merge(links)
-        self.scratch.drop(ids)
 
     def resolve(self, pairs: DataFrame, limit: int) -> None:
         """Verify (a, b, est) best first until every pair is tested or connected."""
         pending = self.scratch.table(pairs, "pairs")
-        while True:
+        while not pending.isEmpty():
             if self.labels is not None:
                 apart = self.label(self.label(pending, "a", "la"), "b", "lb").filter("la <> lb")
                 new = self.scratch.table(apart.select("a", "b", "est"), "pairs")
@@ -178,30 +194,51 @@ class _Search:
         pairs = at.join(other, "v").filter("a > b and l <> m").select("a", "b").distinct()
         self.resolve(self.promising(pairs, nodes), limit)
 
+    def within_reach(self, members: DataFrame) -> DataFrame:
+        """Of (v, a, n, u) those that the bound lets have a partner in another component of the list."""
+        at = self.label(members, "a", "l")
+        least = at.groupBy("v", "l").agg(F.min("u").alias("u"))
+        one = least.groupBy("v").agg(F.min(F.struct("u", "l")).alias("one"))
+        two = least.join(one, "v").filter("l <> one.l").groupBy("v").agg(F.min("u").alias("two"), F.first("one").alias("one"))
+        other = F.when(F.col("l") == F.col("one.l"), F.col("two")).otherwise(F.col("one.u"))
+        return at.join(two, "v").filter(self.den * (F.col("n") - F.col("u")) >= self.num * (F.col("n") + other)).select("v", "a", "n", "u", "l")
+
     def long_lists(self, entries: DataFrame, nodes: DataFrame, limit: int) -> None:
+        scratch = self.scratch
         long = entries.filter(F.col("c") > self.short)
-        full = long.groupBy("a").agg(F.count("*").alias("hot")).join(nodes.select(F.col("node").alias("a"), F.size("sketch").alias("k")), "a").filter(F.col("hot") > SATURATED * F.col("k")).select("a")
-        mine = self.scratch.table(long.join(full, "a", "left_semi").select("v", "a"), "saturated")
-        total, done = mine.count(), None
+        full = long.groupBy("a").agg(F.count("*").alias("hot")).join(nodes.select(F.col("node").alias("a"), F.size("sketch").alias("k")), "a").filter(F.col("hot") > SATURATED * F.col("k")).select(F.col("a").alias("doc_id"))
+        sets = scratch.table(_full_sets(self.texts(full), self.words), "sets")
+        for _ in range(2):
+            common = sets.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
+            stats = sets.groupBy("a").agg(F.count("*").alias("n")).join(sets.join(common, "v").groupBy("a").agg(F.count("*").alias("s")), "a").select("a", "n", (F.col("n") - F.col("s")).alias("u"))
+            stats = scratch.table(stats.filter(self.den * F.col("u") <= (self.den - self.num) * F.col("n")), "stats")
+            # Values of nodes that left are nobody's partner any more.
+            sets = scratch.table(sets.join(stats.select("a"), "a", "left_semi"), "sets")
+        mine = scratch.table(self.within_reach(long.select("v", "a").join(stats, "a")).drop("l"), "saturated")
+        total, tested, done, first = mine.count(), None, None, True
         while total:
-            at = self.scratch.table(self.open_lists(mine), "long")
-            groups = at.groupBy("v", "l").agg(F.count("*").alias("c"))
-            top = groups.groupBy("v").agg(F.max(F.struct("c", "l")).alias("top"), F.sum("c").alias("all"))
-            small = at.join(top, "v").filter("l <> top.l").select("v", F.col("a").alias("b"), F.col("l").alias("m"), "all")
-            if done is not None:
-                small = small.join(done, ["v", "b"], "left_anti")
-            small = self.scratch.table(small, "pivots")
-            cost = small.agg(F.sum("all")).first()[0] or 0
-            if not cost:
-                return
-            share = min(1.0, 32.0 * total / cost)
-            if share < 1:
-                small = small.filter(F.pmod(F.xxhash64("b"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1) if done is None else small.filter(F.rand(7) < share)
-                small = self.scratch.table(small, "pivots")
-            pairs = at.join(small, "v").filter("l <> m").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            at = scratch.table(self.within_reach(mine), "long")
+            if first:
+                pivots = at.groupBy("v").agg(F.min(F.struct("u", "a", "n", "l")).alias("p")).select("v", F.col("p.a").alias("b"), F.col("p.l").alias("m"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2"))
+            else:
+                top = at.groupBy("v", "l").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "l")).alias("top"), F.sum("c").alias("all"))
+                pivots = at.join(top, "v").filter("l <> top.l").select("v", F.col("a").alias("b"), F.col("l").alias("m"), F.col("n").alias("n2"), F.col("u").alias("u2"), "all")
+                if done is not None:
+                    pivots = pivots.join(done, ["v", "b"], "left_anti")
+                pivots = scratch.table(pivots, "pivots")
+                cost = pivots.agg(F.sum("all")).first()[0] or 0
+                if not cost:
+                    return
+                share = min(1.0, 32.0 * total / cost)
+                pivots = scratch.table(pivots.filter(F.rand(7) < share), "pivots") if share < 1 else pivots
+                done = pivots.select("v", "b") if done is None else scratch.table(done.union(pivots.select("v", "b")), "done")
+            near = (self.den * F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) >= self.num * F.greatest(F.col("n") + F.col("u2"), F.col("n2") + F.col("u"))) & (F.col("l") != F.col("m"))
+            pairs = at.join(pivots, "v").filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+            if tested is not None:
+                pairs = pairs.join(tested, ["a", "b"], "left_anti")
+            pairs = scratch.table(pairs, "tested")
             self.resolve(self.promising(pairs, nodes), limit)
-            tested = small.select("v", "b")
-            done = self.scratch.table(tested if done is None else done.union(tested), "done")
+            tested, first = pairs if tested is None else tested.union(pairs), False
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (3, 4), k: int = K, short: int = SHORT) -> DataFrame:

@@ -12,9 +12,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .process import process_cache
+
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
-_BLOCK = 1 << 21
+_BLOCK = 1 << 20
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _NONSPACE = ~_SPACE
@@ -37,26 +39,19 @@ _BYTE_LOWER[65:91] = _BYTE[97:123]
 _STEP = mix(np.arange(101, 133, dtype=U64)) | U64(1)
 
 
-class _Powers:
-    """Powers of the base and of its inverse, grown to the longest block seen."""
-
-    def __init__(self):
-        self.n = 0
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if n > self.n:
-            self.n = max(n, 1 << 16)
-            self.pow, self.inv = (self._table(b) for b in (_BASE, pow(_BASE, -1, 1 << 64)))
-        return self.pow[:n], self.inv[:n]
-
-    def _table(self, base: int) -> np.ndarray:
-        t = np.full(self.n, U64(base))
-        t[0] = 1
-        with np.errstate(over="ignore"):
-            return np.multiply.accumulate(t)
-
-
-_powers = _Powers()
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse; the process keeps the longest table."""
+    files = process_cache().files
+    have = files.get("powers")
+    if have is None or n > len(have[0]):
+        tables = []
+        for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+            t = np.full(max(n, 1 << 16), U64(base))
+            t[0] = 1
+            with np.errstate(over="ignore"):
+                tables.append(np.multiply.accumulate(t))
+        files["powers"] = have = tuple(tables)
+    return have[0][:n], have[1][:n]
 
 
 def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -112,7 +107,7 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
         while i < len(start):
             j = max(i + 1, int(np.searchsorted(end, start[i] + _BLOCK, "right")))
             a, b = int(start[i]), int(end[j - 1])
-            power, inverse = _powers.upto(b - a + 1)
+            power, inverse = _powers(b - a + 1)
             sums = np.zeros(b - a + 1, U64)
             np.cumsum(table[data[a:b]] * power[: b - a], out=sums[1:])
             s, e = start[i:j] - a, end[i:j] - a
