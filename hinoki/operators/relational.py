@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.charclass import BITS, GROUPING, mask_column
+from ..functions.charclass import GROUPING, mask_column
 from ..plans.dictionary import INHIBITED
 
 
@@ -26,15 +26,15 @@ def begins(masks: Column) -> Column:
 
 
 def mask_array(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), mask_column)
+    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: mask_column(c))
 
 
 def positions(texts: DataFrame, key: str) -> DataFrame:
     """(key, text, n, at, next): word beginnings and where the next one, or the end, is."""
     src = texts.filter(F.length("text") > 0).select(key, "text", F.length("text").alias("n"), mask_array(F.col("text")).alias("masks"))
     src = src.select(key, "text", "n", "masks", begins(F.col("masks")).alias("b"))
-    out = src.select(key, "text", "n", "masks", "b", F.posexplode("b").alias("k", "at"))
-    return out.select(key, "text", "n", "at", F.coalesce(F.get("b", F.col("k") + 1), F.col("n")).alias("next"), F.get("masks", F.col("at")).alias("mask"))
+    out = src.select(key, "text", "n", "masks", "b", F.posexplode("b").alias("__i", "at"))
+    return out.select(key, "text", "n", "at", F.coalesce(F.get("b", F.col("__i") + 1), F.col("n")).alias("next"), F.get("masks", F.col("at")).alias("mask"))
 
 
 def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
@@ -51,8 +51,12 @@ def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) ->
 
 
 def simple_oov(texts: DataFrame, nodes: DataFrame, key: str, cost: int, pos_id: int) -> DataFrame:
-    """One node up to the next word beginning wherever the lexicon has none."""
-    pos = positions(texts, key).filter(F.col("mask").bitwiseAND(F.lit(BITS["NOOOVBOW"])) == 0)
+    """One node up to the next word beginning wherever the lexicon has none.
+
+    As the only provider it is the fallback too, so it also serves characters that
+    don't begin unknown words otherwise.
+    """
+    pos = positions(texts, key)
     bare = pos.join(nodes.select(key, "at").distinct(), [key, "at"], "left_anti")
     return bare.select(key, "at", F.col("next").alias("end"), F.substring("text", F.col("at") + 1, F.col("next") - F.col("at")).alias("surface"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"), F.lit(cost).alias("cost"), F.lit(-1).alias("dict_id"), F.lit(-1).alias("word_id"), F.lit(pos_id).alias("pos_id"))
 

@@ -30,7 +30,7 @@ def unescape(c: Column) -> Column:
     r"""``\uXXXX`` and ``\u{X...}`` literals become their characters."""
     code = F.regexp_extract_all(c, F.lit(r"\\u(?:\{([0-9a-fA-F]+)\}|([0-9a-fA-F]{4}))"), F.lit(0))
     hexes = F.transform(code, lambda x: F.regexp_replace(x, r"[\\u{}]", ""))
-    char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32BE")
+    char = lambda h: F.decode(F.unhex(F.lpad(h, 8, "0")), "UTF-32")
     return F.when(c.contains("\\u"), F.aggregate(F.arrays_zip(code.alias("k"), hexes.alias("h")), c, lambda acc, x: F.replace(acc, x["k"], char(x["h"])))).otherwise(c)
 
 
