@@ -25,7 +25,7 @@ from .textkernel import slices
 #: Pre-token pattern of byte-level files whose pre-tokenizer uses its own.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: Words remembered by a process; two generations of so many at most.
-MEMO = 400_000
+MEMO = 250_000
 #: Texts with other characters go through the library's own normalizer and
 #: pre-tokenizer, as character classes differ between versions of Unicode. The ranges
 #: have been stable for long; U+001C to U+001F and U+0085 are left out on purpose.
