@@ -108,10 +108,15 @@ def can_begin(masks: list[int]) -> list[bool]:
 def mask_column(ch: Column, cats: Categories | None = None) -> Column:
     """Category mask of a one-character string."""
     cp = F.ascii(ch)
-    out = F.lit(BITS["DEFAULT"])
-    for a, b, m in reversed((cats or Categories()).segments()):
-        if m != BITS["DEFAULT"]:
-            out = F.when(cp.between(a, b), F.lit(m)).otherwise(out)
+    named = [x for x in (cats or Categories()).segments() if x[2] != BITS["DEFAULT"]]
+    if not named:
+        return F.lit(BITS["DEFAULT"]).cast("long")
+    # One flat CASE; the commonest segment, the small Latin letters, comes first.
+    named.sort(key=lambda x: (not x[0] <= 0x61 <= x[1], x[0]))
+    out = F.when(cp.between(*named[0][:2]), F.lit(named[0][2]))
+    for low, high, m in named[1:]:
+        out = out.when(cp.between(low, high), F.lit(m))
+    out = out.otherwise(F.lit(BITS["DEFAULT"]))
     return out.cast("long")
 
 

@@ -19,10 +19,16 @@ def characters(texts: DataFrame, key: str) -> DataFrame:
     return out.withColumn("mask", mask_column(F.col("ch")))
 
 
-def begins(masks: Column) -> Column:
-    """Array of offsets where a word can begin."""
-    grouped = lambda i: (masks[i].bitwiseAND(F.lit(GROUPING)) != 0) & (masks[i].bitwiseAND(masks[i - 1]) != 0)
-    return F.filter(F.sequence(F.lit(0), F.size(masks) - 1), lambda i: (i == 0) | ~F.when(i > 0, grouped(i)).otherwise(False))
+def count_starts(masks: Column, grouping: int) -> Column:
+    """Positions that start anew: the first, and those that share no category with the one
+    before or have none of ``grouping``. One fold over the masks."""
+
+    def step(acc: Column, m: Column) -> Column:
+        new = (m.bitwiseAND(F.lit(grouping)) == 0) | (m.bitwiseAND(acc["last"]) == 0)
+        return F.struct(m.alias("last"), (acc["n"] + F.when(new, 1).otherwise(0)).alias("n"))
+
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("int").alias("n"))
+    return F.aggregate(masks, start, step, lambda acc: acc["n"].cast("long"))
 
 
 def mask_array(text: Column) -> Column:
@@ -31,10 +37,12 @@ def mask_array(text: Column) -> Column:
 
 def positions(texts: DataFrame, key: str) -> DataFrame:
     """(key, text, n, at, next): word beginnings and where the next one, or the end, is."""
-    src = texts.filter(F.length("text") > 0).select(key, "text", F.length("text").alias("n"), mask_array(F.col("text")).alias("masks"))
-    src = src.select(key, "text", "n", "masks", begins(F.col("masks")).alias("b"))
-    out = src.select(key, "text", "n", "masks", "b", F.posexplode("b").alias("__i", "at"))
-    return out.select(key, "text", "n", "at", F.coalesce(F.get("b", F.col("__i") + 1), F.col("n")).alias("next"), F.get("masks", F.col("at")).alias("mask"))
+    chars = F.filter(F.split("text", ""), lambda c: c != "")
+    rows = texts.select(key, "text", F.length("text").alias("n"), F.posexplode(chars).alias("at", "ch")).withColumn("mask", mask_column(F.col("ch")))
+    order = Window.partitionBy(key).orderBy("at")
+    new = (F.col("at") == 0) | (F.col("mask").bitwiseAND(F.lit(GROUPING)) == 0) | (F.col("mask").bitwiseAND(F.lag("mask").over(order)) == 0)
+    begins = rows.withColumn("new", new).filter("new")
+    return begins.select(key, "text", "n", "at", F.coalesce(F.lead("at").over(order), F.col("n")).alias("next"), "mask")
 
 
 def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:

@@ -122,9 +122,12 @@ _SENT = _values("sent", "k, text", enumerate(SENTENCES))
 _ATT = f"att AS (SELECT d.doc_id, s.text FROM documents d JOIN sent s ON d.doc_id % {K} = s.k)"
 _LONGEST = max(len(w[0]) for w in _WORDS)
 _POS = [*dict.fromkeys(w[4] for w in _WORDS)]
+_SEG = _values("seg", "low, high, mask", [x for x in charclass.Categories().segments() if x[2] != 1])
 # Word beginnings by the rule of the categories, then lexicon hits and simple nodes.
 _LATTICE = f"""chars AS MATERIALIZED (SELECT k, text, length(text) AS n, unnest(range(length(text))) AS b0 FROM sent),
-masked AS MATERIALIZED (SELECT *, {_mask_sql("substr(text, b0::INT + 1, 1)")} AS m FROM chars),
+{_SEG},
+coded AS MATERIALIZED (SELECT *, unicode(substr(text, b0::INT + 1, 1)) AS u FROM chars),
+masked AS MATERIALIZED (SELECT c.k, c.text, c.n, c.b0, coalesce(s.mask, 1) AS m FROM coded c LEFT JOIN seg s ON c.u BETWEEN s.low AND s.high),
 begins AS MATERIALIZED (SELECT * FROM (SELECT *, b0 = 0 OR (m & {GROUPING}) = 0 OR (m & lag(m) OVER (PARTITION BY k ORDER BY b0)) = 0 AS b FROM masked) WHERE b),
 pos AS MATERIALIZED (SELECT *, coalesce(lead(b0) OVER (PARTITION BY k ORDER BY b0), n) AS next FROM begins),
 hits AS MATERIALIZED (SELECT p.k, p.b0, p.b0 + length(l.headword) AS e, l.headword AS surface, l.left_id, l.right_id, l.cost, l.word_id FROM pos p JOIN lex l ON l.left_id <> -1 AND substr(p.text, p.b0::INT + 1, length(l.headword)) = l.headword
@@ -133,11 +136,16 @@ nodes0 AS MATERIALIZED (SELECT * FROM hits UNION ALL SELECT p.k, p.b0, p.next, s
 nodes AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY k ORDER BY b0, word_id < 0, e, word_id) AS ord FROM nodes0)"""
 
 
+def _compiled_lexicon(spark: SparkSession) -> DataFrame:
+    """The compiled dictionary's words as a local table, so that plans stay short."""
+    hidden = {i for i, w in enumerate(_WORDS) if w[1] == -1}
+    rows = [(0, i, None if i in hidden else w[0], w[1], w[2], w[3], w[0], _POS.index(w[4])) for i, w in enumerate(_WORDS)]
+    return spark.createDataFrame(rows, "dict_id int, word_id int, headword string, left_id int, right_id int, cost int, surface string, pos_id int")
+
+
 def _lattice(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-    d = demo_dictionary(spark)
-    texts = spark.createDataFrame(list(enumerate(SENTENCES)), "k int, text string")
-    lex = d.lexicon.select("dict_id", "word_id", "headword", "left_id", "right_id", "cost", "surface", "pos_id")
-    return relational.lattice_nodes(texts, lex, "k", _LONGEST, OOV_COST, 0), d.connection
+    texts = spark.createDataFrame(list(enumerate(SENTENCES)), "k int, text string").coalesce(1)
+    return relational.lattice_nodes(texts, _compiled_lexicon(spark), "k", _LONGEST, OOV_COST, 0), connection(spark)
 
 
 def _spread(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -177,15 +185,13 @@ def char_category(spark, sf_dir):
 
 @query(_with(_MASKS) + f"SELECT doc_id, len(list_filter(range(1, len(m) + 1), lambda i: i = 1 OR (m[i] & {GROUPING}) = 0 OR (m[i] & m[i - 1]) = 0)) AS n_begins FROM masks")
 def can_bow(spark, sf_dir):
-    masks = relational.mask_array(F.col("text"))
-    return _docs(spark, sf_dir).select("doc_id", masks.alias("m")).select("doc_id", F.size(relational.begins(F.col("m"))).cast("long").alias("n_begins"))
+    return _docs(spark, sf_dir).select("doc_id", relational.count_starts(relational.mask_array(F.col("text")), GROUPING).alias("n_begins"))
 
 
 @query(_with(_MASKS) + "SELECT doc_id, len(list_filter(range(1, len(m) + 1), lambda i: i = 1 OR (m[i] & m[i - 1]) = 0)) AS n_runs FROM masks")
 def category_run(spark, sf_dir):
-    m = F.col("m")
-    starts = F.filter(F.sequence(F.lit(0), F.size(m) - 1), lambda i: (i == 0) | F.when(i > 0, m[i].bitwiseAND(m[i - 1]) == 0).otherwise(True))
-    return _docs(spark, sf_dir).select("doc_id", relational.mask_array(F.col("text")).alias("m")).select("doc_id", F.size(starts).cast("long").alias("n_runs"))
+    every = (1 << 16) - 1
+    return _docs(spark, sf_dir).select("doc_id", relational.count_starts(relational.mask_array(F.col("text")), every).alias("n_runs"))
 
 
 @query("SELECT doc_id, md5(lower(text)) AS norm_md5 FROM documents")
@@ -327,9 +333,8 @@ def pos_algebra(spark, sf_dir):
 # -- lattice ---------------------------------------------------------------------------
 @query(_with(_SENT, _LEX, _LATTICE) + f"SELECT d.doc_id, h.b0 AS \"at\", h.e AS \"end\", h.word_id FROM documents d JOIN hits h ON d.doc_id % {K} = h.k")
 def prefix_lookup(spark, sf_dir):
-    d = demo_dictionary(spark)
-    texts = spark.createDataFrame(list(enumerate(SENTENCES)), "k int, text string")
-    hits = relational.prefix_join(texts, d.lexicon.select("headword", "word_id"), "k", _LONGEST)
+    texts = spark.createDataFrame(list(enumerate(SENTENCES)), "k int, text string").coalesce(1)
+    hits = relational.prefix_join(texts, _compiled_lexicon(spark).select("headword", "word_id"), "k", _LONGEST)
     return _spread(hits.select("k", F.col("at").cast("long").alias("at"), F.col("end").cast("long").alias("end"), "word_id"), spark, sf_dir)
 
 
