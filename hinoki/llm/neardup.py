@@ -16,9 +16,12 @@ No list is ever expanded into all of its pairs while that can grow with its squa
    short lists meets all its partners there, see ``SATURATED``). Of those, the full
    sets tell how many values u of a node no other has: a pair shares n - u at most and
    its union has u more than the other set at least. Nodes and members that this
-   bound rules out leave; the rest are compared with the list's member of least u,
-   and then, in rounds of bounded size until none is left, every member outside the
-   list's largest component with all members of other components.
+   bound rules out leave. The rest is described by its differences from a pivot, the
+   list's member of least u: sizes of two sets, of their differences from the pivot
+   and of the overlap of these differences give their similarity exactly. Pairs close
+   enough without any overlap are linked through the node closest to the pivot; all
+   others share a difference, and meet in its inverted list if the differences after
+   it leave room for the overlap that they need. This is exact for whatever pivot.
 
 Pairs are verified best first and dropped once their ends are connected, as a link
 inside a component changes nothing.
@@ -99,6 +102,33 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
     return texts.mapInArrow(run, "a long, v long")
 
 
+def _differences(groups: DataFrame, num: int, den: int) -> DataFrame:
+    """(p, a, w, es) of (p, a, n, vs, cs, pvs, pcs).
+
+    ``es`` holds the values that only one of node and pivot has, of the values that at
+    least two nodes have (vs and pvs, their frequencies in cs and pcs), rarest first.
+    Two nodes x and y of a pivot are linked if and only if w(x) + w(y) is at most
+    2 * (den + num) times the number of values in both es.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (s for whole in batches for s in [whole.slice(i, 256) for i in range(0, whole.num_rows, 256)]):
+            w, es = [], []
+            n = b.column("n").to_pylist()
+            vs, cs, pvs, pcs = ([np.asarray(x.values) for x in b.column(name)] for name in ("vs", "cs", "pvs", "pcs"))
+            for size, v, c, pv, pc in zip(n, vs, cs, pvs, pcs):
+                gained, lost = ~np.isin(v, pv), ~np.isin(pv, v)
+                e = np.concatenate((v[gained], pv[lost]))
+                rare = np.concatenate((c[gained], pc.max(initial=0) - pc[lost]))
+                es.append(e[np.lexsort((e, rare))])
+                w.append((den + num) * (size - len(v) + len(e)) - (den - num) * size)
+            offs = np.concatenate(([0], np.cumsum([len(e) for e in es]))).astype(np.int32)
+            flat = np.concatenate([np.zeros(0, np.int64), *es])
+            yield pa.RecordBatch.from_arrays([b.column("p"), b.column("a"), pa.array(w, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["p", "a", "w", "es"])
+
+    return groups.select("p", "a", "n", "vs", "cs", "pvs", "pcs").mapInArrow(run, "p long, a long, w long, es array<long>")
+
+
 class _Search:
     """The state of one search: nodes, their components so far, pairs still open."""
 
@@ -214,31 +244,39 @@ class _Search:
             stats = scratch.table(stats.filter(self.den * F.col("u") <= (self.den - self.num) * F.col("n")), "stats")
             # Values of nodes that left are nobody's partner any more.
             sets = scratch.table(sets.join(stats.select("a"), "a", "left_semi"), "sets")
-        mine = scratch.table(self.within_reach(long.select("v", "a").join(stats, "a")).drop("l"), "saturated")
-        total, tested, done, first = mine.count(), None, None, True
-        while total:
-            at = scratch.table(self.within_reach(mine), "long")
-            if first:
-                pivots = at.groupBy("v").agg(F.min(F.struct("u", "a", "n", "l")).alias("p")).select("v", F.col("p.a").alias("b"), F.col("p.l").alias("m"), F.col("p.n").alias("n2"), F.col("p.u").alias("u2"))
-            else:
-                top = at.groupBy("v", "l").agg(F.count("*").alias("c")).groupBy("v").agg(F.max(F.struct("c", "l")).alias("top"), F.sum("c").alias("all"))
-                pivots = at.join(top, "v").filter("l <> top.l").select("v", F.col("a").alias("b"), F.col("l").alias("m"), F.col("n").alias("n2"), F.col("u").alias("u2"), "all")
-                if done is not None:
-                    pivots = pivots.join(done, ["v", "b"], "left_anti")
-                pivots = scratch.table(pivots, "pivots")
-                cost = pivots.agg(F.sum("all")).first()[0] or 0
-                if not cost:
-                    return
-                share = min(1.0, 32.0 * total / cost)
-                pivots = scratch.table(pivots.filter(F.rand(7) < share), "pivots") if share < 1 else pivots
-                done = pivots.select("v", "b") if done is None else scratch.table(done.union(pivots.select("v", "b")), "done")
-            near = (self.den * F.least(F.col("n") - F.col("u"), F.col("n2") - F.col("u2")) >= self.num * F.greatest(F.col("n") + F.col("u2"), F.col("n2") + F.col("u"))) & (F.col("l") != F.col("m"))
-            pairs = at.join(pivots, "v").filter(near).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
-            if tested is not None:
-                pairs = pairs.join(tested, ["a", "b"], "left_anti")
-            pairs = scratch.table(pairs, "tested")
-            self.resolve(self.promising(pairs, nodes), limit)
-            tested, first = pairs if tested is None else tested.union(pairs), False
+        mine = scratch.table(self.within_reach(long.select("v", "a").join(stats, "a")), "saturated")
+        pivots = mine.groupBy("v").agg(F.min(F.struct("u", "a")).alias("p")).select("v", F.col("p.a").alias("p"))
+        groups = scratch.table(mine.join(pivots, "v").select("p", "a").distinct(), "groups")
+        if groups.isEmpty():
+            return
+        common = sets.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
+        shared = sets.join(common, "v").groupBy("a").agg(F.collect_list("v").alias("vs"), F.collect_list("c").alias("cs"))
+        nothing = F.array().cast("array<long>")
+        known = stats.select("a", "n").join(shared, "a", "left").select("a", "n", F.coalesce("vs", nothing).alias("vs"), F.coalesce("cs", nothing).alias("cs"))
+        known = scratch.table(known, "known")
+        pivot = known.select(F.col("a").alias("p"), F.col("vs").alias("pvs"), F.col("cs").alias("pcs"))
+        apart = scratch.table(_differences(groups.join(known, "a").join(pivot, "p"), self.num, self.den), "differences")
+        # Both ends so close to the pivot that they are linked: then both are linked with the closest.
+        nearest = apart.groupBy("p").agg(F.min(F.struct("w", "a")).alias("m")).select("p", F.col("m.a").alias("b"), F.col("m.w").alias("w2"))
+        at = self.label(self.label(apart.drop("es").join(nearest, "p").filter("w + w2 <= 0 and a <> b"), "a", "l"), "b", "m")
+        self.verify(scratch.table(at.filter("l <> m").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "nearest"))
+        self.resolve(self.promising(self.sharing_differences(apart), nodes), limit)
+
+    def sharing_differences(self, apart: DataFrame) -> DataFrame:
+        """The distinct (a, b) in different components whose differences may overlap enough."""
+        unit = 2 * (self.den + self.num)
+        at = self.scratch.table(self.label(apart, "a", "l"), "open")
+        least = at.groupBy("p", "l").agg(F.min("w").alias("w"))
+        one = least.groupBy("p").agg(F.min(F.struct("w", "l")).alias("one"))
+        two = least.join(one, "p").filter("l <> one.l").groupBy("p").agg(F.min("w").alias("two"), F.first("one").alias("one"))
+        other = F.when(F.col("l") == F.col("one.l"), F.col("two")).otherwise(F.col("one.w"))
+        d = F.size("es").cast("long")
+        x = at.join(two, "p").filter(F.col("w") + other <= unit * d).select("p", "a", "w", "l", d.alias("d"), F.posexplode("es").alias("i", "e"))
+        # Left over from the shared value on; the first value that two nodes share has room for all.
+        x = self.scratch.table(x.select("p", "e", "a", "w", "l", (F.col("d") - F.col("i")).alias("rest")), "elements")
+        y = x.select("p", "e", F.col("a").alias("b"), F.col("w").alias("w2"), F.col("l").alias("m"), F.col("rest").alias("rest2"))
+        enough = F.col("w") + F.col("w2") <= unit * F.least("rest", "rest2")
+        return x.join(y, ["p", "e"]).filter((F.col("a") > F.col("b")) & (F.col("l") != F.col("m")) & enough).select("a", "b").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: tuple[int, int] = (3, 4), k: int = K, short: int = SHORT) -> DataFrame:
