@@ -72,3 +72,24 @@ def test_components_match_union_find(spark):
         parent[max(x, y)] = min(x, y)
     got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {x: find(x) for x in parent if find(x) != x}
+
+
+def test_differences_give_exact_similarity(spark):
+    """w(x) + w(y) against the overlap of the differences decides links as Jaccard does."""
+    rng = random.Random(5)
+    base = list(range(100, 140))
+    sets = [sorted(set(rng.sample(base, rng.randint(28, 40))) | {rng.randint(0, 60) for _ in range(rng.randint(0, 6))}) for _ in range(30)] + [base, []]
+    count = {}
+    for s in sets:
+        for v in s:
+            count[v] = count.get(v, 0) + 1
+    known = [[v for v in s if count[v] > 1] for s in sets]
+    for pivot in (0, 7, 30, 31):
+        rows = [(pivot, a, len(s), known[a], [count[v] for v in known[a]], known[pivot], [count[v] for v in known[pivot]]) for a, s in enumerate(sets)]
+        df = spark.createDataFrame(rows, "p long, a long, n long, vs array<long>, cs array<long>, pvs array<long>, pcs array<long>")
+        got = {r["a"]: (r["w"], set(r["es"])) for r in neardup._differences(df, 3, 4).collect()}
+        for x in range(31):
+            for y in range(x):
+                both = len(set(sets[x]) & set(sets[y]))
+                linked = 4 * both >= 3 * (len(sets[x]) + len(sets[y]) - both)
+                assert linked == (got[x][0] + got[y][0] <= 14 * len(got[x][1] & got[y][1]))
