@@ -8,6 +8,7 @@ readers take stripes in parallel and skip what the metadata rules out.
 from __future__ import annotations
 
 import struct
+from array import array
 from collections.abc import Iterator
 from operator import attrgetter
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BpeFile, bpe_file, int_lists, memo
+from .bpe import BYTE_LEVEL, BpeFile, bpe_file, int_lists, memo
 from .textkernel import slices
 
 STRIDE = 1000
@@ -28,23 +29,42 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
     """Packed ids of whole texts from the library, ``end_id`` appended to each.
 
     The library's model encodes a pre-token when it is first met; texts with special
-    strings are encoded by the library in one piece.
+    strings are encoded by the library in one piece. A byte-level pre-token holds a space
+    after other characters only in a run of white space, so a text may be cut before each
+    space that has no white space beside it, and what lies between two cuts is remembered whole.
     """
 
     tokenize, chars, at = file.library.model.tokenize, dict(enumerate(file.chars)), attrgetter("id")
+    blank = file.chars[32]
 
-    def make(word: str) -> bytes:
+    def encode(word: str) -> bytes:
+        if word.isascii() and word.isprintable():
+            return array("I", map(at, tokenize(word.replace(" ", blank)))).tobytes()
         raw = word if word.isascii() else word.encode("utf-8", "surrogateescape").decode("latin-1")
-        ids = list(map(at, tokenize(raw.translate(chars))))
-        return struct.pack(f"<{len(ids)}I", *ids)
+        return array("I", map(at, tokenize(raw.translate(chars)))).tobytes()
 
-    words, end, out = memo(path, "library", make), struct.pack("<I", end_id), []
+    words = memo(path, "library", encode)
+
+    def make(rest: str) -> bytes | None:
+        if rest.isascii() and rest.isalpha():
+            return encode(" " + rest)
+        if not rest or rest[0].isspace() or rest[-1].isspace():
+            return None  # the cut isn't safe
+        found = file.pieces(" " + rest)
+        return encode(found[0]) if len(found) == 1 else b"".join(map(words.__getitem__, found))
+
+    runs, end, out = memo(path, "library runs", make), struct.pack("<I", end_id), []
+    cuts = file.pattern.pattern == BYTE_LEVEL and not file.folds
     for t in texts:
         if t and file.added_split is not None and file.added_split.search(t):
-            ids = file.library.encode(t, add_special_tokens=False).ids
-            out.append(struct.pack(f"<{len(ids)}I", *ids) + end)
-        else:
+            out.append(array("I", file.library.encode(t, add_special_tokens=False).ids).tobytes() + end)
+            continue
+        first, *rest = (t or "").split(" ")
+        packed = list(map(runs.__getitem__, rest)) if cuts else [None]
+        if None in packed or first[-1:].isspace():
             out.append(b"".join(map(words.__getitem__, file.pieces(t or ""))) + end)
+        else:
+            out.append(b"".join((*map(words.__getitem__, file.pieces(first)), *packed, end)))
     return out
 
 

@@ -107,6 +107,17 @@ def test_token_orc(spark, docs, texts):
     assert "PushedFilters: [In(doc_id" in some._jdf.queryExecution().toString()
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_token_orc_cuts_at_spaces_as_the_library(name):
+    path, draw = vocabulary(name), random.Random(7)
+    file = bpe.bpe_file(path)
+    bits = [" ", " ", "  ", "\n", "\t", "a", "Bc", "7", "é", "ß", "'s", "'", ".", "!!", "\u3000", "\xa0", "\u0301", "漢", "\u200b", "\x1c", "\x85", "🙂", "\u180e"]
+    for k in range(1500):
+        text = "".join(draw.choices(bits, k=draw.randrange(30))) + "<|endoftext|>" * (k % 50 == 0)
+        ids = file.library.encode(text, add_special_tokens=False).ids
+        assert token_orc.library_ids(file, path, [text], 2) == [struct.pack(f"<{len(ids) + 1}I", *ids, 2)], repr(text)
+
+
 def test_token_orc_repeats_nulls_empty(spark):
     path = Scratch(spark, "t").path("orc")
     df = spark.createDataFrame([(2, "b", 1), (None, "x y", 2), (2, "a", 3), (2, "a", 4), (1, None, 5)], "doc_id long, text string, pos long")
