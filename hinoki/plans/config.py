@@ -69,14 +69,17 @@ class Config:
         return self._get(key, list, []) or []
 
 
+def attribute(name: str):
+    """What ``module:name`` or ``module.name`` stands for."""
+    module, _, name = name.replace(":", ".").rpartition(".")
+    if not module:
+        raise ValueError(f"unknown plugin {name}")
+    return getattr(importlib.import_module(module), name)
+
+
 def plugin(name: str, **options):
     """A built-in by its name or last dotted component, else ``module:Class`` or ``module.Class``."""
-    known = PLUGINS.get(name) or PLUGINS.get(name.rpartition(".")[2])
-    if known is None:
-        module, _, cls = name.replace(":", ".").rpartition(".")
-        if not module:
-            raise ValueError(f"unknown plugin {name}")
-        known = getattr(importlib.import_module(module), cls)
+    known = PLUGINS.get(name) or PLUGINS.get(name.rpartition(".")[2]) or attribute(name)
     return known(**options)
 
 
