@@ -56,6 +56,23 @@ def test_mixing_meets_targets(spark):
             assert have == pytest.approx(want, rel=1e-6)
 
 
+@pytest.mark.parametrize("words", [3, 60])
+def test_share_is_not_moved_by_one_small_source(spark, words):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = docs.union(spark.createDataFrame([(10**9, "word " * words, "en", "tiny")], docs.schema))
+    cells = lambda df: {r[:3]: r[3] for r in rows_of(mixing.mix(df, share=0.4, keep_probability="p").select("source", "lang", "p_topic", "p").distinct())}
+    before, after = cells(docs), cells(more)
+    common = before.keys() & after.keys()
+    assert len(common) > 100 and max(before.values()) <= 1 and after["tiny", "en", "brief"] == 1
+    for c in common:
+        assert after[c] == pytest.approx(before[c], rel=0.02)
+    tokens = {r[0]: r[1] for r in rows_of(more.select("doc_id", mixing.default_tokens(F.col("text"))))}
+    taken = sum(tokens[r["doc_id"]] for r in mixing.mix(more, share=0.4).select("doc_id").collect())
+    assert taken == pytest.approx(0.4 * sum(tokens.values()), rel=0.15)
+    with pytest.raises(ValueError):
+        mixing.mix(docs, share=1.5)
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None, 2), (None, "a b", "en", None, 2)], "doc_id long, text string, lang string, source string, weight long")
     assert mixing.mix(df).columns == df.columns
