@@ -20,6 +20,8 @@ from .textkernel import U64, mix
 KMER, SKETCHES, KEEP = 6, 24, 2
 _MULTIPLIERS = mix(np.arange(1, 257, dtype=U64) * U64(0xD1342543DE82EF95)) | U64(1)
 _ROLL = 0x9FB21C651E98DF25
+#: Products made at once; they should stay in a core's cache.
+_AT_ONCE = 1 << 16
 
 
 def numbered_kmers(points: np.ndarray, k: int) -> np.ndarray:
@@ -58,20 +60,29 @@ def signature(points: np.ndarray, k: int = KMER, sketches: int = SKETCHES, keep:
     out = np.zeros(sketches, np.uint32)
     if m == 0:
         return out
+    kept = min(keep, m)
     # The smallest few of m evenly spread values lie below this bound but for bad luck.
-    bound = U64(int((keep + 24) / m * 2.0**63) * 2) if m > 4 * (keep + 24) else None
-    chosen = np.empty((sketches, min(keep, m)), np.int64)
-    everything = np.arange(m) if bound is None else None
+    # A multiple of 2**32: what follows the product leaves its high half alone.
+    bound = U64(min(int((keep + 12) / m * 2.0**32) + 1, (1 << 32) - 1) << 32) if m > 4 * (keep + 12) else None
+    chosen = np.empty((sketches, kept), np.int64)
+    step = max(1, _AT_ONCE // m)
     with np.errstate(over="ignore"):
-        for j in range(sketches):
-            v = h * _MULTIPLIERS[j]
+        for j in range(0, sketches, step):
+            v = h * _MULTIPLIERS[j : min(j + step, sketches), None]
+            n = len(v)
+            if bound is not None:
+                at = np.flatnonzero(v.ravel() < bound)
+                row = at // m
+                count = np.bincount(row, minlength=n)
+                if count.min() >= keep:
+                    x = v.ravel()[at]
+                    x ^= x >> U64(32)
+                    order = np.lexsort((x, row))
+                    best = order[(np.cumsum(count) - count)[:, None] + np.arange(kept)]
+                    chosen[j : j + n] = np.sort(at[best] - row[best] * m, axis=1)
+                    continue
             v ^= v >> U64(32)
-            at = everything if bound is None else np.flatnonzero(v < bound)
-            if len(at) < keep < m:
-                at = np.arange(m)
-            if len(at) > keep:
-                at = np.sort(at[np.argsort(v[at], kind="stable")[:keep]])
-            chosen[j] = at
+            chosen[j : j + n] = np.sort(np.argsort(v, axis=1, kind="stable")[:, :kept], axis=1)
         t = np.arange(1, sketches + 1, dtype=U64)
         for c in range(chosen.shape[1]):
             t = mix(t * U64(_ROLL) + h[chosen[:, c]])

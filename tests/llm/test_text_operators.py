@@ -6,7 +6,7 @@ import struct
 import zlib
 
 import pytest
-from hinoki.llm import bpe, order_minhash, quality, token_count, token_orc
+from hinoki.llm import bpe, order_minhash, quality, queries, token_count, token_orc
 from hinoki.llm.queries import vocabulary
 from hinoki.llm.scratch import Scratch
 from pyspark.sql import functions as F
@@ -188,6 +188,11 @@ def test_numbered_kmers_are_distinct_in_order():
     assert h[0] == order_minhash.numbered_kmers(order_minhash.points_of("abc"), 3)[0]
 
 
+def test_query_sees_texts_that_keep_their_first_half(spark):
+    rows = queries.op4_order_minhash(spark, "/root/testdata/sf0.01").filter("n_chars between 50 and 20000").collect()
+    assert len(rows) > 500 and sum(r["near_edited"] == 0 for r in rows) <= 0.005 * len(rows)
+
+
 def test_fingerprints_edges(spark):
     one = spark.createDataFrame([(5, "solo", 1)], "doc_id long, text string, part long")
     r = order_minhash.fingerprints(one).first()
