@@ -42,6 +42,14 @@ def test_line_dedup_drops_site_lines(spark):
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
 
 
+def test_pipeline_drops_rarer_site_lines(spark):
+    rows = [(i, f"page {i}" + "\nlicense" * (i < 8) + "\nshared" * (i < 5), "en", "h", 0) for i in range(100)]
+    import corpus_pipeline
+
+    texts = [r["text"] for r in corpus_pipeline.line_frequency(spark, spark.createDataFrame(rows, SCHEMA), SF).collect()]
+    assert not any("license" in t for t in texts) and sum("shared" in t for t in texts) == 5
+
+
 def test_mixing_matches_sql(docs):
     got = mixing.mix(docs, keep_probability="p").select("doc_id", "source", "lang", F.col("p_topic"), F.round("p", 6))
     assert sorted(rows_of(got), key=str) == sorted(oracle(mixing.mix_sql(), docs), key=str)
