@@ -2,6 +2,7 @@
 
 import random
 import re
+import warnings
 import zlib
 from collections import Counter, defaultdict
 
@@ -81,6 +82,19 @@ def test_share_is_not_moved_by_one_small_source(spark, words):
         mixing.mix(docs, share=1.5)
 
 
+def test_mixing_tells_missed_targets(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang", "source")
+    more = docs.union(spark.createDataFrame([(10**9, "word " * 60, "own", "own")], docs.schema))
+    with pytest.warns(UserWarning, match="after 12 rounds targets are missed: source by"):
+        mixing.mix(more)
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        mixing.mix(docs)
+        rows = lambda rounds: {r[0]: r[1] for r in rows_of(mixing.mix(docs, rounds=rounds, share=0.4, keep_probability="p").select("doc_id", "p"))}
+        short, long = rows(1), rows(24)
+    assert all(short[i] == pytest.approx(long[i], rel=0.01) for i in short.keys() & long.keys())
+
+
 def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None, 2), (None, "a b", "en", None, 2)], "doc_id long, text string, lang string, source string, weight long")
     assert mixing.mix(df).columns == df.columns
