@@ -173,9 +173,9 @@ class UrlModel:
 
 
 def fit_on(labelled: DataFrame, url_col: str, blocked_col: str, fit_rows: int = FIT_ROWS) -> UrlModel:
-    """A model from at most ``fit_rows`` labelled URLs: those whose hash is smallest."""
+    """A model from at most ``fit_rows`` distinct labelled URLs: those whose hash is smallest."""
     rows = labelled.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{blocked_col}`").alias("blocked")).filter("url is not null and blocked is not null")
-    got = rows.select("url", "blocked", F.xxhash64("url").alias("h")).orderBy("h", "url", "blocked").limit(fit_rows).collect()
+    got = rows.distinct().select("url", "blocked", F.xxhash64("url").alias("h")).orderBy("h", "url", "blocked").limit(fit_rows).collect()
     return UrlModel.fit([r["url"] for r in got], [r["blocked"] for r in got])
 
 

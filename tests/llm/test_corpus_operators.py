@@ -173,6 +173,13 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_sample_takes_a_hot_url_once(spark):
+    urls = spark.range(200).select(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".org/")).alias("url"), (F.col("id") % 2 == 0).alias("blocked"))
+    first = urls.orderBy(F.xxhash64("url")).limit(1)
+    model = url_filter.fit_on(urls.union(first.crossJoin(spark.range(300)).select("url", "blocked")), "url", "blocked", fit_rows=100)
+    assert model.trees is not None
+
+
 def test_url_trees_held_out():
     rng = random.Random(6)
 
