@@ -1,12 +1,45 @@
-"""Connected components by alternating star contraction, all on DataFrames."""
+"""Connected components: contraction within partitions, then alternating stars on DataFrames."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
+#: Edges that one task contracts, about; a table of edges is read in parts of this size.
+EDGES_PER_TASK = 250_000
+
+
+def _forest(links: DataFrame, parts: int) -> DataFrame:
+    """(u, v): each node's smallest node within its part. Keeps what is reachable from what."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parent: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            top = x
+            while (up := parent.setdefault(top, top)) != top:
+                top = up
+            while x != top:
+                parent[x], x = top, parent[x]
+            return top
+
+        for b in batches:
+            for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x, y = root(x), root(y)
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+        hung = [(x, root(x)) for x in parent if parent[x] != x]
+        flat = np.array(hung, np.int64).reshape(-1, 2)
+        yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["u", "v"])
+
+    return links.select("a", "b").coalesce(parts).mapInArrow(run, "u long, v long")
+
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Hang every larger neighbour of u on the smallest neighbour of u."""
@@ -22,20 +55,27 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.union(low.select("u", F.col("m").alias("v"))).distinct()
 
 
-def components(links: DataFrame, scratch: Scratch) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch, rows: int, edges_per_task: int = EDGES_PER_TASK) -> DataFrame:
     """(node, label): label is the smallest node reachable, for nodes with a link.
 
-    ``links`` has long columns a and b. Edges always point from the larger to the
-    smaller node; each round is two aggregations and two joins, so no star is ever
-    gathered in one task, and the number of rounds is logarithmic. Stops when every
-    edge points to a root.
+    ``links`` has long columns a and b and ``rows`` rows at most. Every part of the edges is first contracted to
+    a forest of stars on its own, which is the whole answer if there is one part. Then
+    rounds of large and small stars, whose number is logarithmic, join the parts'
+    forests until every edge points to a root. A star's edges meet by its centre in the
+    joins of a round; AQE splits those that are too large for a task. After the first
+    contraction a centre has at most one edge for each node and part.
     """
-    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
-    edges = scratch.table(edges, "edges")
-    while True:
+    parts = 1 + rows // edges_per_task
+    edges = scratch.table(_forest(links, parts), "forest")
+    while parts > 1:
         settled = edges.groupBy("u").count().filter("count > 1").select("u").union(edges.join(edges.select(F.col("u").alias("v")), "v", "left_semi").select("u"))
         if settled.isEmpty():
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
-        new = scratch.table(_small_star(_large_star(edges)), "edges")
+            break
+        star = scratch.table(_large_star(edges), "edges")
+        new = scratch.table(_small_star(star), "edges")
         scratch.drop(edges)
+        scratch.drop(star)
         edges = new
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
+    out._hinoki_rows = scratch.rows(edges)
+    return out

@@ -23,8 +23,9 @@ No list is ever expanded into all of its pairs while that can grow with its squa
    others share a difference, and meet in its inverted list if the differences after
    it leave room for the overlap that they need. This is exact for whatever pivot.
 
-Pairs are verified best first and dropped once their ends are connected, as a link
-inside a component changes nothing.
+A link inside a component changes nothing, so each step leaves out pairs that earlier
+ones have connected. All pairs of a step are verified at once, or the best of each node
+first if there are more pairs than nodes.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -52,7 +53,7 @@ SATURATED = 0.47
 #: At similarity 3/4 a sample of 64 falls below it with probability about 1e-6.
 PROMISING = 0.47
 #: Largest table of ids, in rows, that is broadcast; beyond it the join shuffles.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 
 
 def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
@@ -96,8 +97,9 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (s for whole in batches for s in slices(whole, 1)):
-            for i, s in enumerate(shingle_sets(b.column(1), words)):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), b.column(0)[i].as_py())), pa.array(s.view(np.int64))], names=["a", "v"])
+            sets = list(shingle_sets(b.column(1), words))
+            owner = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
+            yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], names=["a", "v"])
 
     return texts.mapInArrow(run, "a long, v long")
 
@@ -130,25 +132,44 @@ def _differences(groups: DataFrame, num: int, den: int) -> DataFrame:
 
 
 class _Search:
-    """The state of one search: nodes, their components so far, pairs still open."""
+    """The state of one search: nodes, and their components so far."""
 
     def __init__(self, docs: DataFrame, words: int, num: int, den: int, k: int, short: int):
         self.docs, self.words, self.num, self.den, self.k, self.short = docs, words, num, den, k, short
         self.scratch = Scratch(docs.sparkSession, "neardup")
         self.labels: DataFrame | None = None
 
+    # -- joins ----------------------------------------------------------------
+    def _small(self, table: DataFrame, rows: int) -> DataFrame:
+        return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+    def by_key(self, rows: DataFrame, table: DataFrame, key: str) -> DataFrame:
+        """``rows`` with the one row that a written table has for their key, if any.
+
+        A hot key never meets in one task: small tables are broadcast, and a join with
+        others is written at once, as AQE splits skewed partitions of such joins only.
+        """
+        if self.scratch.rows(table) <= BROADCAST_ROWS:
+            return rows.join(F.broadcast(table), key)
+        return self.scratch.table(rows.join(table, key), "joined")
+
     # -- components ---------------------------------------------------------
     def label(self, df: DataFrame, node: str, name: str) -> DataFrame:
         if self.labels is None:
             return df.withColumn(name, F.col(node))
         at = self.labels.select(F.col("node").alias(node), F.col("label").alias("__l"))
+        at = self._small(at, self.scratch.rows(self.labels))
         return df.join(at, node, "left").withColumn(name, F.coalesce("__l", node)).drop("__l")
 
     def merge(self, links: DataFrame) -> None:
-        old = self.labels
-        if old is not None:
-            links = links.union(old.select("node", "label"))
-        self.labels = components(links, self.scratch)
+        """Take the (a, b) of a written table as links."""
+        rows = self.scratch.rows(links)
+        if not rows:
+            return
+        if self.labels is not None:
+            rows += self.scratch.rows(self.labels)
+            links = links.union(self.labels.select("node", "label"))
+        self.labels = components(links, self.scratch, rows)
 
     # -- pairs --------------------------------------------------------------
     def promising(self, pairs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -159,36 +180,36 @@ class _Search:
         out = out.select("a", "b", union.alias("u"), F.array_intersect("s_a", "s_b").alias("i"))
         return out.select("a", "b", (F.size(F.array_intersect("u", "i")) / F.size("u")).alias("est")).filter(F.col("est") >= PROMISING)
 
-    def texts(self, ids: DataFrame) -> DataFrame:
-        """(doc_id, text) of the distinct ids."""
-        ids = self.scratch.table(ids, "ids")
-        return self.docs.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, "doc_id", "left_semi")
+    def texts(self, ids: DataFrame, most: int) -> DataFrame:
+        """(doc_id, text) of the distinct ids, ``most`` of them at most."""
+        return self.docs.join(self._small(ids, most), "doc_id", "left_semi")
 
     def verify(self, pairs: DataFrame) -> None:
-        texts = self.texts(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        side = lambda x: texts.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
-        both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
-        links = self.scratch.table(_verified(both, self.words, self.num, self.den), "links")
-        self.merge(links)
+        """Compare the full sets of the (a, b) of a written table and take the links among them."""
+        rows = self.scratch.rows(pairs)
+        if not rows:
+            return
+        pairs = pairs.select("a", "b")
+        side = lambda x: self.texts(pairs.select(F.col(x).alias("doc_id")).distinct(), rows).select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}"))
+        both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "text_a", "text_b")
+        self.merge(self.scratch.table(_verified(both, self.words, self.num, self.den), "links"))
 
     def resolve(self, pairs: DataFrame, limit: int) -> None:
-        """Verify (a, b, est) best first until every pair is tested or connected."""
+        """Verify the (a, b, est): all at once up to ``limit``, else the best of each node first.
+
+        What the best connect needs no test any more, and a node's best is one pair, so
+        the texts in flight stay in proportion to the nodes.
+        """
         pending = self.scratch.table(pairs, "pairs")
-        while not pending.isEmpty():
-            if self.labels is not None:
-                apart = self.label(self.label(pending, "a", "la"), "b", "lb").filter("la <> lb")
-                new = self.scratch.table(apart.select("a", "b", "est"), "pairs")
-                self.scratch.drop(pending)
-                pending = new
-            n = pending.count()
-            if not n:
-                return
-            if self.labels is not None and n <= limit:
-                return self.verify(pending)
+        while self.scratch.rows(pending) > limit:
             best = pending.groupBy("a").agg(F.max(F.struct("est", -F.col("b"))).alias("top"))
             best = self.scratch.table(best.select("a", (-F.col("top.col2")).alias("b")), "best")
             self.verify(best)
-            pending = pending.join(best, ["a", "b"], "left_anti")
+            rest = self.label(self.label(pending.join(best, ["a", "b"], "left_anti"), "a", "la"), "b", "lb")
+            rest = self.scratch.table(rest.filter("la <> lb").select("a", "b", "est"), "pairs")
+            self.scratch.drop(pending)
+            pending = rest
+        self.verify(pending)
 
     # -- the whole search -----------------------------------------------------
     def run(self) -> DataFrame:
@@ -205,50 +226,52 @@ class _Search:
         entries = nodes.select("node", F.explode("sketch").alias("v"))
         lists = scratch.table(entries.groupBy("v").agg(F.count("*").alias("c"), F.min("node").alias("b")).filter("c > 1"), "lists")
         entries = scratch.table(entries.join(lists, "v").select("v", "c", "b", F.col("node").alias("a")), "entries")
-        limit = 2 * max(1, nodes.count())
+        limit = max(1, nodes.count())
         star = entries.filter("a <> b").select("a", "b").distinct()
         self.resolve(self.promising(star, nodes), limit)
         self.short_lists(entries, nodes, limit)
         self.long_lists(entries, nodes, limit)
         return self.label(members.select("doc_id", "n_shingles", F.coalesce("node", "doc_id").alias("node")), "node", "component_id")
 
-    def open_lists(self, entries: DataFrame) -> DataFrame:
-        """(v, a, l): members of lists that still hold several components."""
-        at = self.label(entries.select("v", "a"), "a", "l")
-        mixed = at.groupBy("v").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("v")
-        return at.join(mixed, "v").select("v", "a", "l")
-
     def short_lists(self, entries: DataFrame, nodes: DataFrame, limit: int) -> None:
-        at = self.scratch.table(self.open_lists(entries.filter(F.col("c") <= self.short)), "short")
+        """Pairs in short lists whose ends are still in different components."""
+        at = self.label(entries.filter(F.col("c") <= self.short).select("v", "a"), "a", "l")
+        mixed = at.groupBy("v").agg(F.min("l").alias("x"), F.max("l").alias("y")).filter("x < y").select("v")
+        at = self.scratch.table(at.join(mixed, "v").select("v", "a", "l"), "short")
         other = at.select("v", F.col("a").alias("b"), F.col("l").alias("m"))
         pairs = at.join(other, "v").filter("a > b and l <> m").select("a", "b").distinct()
         self.resolve(self.promising(pairs, nodes), limit)
 
-    def within_reach(self, members: DataFrame) -> DataFrame:
-        """Of (v, a, n, u) those that the bound lets have a partner in another component of the list."""
-        at = self.label(members, "a", "l")
-        least = at.groupBy("v", "l").agg(F.min("u").alias("u"))
-        one = least.groupBy("v").agg(F.min(F.struct("u", "l")).alias("one"))
-        two = least.join(one, "v").filter("l <> one.l").groupBy("v").agg(F.min("u").alias("two"), F.first("one").alias("one"))
-        other = F.when(F.col("l") == F.col("one.l"), F.col("two")).otherwise(F.col("one.u"))
-        return at.join(two, "v").filter(self.den * (F.col("n") - F.col("u")) >= self.num * (F.col("n") + other)).select("v", "a", "n", "u", "l")
+    def least_elsewhere(self, at: DataFrame, key: str, value: str) -> tuple[DataFrame, Column]:
+        """Rows of the written ``at`` whose group by ``key`` has several labels l, and the
+        least ``value`` that another label has in the group."""
+        least = at.groupBy(key, "l").agg(F.min(value).alias(value))
+        one = self.scratch.table(least.groupBy(key).agg(F.min(F.struct(value, "l")).alias("one")), "one")
+        two = self.by_key(least, one, key).filter("l <> one.l").groupBy(key).agg(F.min(value).alias("two"), F.first("one").alias("one"))
+        two = self.scratch.table(two, "two")
+        return self.by_key(at, two, key), F.when(F.col("l") == F.col("one.l"), F.col("two")).otherwise(F.col(f"one.{value}"))
 
     def long_lists(self, entries: DataFrame, nodes: DataFrame, limit: int) -> None:
         scratch = self.scratch
         long = entries.filter(F.col("c") > self.short)
-        full = long.groupBy("a").agg(F.count("*").alias("hot")).join(nodes.select(F.col("node").alias("a"), F.size("sketch").alias("k")), "a").filter(F.col("hot") > SATURATED * F.col("k")).select(F.col("a").alias("doc_id"))
-        sets = scratch.table(_full_sets(self.texts(full), self.words), "sets")
-        for _ in range(2):
-            common = sets.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
-            stats = sets.groupBy("a").agg(F.count("*").alias("n")).join(sets.join(common, "v").groupBy("a").agg(F.count("*").alias("s")), "a").select("a", "n", (F.col("n") - F.col("s")).alias("u"))
-            stats = scratch.table(stats.filter(self.den * F.col("u") <= (self.den - self.num) * F.col("n")), "stats")
-            # Values of nodes that left are nobody's partner any more.
-            sets = scratch.table(sets.join(stats.select("a"), "a", "left_semi"), "sets")
-        mine = scratch.table(self.within_reach(long.select("v", "a").join(stats, "a")), "saturated")
-        pivots = mine.groupBy("v").agg(F.min(F.struct("u", "a")).alias("p")).select("v", F.col("p.a").alias("p"))
-        groups = scratch.table(mine.join(pivots, "v").select("p", "a").distinct(), "groups")
-        if groups.isEmpty():
+        full = long.groupBy("a").agg(F.count("*").alias("hot")).join(nodes.select(F.col("node").alias("a"), F.size("sketch").alias("k")), "a").filter(F.col("hot") > SATURATED * F.col("k"))
+        full = scratch.table(full.select(F.col("a").alias("doc_id")), "saturated")
+        if not scratch.rows(full):
+            return
+        sets = scratch.table(_full_sets(self.texts(full, scratch.rows(full)), self.words), "sets")
+        common = sets.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1").select("v")
+        stats = sets.groupBy("a").agg(F.count("*").alias("n")).join(sets.join(common, "v").groupBy("a").agg(F.count("*").alias("s")), "a").select("a", "n", (F.col("n") - F.col("s")).alias("u"))
+        stats = scratch.table(stats.filter(self.den * F.col("u") <= (self.den - self.num) * F.col("n")), "stats")
+        at = scratch.table(self.label(self.by_key(long.select("v", "a"), stats, "a"), "a", "l"), "members")
+        # Of a list's members those that the bound lets have a partner in another component.
+        mine, other = self.least_elsewhere(at, "v", "u")
+        mine = scratch.table(mine.filter(self.den * (F.col("n") - F.col("u")) >= self.num * (F.col("n") + other)).select("v", "a", "u"), "reach")
+        pivots = scratch.table(mine.groupBy("v").agg(F.min(F.struct("u", "a")).alias("p")).select("v", F.col("p.a").alias("p")), "pivots")
+        groups = scratch.table(self.by_key(mine, pivots, "v").select("p", "a").distinct(), "groups")
+        if not scratch.rows(groups):
             return
+        # Values of nodes that left are nobody's partner any more.
+        sets = sets.join(self._small(groups.select("a").distinct(), scratch.rows(groups)), "a", "left_semi")
         common = sets.groupBy("v").agg(F.count("*").alias("c")).filter("c > 1")
         shared = sets.join(common, "v").groupBy("a").agg(F.collect_list("v").alias("vs"), F.collect_list("c").alias("cs"))
         nothing = F.array().cast("array<long>")
@@ -257,21 +280,18 @@ class _Search:
         pivot = known.select(F.col("a").alias("p"), F.col("vs").alias("pvs"), F.col("cs").alias("pcs"))
         apart = scratch.table(_differences(groups.join(known, "a").join(pivot, "p"), self.num, self.den), "differences")
         # Both ends so close to the pivot that they are linked: then both are linked with the closest.
-        nearest = apart.groupBy("p").agg(F.min(F.struct("w", "a")).alias("m")).select("p", F.col("m.a").alias("b"), F.col("m.w").alias("w2"))
-        at = self.label(self.label(apart.drop("es").join(nearest, "p").filter("w + w2 <= 0 and a <> b"), "a", "l"), "b", "m")
-        self.verify(scratch.table(at.filter("l <> m").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "nearest"))
+        nearest = scratch.table(apart.groupBy("p").agg(F.min(F.struct("w", "a")).alias("m")).select("p", F.col("m.a").alias("b"), F.col("m.w").alias("w2")), "nearest")
+        near = self.label(self.label(self.by_key(apart.select("p", "a", "w"), nearest, "p").filter("w + w2 <= 0 and a <> b"), "a", "l"), "b", "m")
+        self.merge(scratch.table(near.filter("l <> m").select("a", "b").distinct(), "links"))
         self.resolve(self.promising(self.sharing_differences(apart), nodes), limit)
 
     def sharing_differences(self, apart: DataFrame) -> DataFrame:
         """The distinct (a, b) in different components whose differences may overlap enough."""
         unit = 2 * (self.den + self.num)
         at = self.scratch.table(self.label(apart, "a", "l"), "open")
-        least = at.groupBy("p", "l").agg(F.min("w").alias("w"))
-        one = least.groupBy("p").agg(F.min(F.struct("w", "l")).alias("one"))
-        two = least.join(one, "p").filter("l <> one.l").groupBy("p").agg(F.min("w").alias("two"), F.first("one").alias("one"))
-        other = F.when(F.col("l") == F.col("one.l"), F.col("two")).otherwise(F.col("one.w"))
+        x, other = self.least_elsewhere(at, "p", "w")
         d = F.size("es").cast("long")
-        x = at.join(two, "p").filter(F.col("w") + other <= unit * d).select("p", "a", "w", "l", d.alias("d"), F.posexplode("es").alias("i", "e"))
+        x = x.filter(F.col("w") + other <= unit * d).select("p", "a", "w", "l", d.alias("d"), F.posexplode("es").alias("i", "e"))
         # Left over from the shared value on; the first value that two nodes share has room for all.
         x = self.scratch.table(x.select("p", "e", "a", "w", "l", (F.col("d") - F.col("i")).alias("rest")), "elements")
         y = x.select("p", "e", F.col("a").alias("b"), F.col("w").alias("w2"), F.col("l").alias("m"), F.col("rest").alias("rest2"))
@@ -302,7 +322,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     Rows that repeat a doc_id stay or go together; rows without one stay.
     """
     gone = near_duplicates(docs, id_col, text_col, **options).filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    gone = Scratch(docs.sparkSession, "gone").table(gone, "gone")
-    if gone.count() <= BROADCAST_ROWS:
+    scratch = Scratch(docs.sparkSession, "gone")
+    gone = scratch.table(gone, "gone")
+    if scratch.rows(gone) <= BROADCAST_ROWS:
         gone = F.broadcast(gone)
     return docs.join(gone, F.col(f"`{id_col}`") == F.col("__gone"), "left_anti")

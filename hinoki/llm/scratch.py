@@ -6,18 +6,28 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a private one only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset a private folder serves a session in one process, as in tests. On
+    a cluster the executors have no folder in common with the driver, so it is an error.
+    """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='hinoki-shared-')}"
-        spark.conf.set("spark.checkpoint.dir", found)
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        found = _PRIVATE.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='hinoki-shared-')}")
     return found.rstrip("/")
 
 
+_PRIVATE: dict[str, str] = {}
+
+
 def delete(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     target = jvm.org.apache.hadoop.fs.Path(path)
@@ -48,12 +58,17 @@ class Scratch:
 
     def table(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` and return it as read from the written files."""
-        path = self.path(name)
-        df.write.option("compression", "zstd").parquet(path)
+        path, seen = self.path(name), Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows")).write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        out._hinoki_path = path
+        out._hinoki_path, out._hinoki_rows = path, seen.get["rows"]
         return out
 
+    @staticmethod
+    def rows(df: DataFrame) -> int:
+        """Rows of a table that ``table`` returned, counted while they were written."""
+        return df._hinoki_rows
+
     def drop(self, df: DataFrame) -> None:
         path = getattr(df, "_hinoki_path", None)
         if path:

@@ -70,8 +70,10 @@ def test_components_match_union_find(spark):
     for a, b in edges:
         x, y = find(a), find(b)
         parent[max(x, y)] = min(x, y)
-    got = {r["node"]: r["label"] for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
-    assert got == {x: find(x) for x in parent if find(x) != x}
+    links = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    for per_task in (10_000, 60):
+        got = {r["node"]: r["label"] for r in components(links, Scratch(spark, "t"), len(edges), per_task).collect()}
+        assert got == {x: find(x) for x in parent if find(x) != x}
 
 
 def test_differences_give_exact_similarity(spark):
