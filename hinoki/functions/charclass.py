@@ -3,29 +3,20 @@
 from __future__ import annotations
 
 from bisect import bisect_right
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .definitions import CHARACTERS
+
 # Category bits.
 BITS = {"DEFAULT": 1, "SPACE": 2, "KANJI": 4, "SYMBOL": 8, "NUMERIC": 16, "ALPHA": 32, "HIRAGANA": 64, "KATAKANA": 128, "KANJINUMERIC": 256, "GREEK": 512, "CYRILLIC": 1024, "USER1": 2048, "USER2": 4096, "USER3": 8192, "USER4": 16384, "NOOOVBOW": 32768}
 #: A word can't begin inside a run of these.
 GROUPING = BITS["ALPHA"] | BITS["GREEK"] | BITS["CYRILLIC"]
 
-# Default ranges, "low[-high] CATEGORY..." in hexadecimal.
-DEFAULT_RANGES = """
-9-B SPACE; D SPACE; 20 SPACE; 21-2F SYMBOL; 30-39 NUMERIC; 3A-40 SYMBOL; 41-5A ALPHA; 5B-60 SYMBOL; 61-7A ALPHA; 7B-7E SYMBOL;
-A1-BF SYMBOL; C0-D6 ALPHA; D7 SYMBOL; D8-F6 ALPHA; F7 SYMBOL; F8-236 ALPHA; 1E00-1EF9 ALPHA; 374-3FB GREEK; 400-4F9 CYRILLIC; 500-50F CYRILLIC;
-3041-309F HIRAGANA; 309B-309C HIRAGANA KATAKANA; 30A1-30FA KATAKANA; 30FC-30FF KATAKANA; 31F0-31FF KATAKANA; FF66-FF9F KATAKANA;
-30A1 NOOOVBOW; 30A3 NOOOVBOW; 30A5 NOOOVBOW; 30A7 NOOOVBOW; 30A9 NOOOVBOW; 30E3 NOOOVBOW; 30E5 NOOOVBOW; 30E7 NOOOVBOW; 30EE NOOOVBOW; 30FB-30FE NOOOVBOW;
-2E80-2EF3 KANJI; 2F00-2FD5 KANJI; 3005 KANJI NOOOVBOW; 3007 KANJI SYMBOL KANJINUMERIC; 3400-4DB5 KANJI; 4E00-9FFF KANJI; F900-FA2D KANJI; FA30-FA6A KANJI;
-4E00 KANJINUMERIC; 4E03 KANJINUMERIC; 4E07 KANJINUMERIC; 4E09 KANJINUMERIC; 4E5D KANJINUMERIC; 4E8C KANJINUMERIC; 4E94 KANJINUMERIC; 5104 KANJINUMERIC; 5146 KANJINUMERIC; 516B KANJINUMERIC; 516D KANJINUMERIC; 5341 KANJINUMERIC; 5343 KANJINUMERIC; 56DB KANJINUMERIC; 767E KANJINUMERIC;
-FF10-FF19 NUMERIC; FF21-FF3A ALPHA; FF41-FF5A ALPHA; FF01-FF0F SYMBOL; FF1A-FF20 SYMBOL; FF3B-FF40 SYMBOL; FF5B-FF65 SYMBOL; FFE0-FFEF SYMBOL;
-2000-206F SYMBOL; 2070-209F NUMERIC; 20A0-214F SYMBOL; 2150-218F NUMERIC; 2190-23FF SYMBOL; 2460-24FF SYMBOL; 2501-26FE SYMBOL; 2700-27EF SYMBOL; 27F0-297F SYMBOL; 2A00-2BFF SYMBOL;
-3000-303F SYMBOL; 3200-32FE SYMBOL; 3300-33FF SYMBOL; FE30-FE4F SYMBOL; FE50-FE6B SYMBOL
-"""
-
 
 def mask_of_names(names: Iterable[str]) -> int:
     out = 0
@@ -37,12 +28,11 @@ def mask_of_names(names: Iterable[str]) -> int:
 
 
 def default_ranges() -> list[tuple[int, int, int]]:
-    out = []
-    for item in DEFAULT_RANGES.replace("\n", " ").split(";"):
-        span, *names = item.split()
-        low, _, high = span.partition("-")
-        out.append((int(low, 16), int(high or low, 16), mask_of_names(names)))
-    return out
+    return parse_char_definition(CHARACTERS)[0]
+
+
+def default_rules() -> dict[str, tuple[bool, bool, int]]:
+    return parse_char_definition(CHARACTERS)[1]
 
 
 def parse_char_definition(lines: Iterable[str]) -> tuple[list[tuple[int, int, int]], dict[str, tuple[bool, bool, int]]]:
@@ -84,24 +74,46 @@ class Categories:
     def mask(self, ch: str) -> int:
         return self.masks[bisect_right(self.edges, ord(ch)) - 1]
 
-    def of(self, text: str) -> list[int]:
-        return [self.mask(c) for c in text]
+    def of(self, text: str) -> np.ndarray:
+        """Masks of all code points."""
+        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        return np.asarray(self.masks)[np.searchsorted(np.asarray(self.edges), points, "right") - 1]
+
+    def points(self, wanted: Callable[[int], bool]) -> str:
+        """The inside of a regular expression's class for the code points whose mask is wanted."""
+        return "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high, m in self.segments() if wanted(m))
+
+
+def runs(masks: Sequence[int] | np.ndarray) -> np.ndarray:
+    """Length of the run from each position while the intersection of categories lasts.
+
+    A run lasts as long as one category does, so it is the longest of the runs of the
+    single categories; each of these ends at the next character without the category.
+    """
+    masks = np.asarray(masks, np.int64)
+    n, at = len(masks), np.arange(len(masks))
+    out = np.zeros(n, np.int64)
+    for bit in BITS.values():
+        has = (masks & bit) != 0
+        if has.any():
+            ends = np.append(np.flatnonzero(~has), n)
+            out = np.maximum(out, np.where(has, ends[np.searchsorted(ends, at)] - at, 0))
+    return out
 
 
-def runs(masks: list[int]) -> list[int]:
-    """Length of the run from each position while the intersection of categories lasts."""
-    out = []
-    for i in range(len(masks)):
-        m, j = masks[i], i + 1
-        while j < len(masks) and m & masks[j]:
-            m &= masks[j]
-            j += 1
-        out.append(j - i)
+def can_begin(masks: Sequence[int] | np.ndarray) -> np.ndarray:
+    masks = np.asarray(masks, np.int64)
+    out = np.ones(len(masks), bool)
+    out[1:] = ((masks[1:] & GROUPING) == 0) | ((masks[1:] & masks[:-1]) == 0)
     return out
 
 
-def can_begin(masks: list[int]) -> list[bool]:
-    return [i == 0 or not m & GROUPING or not m & masks[i - 1] for i, m in enumerate(masks)]
+def narrowing_runs(text: str, cats: Categories) -> int:
+    """Number of runs that a text falls into, each as long as it can be from its first character."""
+    length, at, n = runs(cats.of(text)).tolist(), 0, 0
+    while at < len(length):
+        at, n = at + length[at], n + 1
+    return n
 
 
 # -- the same as Columns ----------------------------------------------------------
@@ -123,3 +135,24 @@ def mask_column(ch: Column, cats: Categories | None = None) -> Column:
 def span_mask(masks: Column, begin: Column, length: Column) -> Column:
     """Categories that all characters of a span share; ``begin`` is 0-based."""
     return F.aggregate(F.slice(masks, begin + 1, length), F.lit(-1).cast("long"), lambda a, x: a.bitwiseAND(x))
+
+
+def begins_column(text: Column, cats: Categories | None = None) -> Column:
+    """Number of positions where a word can begin: all but those that go on with a group."""
+    cats = cats or Categories()
+    grouped = sorted({m for _, _, m in cats.segments() if m & GROUPING})
+    if not grouped:
+        return F.length(text)
+    goes_on = "|".join(f"(?<=[{cats.points(lambda p: p & m)}])[{cats.points(lambda p: p == m)}]" for m in grouped)  # noqa: B023
+    return F.length(text) - F.regexp_count(text, F.lit(goes_on))
+
+
+def runs_column(text: Column, cats: Categories | None = None) -> Column:
+    """Number of narrowing runs, by an Arrow UDF; null for null."""
+    own = cats or Categories()
+
+    @F.pandas_udf("long")
+    def run(s: pd.Series) -> pd.Series:
+        return s.map(lambda x: None if x is None else narrowing_runs(x, own)).astype("Int64")
+
+    return run(text)

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..operators.plugins import InputText
 from .charclass import BITS, Categories
+from .definitions import kept_characters, voiced_kana
 
+SURROGATE = re.compile("[\ud800-\udfff]")
 PROLONGED = "ー-⁓〜〰"
 OPEN_BRACKETS, CLOSE_BRACKETS = "(（", ")）"
 
@@ -29,6 +32,31 @@ class Edited:
         self.text = self.original
         self.origin = list(range(len(self.original) + 1))
 
+    def substring(self, begin: int, end: int) -> str:
+        """The present text from begin to end, both of which must lie in it."""
+        if not 0 <= begin <= end <= len(self.text):
+            raise IndexError("range is outside of the text")
+        return self.text[begin:end]
+
+    def part(self, begin: int, end: int) -> Edited:
+        """A slice of the present text, with its offsets in the whole original."""
+        out = object.__new__(Edited)  # without the offsets of the whole
+        out.original, out.text, out.origin = self.original, self.text[begin:end], self.origin[begin : end + 1]
+        return out
+
+    def replace_all(self, spans: Iterable[tuple[int, int, str]]) -> None:
+        """``replace`` for ascending spans (begin, end, new) of the present text that don't overlap, in one pass."""
+        text, origin, at = [], [], 0
+        for begin, end, new in spans:
+            text += self.text[at:begin], new
+            origin += self.origin[at:begin]
+            if new:
+                origin.append(self.origin[begin])
+                origin += [self.origin[end]] * (len(new) - 1)
+            at = end
+        self.text = "".join((*text, self.text[at:]))
+        self.origin = origin + self.origin[at:]
+
     def replace(self, begin: int, end: int, new: str) -> None:
         """The first new character keeps the origin of ``begin``, later ones get that of ``end``."""
         if begin < 0 or begin > len(self.text):
@@ -43,7 +71,7 @@ class Edited:
 
 
 @dataclass
-class DefaultRewrite:
+class DefaultRewrite(InputText):
     """Longest replacement first; else lower case, then NFKC of the single character unless ignored."""
 
     ignore: frozenset[str] = frozenset()
@@ -64,42 +92,66 @@ class DefaultRewrite:
                 raise ValueError(f"invalid rewrite rule at line {number}")
         return cls(frozenset(ignore), pairs)
 
+    @classmethod
+    def standard(cls) -> DefaultRewrite:
+        """The packaged rules."""
+        return cls(kept_characters(), voiced_kana())
+
+    def __post_init__(self):
+        keys = sorted(self.replacements, key=len, reverse=True)
+        self._keys = re.compile("|".join(map(re.escape, keys))) if keys else None
+        self._single = _Single(self.ignore)
+
     def rewrite(self, t: Edited) -> None:
-        by_first: dict[str, int] = {}
-        for k in self.replacements:
-            by_first[k[0]] = max(by_first.get(k[0], 0), len(k))
-        i = 0
-        while i < len(t.text):
-            c = t.text[i]
-            for n in range(min(by_first.get(c, 0), len(t.text) - i), 0, -1):
-                new = self.replacements.get(t.text[i : i + n])
-                if new is not None:
-                    t.replace(i, i + n, new)
-                    i += len(new)
-                    break
-            else:
-                low = c.lower()
-                new = low if low in self.ignore else unicodedata.normalize("NFKC", low)
-                if new != c:
-                    t.replace(i, i + 1, new)
-                i += len(new)
+        text = t.text
+        found = list(self._keys.finditer(text)) if self._keys else []
+        if not found:
+            new = text.translate(self._single)
+            if len(new) == len(text):  # a character never becomes nothing, so each has become one
+                t.text = new
+                return
+        t.replace_all(self._spans(text, found))
+
+    def _spans(self, text: str, found: list[re.Match]) -> Iterator[tuple[int, int, str]]:
+        at = 0
+        for m in (*found, None):
+            for i in range(at, m.start() if m else len(text)):
+                new = self._single[ord(text[i])]
+                if new != text[i]:
+                    yield i, i + 1, new
+            if m:
+                yield m.start(), m.end(), self.replacements[m[0]]
+                at = m.end()
+
+
+class _Single(dict):
+    """Code point -> what a single character becomes, found out once."""
+
+    def __init__(self, ignore: frozenset[str]):
+        self.ignore = ignore
+
+    def __missing__(self, point: int) -> str:
+        low = chr(point).lower()
+        self[point] = new = low if low in self.ignore else unicodedata.normalize("NFKC", low)
+        return new
+
+    def __reduce__(self):
+        return _Single, (self.ignore,)
 
 
 @dataclass
-class ProlongedMarks:
+class ProlongedMarks(InputText):
     """Two or more marks of the set become one symbol."""
 
     marks: str = PROLONGED
     symbol: str = "ー"
 
     def rewrite(self, t: Edited) -> None:
-        found = list(re.finditer(f"[{re.escape(self.marks)}]{{2,}}", t.text))
-        for m in reversed(found):
-            t.replace(m.start(), m.end(), self.symbol)
+        t.replace_all((m.start(), m.end(), self.symbol) for m in re.finditer(f"[{re.escape(self.marks)}]{{2,}}", t.text))
 
 
 @dataclass
-class StripRuby:
+class StripRuby(InputText):
     """Drops a bracketed kana reading of at most ``longest`` characters after a kanji."""
 
     longest: int = 4
@@ -108,27 +160,45 @@ class StripRuby:
     def rewrite(self, t: Edited) -> None:
         kana = BITS["HIRAGANA"] | BITS["KATAKANA"]
         pattern = f"[{OPEN_BRACKETS}]([^{OPEN_BRACKETS}{CLOSE_BRACKETS}]{{1,{self.longest}}})[{CLOSE_BRACKETS}]"
-        for m in reversed(list(re.finditer(pattern, t.text))):
+
+        def ruby(m: re.Match) -> bool:
             before = t.text[m.start() - 1 : m.start()]
-            if before and self.categories.mask(before) & BITS["KANJI"] and all(self.categories.mask(c) & kana for c in m[1]):
-                t.replace(m.start(), m.end(), "")
+            return bool(before and self.categories.mask(before) & BITS["KANJI"]) and all(self.categories.mask(c) & kana for c in m[1])
+
+        t.replace_all((m.start(), m.end(), "") for m in re.finditer(pattern, t.text) if ruby(m))
+
+
+def valid_column(text: Column) -> Column:
+    """Whether a text is well-formed, so without half of a surrogate pair."""
+    return F.is_valid_utf8(text)
 
 
 def normalized(text: str, chain: Sequence) -> Edited:
+    """The text after all plugins of the chain; half of a surrogate pair is an error."""
+    if not text.isascii() and SURROGATE.search(text):
+        raise ValueError("lone surrogate in the text")
     t = Edited(text)
     for plugin in chain:
         plugin.rewrite(t)
     return t
 
 
-def normalize_column(text: Column, chain: Sequence) -> Column:
-    """Normalized text by an Arrow UDF; null stays null."""
+def normalize_column(text: Column, chain: Sequence, native_ascii: bool = False) -> Column:
+    """Normalized text by an Arrow UDF; null stays null.
+
+    With ``native_ascii`` ASCII texts are only lower-cased, without leaving the JVM: that
+    is what the default rewriting does to them.
+    """
 
     @F.pandas_udf("string")
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else normalized(x, chain).text)
 
-    return run(text)
+    if not native_ascii:
+        return run(text)
+    plain = text.rlike(r"\A[\x00-\x7F]*\z")
+    # The UDF runs over every row whatever the branch, so ASCII texts go there as nulls.
+    return F.when(plain, F.lower(text)).otherwise(run(F.when(~plain, text)))
 
 
 # -- native forms ---------------------------------------------------------------

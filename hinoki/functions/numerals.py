@@ -1,8 +1,16 @@
-"""Numerals as strings of any precision: digits, kanji digits, 十百千, 万億兆, points and commas."""
+"""Numerals as strings of any precision: digits, kanji digits, 十百千, 万億兆, points and commas.
+
+A numeral is a row of sections that end in 万, 億 or 兆, the last one without. A section
+is a row of terms that end in 十, 百 or 千, the last one without. A term is a plain
+number, or nothing (one ten, one hundred...). Values are decimal places: a string of
+digits and the power of ten of its last digit. What follows must fit into the places
+that a value leaves free, so adding is writing one string behind the other.
+"""
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import re
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column
@@ -13,129 +21,115 @@ DIGITS = {c: d for row in ("0123456789", "〇一二三四五六七八九") for d
 SMALL = {"十": 1, "百": 2, "千": 3}
 LARGE = {"万": 4, "億": 8, "兆": 12}
 
-
-@dataclass
-class Amount:
-    """digits * 10**scale, with the last ``fraction`` digits after the point."""
-
-    digits: str = ""
-    scale: int = 0
-    fraction: int | None = None
-
-    def shift(self, n: int) -> None:
-        if not self.digits:
-            self.digits = "1"
-        self.scale += n
-        if self.fraction:
-            used = min(self.scale, self.fraction)
-            self.fraction -= used
-            self.scale -= used
-        if self.fraction == 0:
-            self.fraction = None
-
-    def int_length(self) -> int:
-        return len(self.digits) - (self.fraction or 0) + self.scale
-
-    def add(self, other: Amount) -> bool:
-        if not other.digits:
-            return True
-        if not self.digits:
-            self.digits, self.scale, self.fraction = other.digits, other.scale, other.fraction
-            return True
-        room = self.scale - other.int_length()
-        if self.fraction or room < 0:
-            return False
-        self.digits += "0" * room + other.digits
-        self.scale, self.fraction = other.scale, other.fraction
-        return True
-
-    def text(self) -> str:
-        if not self.digits:
-            return "0"
-        if not self.fraction:
-            return self.digits + "0" * self.scale
-        cut = len(self.digits) - self.fraction
-        whole, part = self.digits[:cut], self.digits[cut:].rstrip("0")
-        return (whole or "0") + ("." + part if part else "")
-
-
-class Numeral:
-    """Fed one character at a time; ``error`` is NONE, POINT, COMMA or OTHER."""
-
-    def __init__(self):
-        self.total, self.part, self.now = Amount(), Amount(), Amount()
-        self.run, self.comma, self.point, self.error = 0, False, False, "NONE"
-
-    def _fail(self, error: str) -> bool:
-        self.error = error
-        return False
-
-    def _clear(self) -> None:
-        self.now, self.run, self.comma, self.point = Amount(), 0, False, False
-
-    def _group_ok(self) -> bool:
-        return not self.comma or self.run == 3
-
-    def feed(self, c: str) -> bool:
-        if c in DIGITS:
-            self.now.digits += str(DIGITS[c])
-            if self.point:
-                self.now.fraction = (self.now.fraction or 0) + 1
-            self.run += 1
-            return True
-        if c in SMALL or c in LARGE:
-            if not self._group_ok():
-                return self._fail("COMMA")
-            if self.point and not self.now.fraction:
-                return self._fail("POINT")
-        if c in SMALL:
-            self.now.shift(SMALL[c])
-            if not self.part.add(self.now):
-                return self._fail("OTHER")
-            self._clear()
-            return True
-        if c in LARGE:
-            if not self.part.add(self.now) or not self.part.digits:
-                return self._fail("OTHER")
-            self.part.shift(LARGE[c])
-            if not self.total.add(self.part):
-                return self._fail("OTHER")
-            self.part = Amount()
-            self._clear()
-            return True
-        if c == ".":
-            if not self.now.digits or self.point:
-                return self._fail("POINT")
-            if not self._group_ok():
-                return self._fail("COMMA")
-            self.point, self.comma = True, False
-            return True
-        if c == ",":
-            whole = bool(self.now.digits) and set(self.now.digits) != {"0"} and not self.point
-            if not whole or (self.run != 3 if self.comma else not 1 <= self.run <= 3):
-                return self._fail("COMMA")
-            self.comma, self.run = True, 0
-            return True
-        return self._fail("OTHER")
-
-    def done(self) -> bool:
-        if self.point and not self.now.fraction:
-            return self._fail("POINT")
-        if not self._group_ok():
-            return self._fail("COMMA")
-        if not (self.part.add(self.now) and self.total.add(self.part)):
-            return self._fail("OTHER")
-        return True
-
-    def text(self) -> str:
-        return self.total.text()
+_ASCII = str.maketrans({c: str(d) for c, d in DIGITS.items()})
+_TERM = re.compile(f"([0-9.,]*)([{''.join(SMALL)}{''.join(LARGE)}]|$)")
+_PLAIN = re.compile(r"([0-9]+)(?:\.([0-9]+))?")
+_GROUPED = re.compile(r"(?!0+,)([0-9]{1,3}(?:,[0-9]{3})+)(?:\.([0-9]+))?")
+#: Groups that a further comma may follow.
+_GROUPS = re.compile(r"(?!0+,)[0-9]{1,3}(?:,[0-9]{3})*")
+_MARK = re.compile("[.,]")
+
+
+class Places(NamedTuple):
+    """``digits`` times ten to the power of ``low``."""
+
+    digits: str
+    low: int
+
+    def then(self, other: Places | None) -> Places | None:
+        """Both as one, or None if ``other`` needs a place that is taken."""
+        if other is None:
+            return self
+        free = self.low - other.low - len(other.digits)
+        return None if free < 0 else Places(self.digits + "0" * free + other.digits, other.low)
+
+    def times(self, power: int) -> Places:
+        return Places(self.digits, self.low + power)
+
+    def __str__(self) -> str:
+        if self.low >= 0:
+            return self.digits + "0" * self.low
+        fraction = self.digits[self.low :].rstrip("0")
+        return self.digits[: self.low] + ("." + fraction if fraction else "")
+
+
+class Parsed(NamedTuple):
+    """``error`` is NONE, POINT, COMMA or OTHER; ``at`` is where it shows, the length at the end."""
+
+    accepted: bool
+    normalized: str | None
+    error: str
+    at: int
+
+
+def _mark_error(term: str) -> tuple[str, int] | None:
+    """The first comma or point of a term that what stands before it doesn't allow."""
+    head, point, fraction = term.partition(".")
+    comma = head.find(",")
+    if comma >= 0:
+        whole = _GROUPS.match(head)
+        end = whole.end() if whole else -1
+        # The comma after whole groups may stand; the next one closes a group that isn't whole.
+        bad = head.find(",", end + 1) if end >= comma else comma
+        if bad >= 0:
+            return "COMMA", bad
+        if point and end < len(head):
+            return "COMMA", len(head)
+    elif point and not head:
+        return "POINT", 0
+    second = _MARK.search(fraction)
+    return second and ("COMMA" if second[0] == "," else "POINT", len(head) + 1 + second.start())
+
+
+def _number(term: str) -> Places | str:
+    """A plain number, or the rule that its end breaks."""
+    m = _PLAIN.fullmatch(term) or _GROUPED.fullmatch(term)
+    if m is None:
+        return "POINT" if term.endswith(".") else "COMMA"
+    fraction = m[2] or ""
+    return Places(m[1].replace(",", "") + fraction, -len(fraction))
+
+
+def read(text: str) -> Parsed:
+    """The value of a whole text."""
+    plain, at = text.translate(_ASCII), 0
+    total: Places | None = None
+    section: Places | None = None
+    failed = lambda error, place: Parsed(False, None, error, place)
+    while True:
+        m = _TERM.match(plain, at)
+        term = m[1] if m else re.compile("[0-9.,]*").match(plain, at)[0]
+        if bad := _mark_error(term):
+            return failed(bad[0], at + bad[1])
+        at += len(term)
+        if m is None:
+            return failed("OTHER", at)
+        value = _number(term) if term else None
+        if isinstance(value, str):
+            return failed(value, at)
+        unit = m[2]
+        if unit in SMALL:
+            value = (value or Places("1", 0)).times(SMALL[unit])
+        section = value if section is None else section.then(value)
+        if section is None and (value is not None or unit in LARGE):
+            return failed("OTHER", at)
+        if unit in SMALL:
+            at += 1
+            continue
+        if section is not None:
+            section = section.times(LARGE.get(unit, 0))
+            total = section if total is None else total.then(section)
+            if total is None:
+                return failed("OTHER", at)
+        section = None
+        if not unit:
+            return Parsed(True, str(total), "NONE", at) if total else failed("OTHER", at)
+        at += 1
 
 
 def parse(text: str) -> tuple[bool, str | None, str]:
     """(accepted, normalized, error)."""
-    n = Numeral()
-    ok = bool(text) and all(n.feed(c) for c in text) and n.done()
-    return (True, n.text(), "NONE") if ok else (False, None, n.error if text else "OTHER")
+    return read(text)[:3]
 
 
 def numeral_column(text: Column) -> Column:

@@ -16,15 +16,15 @@ LIMIT = 4096
 
 _close, _open, _period = re.escape(CLOSE), re.escape(OPEN), re.escape(PERIODS)
 BREAKER = re.compile(f"[{_period}]|・{{3,}}|(?<![{ALNUM}])[{DOTS}](?![{ALNUM}{COMMAS}])[{DOTS}{_period}]*|(?:<br>|<BR>){{2,}}")
-PROHIBITED = re.compile(f"[{_close}{COMMAS}{DOTS}{_period}]+")
+PROHIBITED = re.compile(f"[{_close}{COMMAS}{_period}]+")
 ITEM = re.compile(f"[{ALNUM}][{DOTS}]")
 ITEM_END = re.compile(f"[{ALNUM}][{DOTS}]$")
 QUOTE = re.compile(f"[！？!?{_close}](?:と|っ|です)")
 HEAD = re.compile(r".+\s+")
+PAREN = re.compile(f"[{re.escape(OPEN + CLOSE)}]")
 
 
-def paren_level(text: str) -> int:
-    """Openers less closers, never below 0; a straight double quote toggles."""
+def _levels(text: str) -> Iterator[int]:
     level, quoted = 0, False
     for c in text:
         if c == '"':
@@ -33,14 +33,23 @@ def paren_level(text: str) -> int:
             level += 1
         elif c in CLOSE:
             level = max(0, level - 1)
+        yield level
+
+
+def paren_level(text: str) -> int:
+    """Openers less closers, never below 0; a straight double quote toggles."""
+    level = 0
+    for level in _levels(text):
+        pass
     return level
 
 
 def _continues(text: str, eos: int) -> bool:
-    m = QUOTE.search(text, eos - 1)
+    """Whether the first quote marker of the text is at the boundary, or an item's number goes on."""
+    m = QUOTE.search(text)
     if m and m.start() == eos - 1:
         return True
-    return text[eos] in "とやの" and ITEM_END.search(text[:eos]) is not None
+    return text[eos] in "とやの" and ITEM_END.search(text, max(0, eos - 2), eos) is not None
 
 
 def find_eos(text: str, veto: Callable[[str, int], bool] | None = None, limit: int = LIMIT) -> int:
@@ -48,14 +57,16 @@ def find_eos(text: str, veto: Callable[[str, int], bool] | None = None, limit: i
     if not text:
         return 0
     window = text[:limit]
-    at = 0
+    at, levels = 0, None
     while m := BREAKER.search(window, at):
         end = at = m.end()
         if p := PROHIBITED.match(window, end):
             end = p.end()
-        if paren_level(window[:end]):
+        if levels is None:
+            levels = list(_levels(window)) if PAREN.search(window) else []
+        if levels and levels[end - 1]:
             continue
-        if ITEM.fullmatch(window[: m.end()]):
+        if ITEM.fullmatch(window, 0, m.end()):
             continue
         if end < len(window) and _continues(window, end):
             continue
@@ -89,5 +100,5 @@ def paren_level_column(text: Column) -> Column:
 
 def prohibited_column(text: Column) -> Column:
     """Length of the leading run of characters that can't begin a sentence."""
-    inner = "".join(f"\\x{{{ord(c):x}}}" for c in CLOSE + COMMAS + DOTS + PERIODS)
+    inner = "".join(f"\\x{{{ord(c):x}}}" for c in CLOSE + COMMAS + PERIODS)
     return F.length(F.regexp_extract(text, f"^([{inner}]*)", 1))

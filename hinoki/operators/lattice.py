@@ -5,13 +5,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 
-from ..functions import numerals
+import numpy as np
+
+from ..functions import counters, numerals
 from ..functions.charclass import BITS, Categories, can_begin, runs
 from ..plans.dictionary import INHIBITED, Compiled, Word
+from .plugins import OovProvider, PathRewrite
 
+_NUMERIC, _NO_OOV = BITS["NUMERIC"] | BITS["KANJINUMERIC"], BITS["NOOOVBOW"]
 
-@dataclass
+
+@dataclass(slots=True)
 class Node:
     begin: int
     end: int
@@ -29,18 +35,21 @@ class Chars:
     masks: list[int]
     runs: list[int]
     begins: list[bool]
+    starts: list[int]
+    nexts: list[int]
 
     @classmethod
     def of(cls, text: str, cats: Categories) -> Chars:
         masks = cats.of(text)
-        return cls(text, masks, runs(masks), can_begin(masks))
+        begins = can_begin(masks)
+        starts = np.flatnonzero(begins)
+        # A position's next word beginning, or the end.
+        nexts = np.append(starts, len(text))[np.searchsorted(starts, np.arange(len(text)), "right")]
+        return cls(text, masks.tolist(), runs(masks).tolist(), begins.tolist(), starts.tolist(), nexts.tolist())
 
     def candidate(self, at: int) -> int:
         """Length up to the next position where a word can begin."""
-        end = at + 1
-        while end < len(self.text) and not self.begins[end]:
-            end += 1
-        return end - at
+        return self.nexts[at] - at
 
 
 def oov_word(surface: str, left: int, right: int, cost: int, pos_id: int) -> Word:
@@ -49,7 +58,7 @@ def oov_word(surface: str, left: int, right: int, cost: int, pos_id: int) -> Wor
 
 # -- out-of-vocabulary providers: (chars, offset, lengths seen) -> nodes ---------------
 @dataclass
-class SimpleOov:
+class SimpleOov(OovProvider):
     pos: Sequence[str]
     left_id: int = 0
     right_id: int = 0
@@ -67,7 +76,7 @@ class SimpleOov:
 
 
 @dataclass
-class CategoryOov:
+class CategoryOov(OovProvider):
     """Runs and prefixes of a character category, by rule."""
 
     categories: dict[str, tuple[bool, bool, int]]
@@ -76,6 +85,12 @@ class CategoryOov:
 
     def set_up(self, d: Compiled) -> None:
         self.by_mask = []
+        rows, cols = d.matrix.shape
+        for cat, left, right, _, _ in self.rules:
+            if cat not in self.categories:
+                raise ValueError(f"unknown-word rule for category {cat}, which has no category rule")
+            if not (0 <= left < cols and 0 <= right < rows):
+                raise ValueError(f"unknown-word rule for {cat} names ids outside of the matrix")
         for name, (invoke, group, length) in self.categories.items():
             own = [(left, right, cost, d.pos_id(pos, self.register)) for cat, left, right, cost, pos in self.rules if cat == name]
             self.by_mask.append((BITS[name], invoke, group, length, own))
@@ -97,7 +112,7 @@ class CategoryOov:
 
 
 @dataclass
-class RegexOov:
+class RegexOov(OovProvider):
     regex: str
     pos: Sequence[str]
     left_id: int = 0
@@ -121,32 +136,33 @@ class RegexOov:
         return [Node(at, m.end(), oov_word(m[0], self.left_id, self.right_id, self.cost, self.pos_id), True)]
 
 
-# Counters and their kana aliases.
-COUNTERS = {"個": "こ", "人": "にん", "台": "だい", "冊": "さつ", "杯": "はい", "回": "かい", "階": "かい", "円": "えん", "年": "ねん", "週": "しゅう", "秒": "びょう", "号": "ごう", "番": "ばん", "本": "ほん ぼん ぽん", "匹": "ひき びき ぴき", "枚": "まい", "歳": "さい", "才": "さい"}
 COUNTER_POS = ("接尾辞", "名詞的")
-_NUMBER_BEFORE = re.compile("[0-9０-９〇一二三四五六七八九十百千万億兆]+(?:[.,，．][0-9０-９〇一二三四五六七八九十百千万億兆]+)*$")
+# What a number ends in.
+_NUMBER_END = frozenset("0123456789０１２３４５６７８９〇一二三四五六七八九十百千万億兆")
 
 
 @dataclass
-class CounterOov:
+class CounterOov(OovProvider):
     """Kana spellings of counters directly after a number, with the counter's own attributes."""
 
-    counters: dict[str, str] = field(default_factory=lambda: dict(COUNTERS))
+    counters: dict[str, Sequence[str]] = field(default_factory=lambda: {c.surface: c.spellings for c in counters.COUNTERS})
 
     def set_up(self, d: Compiled) -> None:
         self.aliases: dict[str, list[Word]] = {}
         for counter, kana in self.counters.items():
             own = [w for w in d.index.get(counter, ()) if d.pos[w.pos_id][:2] == COUNTER_POS]
-            for alias in kana.split() if own else ():
+            for alias in kana if own else ():
                 w = own[0]
                 if not any(x.pos_id == w.pos_id and x.normalized == w.normalized for x in d.index.get(alias, ())):
                     reading = "".join(chr(ord(k) + 0x60) for k in alias)
                     self.aliases.setdefault(alias, []).append(replace(w, dict_id=-1, word_id=-1, surface=alias, length=len(alias), reading=reading, a_split=(), b_split=(), synonyms=()))
+        self.longest = max(map(len, self.aliases), default=0)
 
     def provide(self, c: Chars, at: int, seen: set[int]) -> list[Node]:
-        if not self.aliases or not _NUMBER_BEFORE.search(c.text, max(0, at - 64), at):
+        if not at or not self.aliases or c.text[at - 1] not in _NUMBER_END:
             return []
-        return [Node(at, at + n, w, True) for n in (3, 2, 1) for w in self.aliases.get(c.text[at : at + n], ()) if at + n <= len(c.text)]
+        found = [(n, w) for n in range(min(self.longest, len(c.text) - at), 0, -1) for w in self.aliases.get(c.text[at : at + n], ())]
+        return [Node(at, at + n, w, True) for n, w in found]
 
 
 # -- lattice and best path -----------------------------------------------------------
@@ -163,11 +179,11 @@ class Lattice:
         self.ends[n.end].append(n)
 
     def _best(self, at: int, left_id: int, cost: int) -> tuple[int | None, Node | None]:
-        best, low = None, None
+        best, low, connect = None, None, self.d.connect
         for p in self.ends[at]:
             if p.total is None:
                 continue
-            edge = self.d.connect(p.word.right_id, left_id)
+            edge = connect(p.word.right_id, left_id)
             if edge != INHIBITED and (low is None or p.total + edge < low):
                 best, low = p, p.total + edge
         return (None if best is None else low + cost), best
@@ -195,17 +211,17 @@ class Lattice:
 
 
 def build(d: Compiled, c: Chars, oov: Sequence) -> Lattice:
-    lat = Lattice(d, len(c.text))
-    for at in range(len(c.text)):
-        if not c.begins[at] or not lat.ends[at]:
+    lat, size = Lattice(d, len(c.text)), len(c.text)
+    for at in c.starts:
+        if not lat.ends[at]:
             continue
         seen: set[int] = set()
         for w in d.prefixes(c.text, at):
             end = at + w.length
-            if end == len(c.text) or c.begins[end]:
+            if end == size or c.begins[end]:
                 lat.insert(Node(at, end, w))
                 seen.add(w.length)
-        if not c.masks[at] & BITS["NOOOVBOW"]:
+        if not c.masks[at] & _NO_OOV:
             for p in oov:
                 for n in p.provide(c, at, seen):
                     lat.insert(n)
@@ -247,7 +263,7 @@ def neko(d: Compiled, path: list[Node], lat: Lattice) -> list[Node]:
 
 
 @dataclass
-class JoinNumeric:
+class JoinNumeric(PathRewrite):
     normalize: bool = True
     pos: Sequence[str] = ("名詞", "数詞", "*", "*", "*", "*")
 
@@ -255,33 +271,55 @@ class JoinNumeric:
         self.pos_id = d.pos_ids.get(tuple(self.pos), -2)
 
     def rewrite(self, c: Chars, path: list[Node], lat: Lattice) -> list[Node]:
-        numeric = BITS["NUMERIC"] | BITS["KANJINUMERIC"]
-        shared = lambda n: all(m & numeric for m in c.masks[n.begin : n.end])
-        out, i = [], 0
+        out, i, stop = [], 0, 0
         while i < len(path):
-            best, j, parser = None, i, numerals.Numeral()
-            while j < len(path) and (shared(path[j]) or path[j].word.normalized in (".", ",")):
-                if not all(parser.feed(x) for x in path[j].word.normalized):
-                    break
-                j += 1
-                trial = numerals.parse("".join(n.word.normalized for n in path[i:j]))
-                if trial[0]:
-                    best = (j, trial[1])
-            if best and path[i].word.pos_id == self.pos_id:
-                j, value = best
-                if j - i > 1 or (self.normalize and value != path[i].word.normalized):
-                    out.append(concatenated(path[i:j], value if self.normalize else None))
-                else:
-                    out.append(path[i])
-                i = j
-            else:
+            value = None
+            if path[i].word.pos_id == self.pos_id:
+                if stop <= i:
+                    stop = i
+                    while stop < len(path) and self._fits(c, path[stop]):
+                        stop += 1
+                j, value = self._longest(path, i, stop)
+            if value is None:
                 out.append(path[i])
                 i += 1
+                continue
+            if j - i > 1 or (self.normalize and value != path[i].word.normalized):
+                out.append(concatenated(path[i:j], value if self.normalize else None))
+            else:
+                out.append(path[i])
+            i = j
         return out
 
+    @staticmethod
+    def _fits(c: Chars, n: Node) -> bool:
+        return n.word.normalized in (".", ",") or all(m & _NUMERIC for m in c.masks[n.begin : n.end])
+
+    @staticmethod
+    def _longest(path: list[Node], i: int, stop: int) -> tuple[int, str | None]:
+        """End and value of the longest numeral of whole nodes from i on, ``stop`` at most."""
+        size = 32
+        while True:
+            nodes = path[i : min(i + size, stop)]
+            text = "".join(n.word.normalized for n in nodes)
+            read = numerals.read(text)
+            # An error inside shows in every longer text too.
+            if i + size >= stop or not read.accepted and read.at < len(text):
+                break
+            size *= 4
+        ends = list(accumulate(len(n.word.normalized) for n in nodes))
+        while not read.accepted:
+            last = ends.pop()
+            while ends and ends[-1] > min(read.at, last - 1):
+                ends.pop()
+            if not ends:
+                return i, None
+            read = numerals.read(text[: ends[-1]])
+        return i + len(ends), read.normalized
+
 
 @dataclass
-class JoinKatakana:
+class JoinKatakana(PathRewrite):
     pos: Sequence[str] = ("名詞", "普通名詞", "一般", "*", "*", "*")
     shortest: int = 3
     register: bool = False

@@ -14,35 +14,22 @@ from ..plans.dictionary import INHIBITED
 
 def characters(texts: DataFrame, key: str) -> DataFrame:
     """(key, at, ch, mask, n): a row for each character."""
+    # The length comes first: beside the generator it would take the whole text along in every row.
     chars = F.filter(F.split("text", ""), lambda c: c != "")
-    out = texts.select(key, F.length("text").alias("n"), F.posexplode(chars).alias("at", "ch"))
+    out = texts.select(key, F.length("text").alias("n"), chars.alias("chars")).select(key, "n", F.posexplode("chars").alias("at", "ch"))
     return out.withColumn("mask", mask_column(F.col("ch")))
 
 
-def count_starts(masks: Column, grouping: int) -> Column:
-    """Positions that start anew: the first, and those that share no category with the one
-    before or have none of ``grouping``. One fold over the masks."""
-
-    def step(acc: Column, m: Column) -> Column:
-        new = (m.bitwiseAND(F.lit(grouping)) == 0) | (m.bitwiseAND(acc["last"]) == 0)
-        return F.struct(m.alias("last"), (acc["n"] + F.when(new, 1).otherwise(0)).alias("n"))
-
-    start = F.struct(F.lit(0).cast("long").alias("last"), F.lit(0).cast("int").alias("n"))
-    return F.aggregate(masks, start, step, lambda acc: acc["n"].cast("long"))
-
-
-def mask_array(text: Column) -> Column:
-    return F.transform(F.filter(F.split(text, ""), lambda c: c != ""), lambda c: mask_column(c))
-
-
-def positions(texts: DataFrame, key: str) -> DataFrame:
-    """(key, text, n, at, next): word beginnings and where the next one, or the end, is."""
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    rows = texts.select(key, "text", F.length("text").alias("n"), F.posexplode(chars).alias("at", "ch")).withColumn("mask", mask_column(F.col("ch")))
+def positions(texts: DataFrame, key: str, longest: int) -> DataFrame:
+    """(key, n, at, next, unit, ahead): word beginnings, where the next one or the end is, the
+    characters up to there, and the ``longest`` next characters. No row carries a whole text."""
     order = Window.partitionBy(key).orderBy("at")
     new = (F.col("at") == 0) | (F.col("mask").bitwiseAND(F.lit(GROUPING)) == 0) | (F.col("mask").bitwiseAND(F.lag("mask").over(order)) == 0)
-    begins = rows.withColumn("new", new).filter("new")
-    return begins.select(key, "text", "n", "at", F.coalesce(F.lead("at").over(order), F.col("n")).alias("next"), "mask")
+    ahead = F.array_join(F.collect_list("ch").over(order.rowsBetween(0, longest - 1)), "")
+    rows = characters(texts, key).select(key, "n", "at", "ch", ahead.alias("ahead"), new.alias("new"))
+    rows = rows.withColumn("unit_no", F.sum(F.col("new").cast("int")).over(order))
+    chars = F.transform(F.array_sort(F.collect_list(F.struct("at", "ch"))), lambda x: x["ch"])
+    return rows.groupBy(key, "unit_no").agg(F.first("n").alias("n"), F.min("at").alias("at"), (F.max("at") + 1).alias("next"), F.array_join(chars, "").alias("unit"), F.min_by("ahead", "at").alias("ahead")).drop("unit_no")
 
 
 def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
@@ -50,30 +37,33 @@ def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) ->
 
     ``longest`` bounds the substrings made at each position; the join is an equi-join.
     """
-    pos = positions(texts, key)
-    spans = pos.select(key, "at", "n", "text", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("len"))
-    spans = spans.withColumn("headword", F.substring("text", F.col("at") + 1, F.col("len")))
-    hits = spans.drop("text").join(F.broadcast(lexicon.filter("headword is not null")), "headword")
-    ends = pos.select(key, F.col("at").alias("end")).union(pos.select(key, F.col("n")).distinct())
-    return hits.withColumn("end", F.col("at") + F.col("len")).join(ends, [key, "end"], "left_semi")
+    return _lexicon_nodes(positions(texts, key, longest), lexicon, key, longest)
+
+
+def _lexicon_nodes(pos: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
+    spans = pos.select(key, "at", "n", "ahead", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("len"))
+    spans = spans.withColumn("headword", F.substring("ahead", F.lit(1), F.col("len")))
+    hits = spans.drop("ahead").join(F.broadcast(lexicon.filter("headword is not null")), "headword")
+    # The next beginnings are all beginnings but the first, and the ends.
+    return hits.withColumn("end", F.col("at") + F.col("len")).join(pos.select(key, F.col("next").alias("end")), [key, "end"], "left_semi")
 
 
-def simple_oov(texts: DataFrame, nodes: DataFrame, key: str, cost: int, pos_id: int) -> DataFrame:
+def simple_oov(pos: DataFrame, nodes: DataFrame, key: str, cost: int, pos_id: int) -> DataFrame:
     """One node up to the next word beginning wherever the lexicon has none.
 
     As the only provider it is the fallback too, so it also serves characters that
     don't begin unknown words otherwise.
     """
-    pos = positions(texts, key)
     bare = pos.join(nodes.select(key, "at").distinct(), [key, "at"], "left_anti")
-    return bare.select(key, "at", F.col("next").alias("end"), F.substring("text", F.col("at") + 1, F.col("next") - F.col("at")).alias("surface"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"), F.lit(cost).alias("cost"), F.lit(-1).alias("dict_id"), F.lit(-1).alias("word_id"), F.lit(pos_id).alias("pos_id"))
+    return bare.select(key, "at", F.col("next").alias("end"), F.col("unit").alias("surface"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"), F.lit(cost).alias("cost"), F.lit(-1).alias("dict_id"), F.lit(-1).alias("word_id"), F.lit(pos_id).alias("pos_id"))
 
 
 def lattice_nodes(texts: DataFrame, lexicon: DataFrame, key: str, longest: int, oov_cost: int, oov_pos: int) -> DataFrame:
     """Lexicon and simple OOV nodes with ``node_ord``, the order of insertion."""
     cols = [key, "at", "end", "surface", "left_id", "right_id", "cost", "dict_id", "word_id", "pos_id"]
-    hits = prefix_join(texts, lexicon, key, longest).select(*cols)
-    every = hits.unionByName(simple_oov(texts, hits, key, oov_cost, oov_pos))
+    pos = positions(texts, key, longest)
+    hits = _lexicon_nodes(pos, lexicon, key, longest).select(*cols)
+    every = hits.unionByName(simple_oov(pos, hits, key, oov_cost, oov_pos))
     order = Window.partitionBy(key).orderBy("at", F.col("dict_id") < 0, "dict_id", "end", "word_id")
     return every.withColumn("node_ord", F.row_number().over(order))
 
@@ -87,26 +77,30 @@ def edges(nodes: DataFrame, connection: DataFrame, key: str) -> DataFrame:
 
 
 def viterbi(nodes: DataFrame, connection: DataFrame, key: str) -> DataFrame:
-    """(key, total): cost of the best path, one fold over each text's sorted nodes.
+    """(key, total, path): cost of the best path and the node_ord of its nodes, one fold over each text's sorted nodes.
 
-    The array holds one text's lattice; for long texts use the kernel.
+    Of equally cheap nodes before it a node takes the one inserted first. The fold keeps
+    nodes that end at or after the present position only. It is for checking the kernel:
+    the array holds one text's whole lattice.
     """
     table = F.broadcast(connection.groupBy().agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws(",", "left", "right"), "cost"))).alias("matrix")))
     per = nodes.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("node_ord", "at", "end", "left_id", "right_id", F.col("cost").cast("long").alias("cost")))).alias("ns"), F.max("end").alias("n"))
     # One row of connection costs beside each text.
     per = per.join(table, F.col("n").isNotNull())
-    state = "array<struct<end:int,right_id:int,total:bigint>>"
+    state = "array<struct<end:int,right_id:int,total:bigint,node_ord:int,path:array<int>>>"
     conn = lambda r, left: F.coalesce(F.try_element_at("matrix", F.concat_ws(",", r, left)), F.lit(0))
 
     def best(acc: Column, at: Column, left_id: Column) -> Column:
         near = F.filter(acc, lambda p: (p["end"] == at) & (conn(p["right_id"], left_id) != INHIBITED))
-        return F.array_min(F.transform(near, lambda p: p["total"] + conn(p["right_id"], left_id)))
+        return F.array_min(F.transform(near, lambda p: F.struct((p["total"] + conn(p["right_id"], left_id)).alias("total"), p["node_ord"].alias("node_ord"), p["path"].alias("path"))))
 
     def step(acc: Column, n: Column) -> Column:
         low = best(acc, n["at"], n["left_id"])
-        new = F.array(F.struct(n["end"].alias("end"), n["right_id"].alias("right_id"), (low + n["cost"]).alias("total"))).cast(state)
-        return F.when(low.isNull(), acc).otherwise(F.concat(acc, new))
+        path = F.concat(low["path"], F.array(n["node_ord"].cast("int")))
+        new = F.array(F.struct(n["end"].alias("end"), n["right_id"].alias("right_id"), (low["total"] + n["cost"]).alias("total"), n["node_ord"].cast("int").alias("node_ord"), path.alias("path"))).cast(state)
+        open_ends = F.filter(acc, lambda p: p["end"] >= n["at"])
+        return F.when(low.isNull(), open_ends).otherwise(F.concat(open_ends, new))
 
-    start = F.array(F.struct(F.lit(0).alias("end"), F.lit(0).alias("right_id"), F.lit(0).cast("bigint").alias("total"))).cast(state)
+    start = F.array(F.struct(F.lit(0).alias("end"), F.lit(0).alias("right_id"), F.lit(0).cast("bigint").alias("total"), F.lit(0).alias("node_ord"), F.array().cast("array<int>").alias("path"))).cast(state)
     done = per.select(key, "n", "matrix", F.aggregate("ns", start, step).alias("acc"))
-    return done.select(key, best(F.col("acc"), F.col("n"), F.lit(0)).alias("total"))
+    return done.select(key, best(F.col("acc"), F.col("n"), F.lit(0)).alias("b")).select(key, "b.total", "b.path")

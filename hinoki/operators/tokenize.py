@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,8 +19,10 @@ from ..plans.dictionary import Compiled
 from . import lattice
 from .lattice import Chars, Lattice, Node
 
-MORPHEME = "begin int, end int, surface string, pos array<string>, pos_id int, dictionary_form string, normalized_form string, reading_form string, is_oov boolean, word_id int, dictionary_id int, synonym_group_ids array<int>, total_cost long"
-_TYPE = pa.struct([("begin", pa.int32()), ("end", pa.int32()), ("surface", pa.string()), ("pos", pa.list_(pa.string())), ("pos_id", pa.int32()), ("dictionary_form", pa.string()), ("normalized_form", pa.string()), ("reading_form", pa.string()), ("is_oov", pa.bool_()), ("word_id", pa.int32()), ("dictionary_id", pa.int32()), ("synonym_group_ids", pa.list_(pa.int32())), ("total_cost", pa.int64())])
+MORPHEME = "begin int, end int, surface string, pos array<string>, pos_id int, dictionary_form string, normalized_form string, reading_form string, is_oov boolean, word_id int, dictionary_id int, synonym_group_ids array<int>, total_cost long, original string"
+_ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
+FIELDS = dict(f.split(" ") for f in MORPHEME.split(", "))
+OFFSETS = ("code points", "utf-16", "bytes")
 MODES = ("A", "B", "C")
 
 
@@ -28,13 +31,13 @@ class Engine:
     """A compiled dictionary with its plugin chains. Stateless between texts."""
 
     dictionary: Compiled
-    input: Sequence = field(default_factory=lambda: [DefaultRewrite()])
+    input: Sequence = field(default_factory=lambda: [DefaultRewrite.standard()])
     oov: Sequence = ()
     path: Sequence = ()
     categories: Categories = field(default_factory=Categories)
 
     def __post_init__(self):
-        for p in (*self.oov, *self.path):
+        for p in (*self.input, *self.oov, *self.path):
             p.set_up(self.dictionary)
 
     # -- one text ---------------------------------------------------------------
@@ -43,30 +46,55 @@ class Engine:
         lat = lattice.build(self.dictionary, c, self.oov)
         return c, lat, lat.path()
 
-    def analyse(self, edited: Edited, mode: str) -> list[dict]:
+    def path_of(self, text: str, mode: str) -> list[Node]:
+        """Best path of a normalized text, rewritten and split."""
         if mode not in MODES:
             raise ValueError(f"unknown split mode {mode}")
         for p in self.path:
-            if hasattr(p, "validate_split_mode"):
-                p.validate_split_mode(mode)
-        if not edited.text:
+            p.validate_split_mode(mode)
+        if not text:
             return []
-        c, lat, path = self.lattice(edited.text)
+        c, lat, path = self.lattice(text)
         path = lattice.neko(self.dictionary, path, lat)
         for p in self.path:
             path = p.rewrite(c, path, lat)
-        return [self._morpheme(n, edited) for n in lattice.split(self.dictionary, path, mode)]
+        return lattice.split(self.dictionary, path, mode)
+
+    def analyse(self, edited: Edited, mode: str) -> list[dict]:
+        made = self.columns([(edited, self.path_of(edited.text, mode))], list(FIELDS), OFFSETS[0])
+        return made.to_pylist()[0]
 
     def tokenize(self, text: str, mode: str = "C") -> list[dict]:
         return self.analyse(normalized(text, self.input), mode)
 
-    def _morpheme(self, n: Node, t: Edited) -> dict:
-        w = n.word
-        return {"begin": t.origin[n.begin], "end": t.origin[n.end], "surface": w.surface, "pos": list(self.dictionary.pos[w.pos_id]), "pos_id": w.pos_id, "dictionary_form": w.dict_form, "normalized_form": w.normalized, "reading_form": w.reading, "is_oov": n.is_oov, "word_id": w.word_id, "dictionary_id": -1 if n.is_oov else w.dict_id, "synonym_group_ids": list(w.synonyms), "total_cost": n.total}
+    def columns(self, done: Sequence[tuple[Edited, list[Node]] | None], fields: Sequence[str], offsets: str) -> pa.ListArray:
+        """list<struct> of the fields of each text's nodes, column by column; None gives null."""
+        texts = [(t, _places(t.original, offsets), nodes) for t, nodes in filter(None, done)]
+        spans = [(t, place, n) for t, place, nodes in texts for n in nodes]
+        words, pos = [n.word for _, _, n in spans], self.dictionary.pos
+        makers = {
+            "begin": lambda: [place(t.origin[n.begin]) for t, place, n in spans],
+            "end": lambda: [place(t.origin[n.end]) for t, place, n in spans],
+            "surface": lambda: [w.surface for w in words],
+            "pos": lambda: [pos[w.pos_id] for w in words],
+            "pos_id": lambda: [w.pos_id for w in words],
+            "dictionary_form": lambda: [w.dict_form for w in words],
+            "normalized_form": lambda: [w.normalized for w in words],
+            "reading_form": lambda: [w.reading for w in words],
+            "is_oov": lambda: [n.is_oov for _, _, n in spans],
+            "word_id": lambda: [w.word_id for w in words],
+            "dictionary_id": lambda: [-1 if n.is_oov else n.word.dict_id for _, _, n in spans],
+            "synonym_group_ids": lambda: [w.synonyms for w in words],
+            "total_cost": lambda: [n.total for _, _, n in spans],
+            "original": lambda: [t.original[t.origin[n.begin] : t.origin[n.end]] for t, _, n in spans],
+        }
+        flat = pa.StructArray.from_arrays([pa.array(makers[f](), _ARROW[FIELDS[f]]) for f in fields], names=list(fields))
+        ends = np.concatenate(([0], np.cumsum([len(x[1]) if x else 0 for x in done]))).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in done], pa.bool_()))
 
     def veto(self, text: str, eos: int) -> bool:
         """Whether a word spans the boundary, or ends at it with more than one character."""
-        for at in range(max(0, eos - 32), eos):
+        for at in range(max(0, eos - self.dictionary.longest_word), eos):
             for w in self.dictionary.prefixes(text, at):
                 if at + w.length > eos or (at + w.length == eos and w.length > 1):
                     return True
@@ -77,9 +105,7 @@ class Engine:
         t = normalized(text, self.input)
         out = []
         for a, b in sentences.split(t.text, self.veto, limit):
-            part = Edited(text)
-            part.text, part.origin = t.text[a:b], t.origin[a : b + 1]
-            out.append((t.origin[a], t.origin[b], part))
+            out.append((t.origin[a], t.origin[b], t.part(a, b)))
         return out
 
     def dump(self, text: str) -> str:
@@ -89,64 +115,101 @@ class Engine:
         return json.dumps({"nodes": [row(n) for n in lat.nodes()], "bestPath": [row(n) for n in path], "splitPath": [row(n) for n in lattice.split(self.dictionary, path, "A")]}, ensure_ascii=False)
 
     # -- tables ----------------------------------------------------------------------
-    def _mapped(self, df: DataFrame, text_col: str, fields: T.StructType, per_text) -> DataFrame:
-        """Rows of ``df`` without the text, each repeated with the rows that ``per_text`` makes of it."""
+    def _mapped(self, df: DataFrame, text_col: str, types: dict[str, T.DataType], per_batch) -> DataFrame:
+        """Rows of ``df`` without the text, repeated as ``per_batch(engine, texts)`` says.
+
+        It returns (row numbers, Arrow columns). Tables in fewer partitions than there are
+        cores are dealt out first: analysis is CPU-bound.
+        """
         keep = [c for c in df.columns if c != text_col]
         src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
+        cores = df.sparkSession.sparkContext.defaultParallelism
+        if _scanned(src) and src.rdd.getNumPartitions() < cores:
+            src = src.repartition(4 * cores)
         engine = df.sparkSession.sparkContext.broadcast(self)
-        types = [None] * len(keep)
-        schema = T.StructType(src.drop("__text").schema.fields + fields.fields)
-        arrow = [_TYPE_OF[f.name] for f in fields.fields]
+        schema = T.StructType(src.drop("__text").schema.fields + [T.StructField(n, t) for n, t in types.items()])
+        n_kept = len(keep)
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = engine.value
             for whole in batches:
                 for at in range(0, whole.num_rows, 64):
                     b = whole.slice(at, 64)
-                    take, made = [], []
-                    for i, text in enumerate(b.column(len(types)).to_pylist()):
-                        for r in per_text(own, text):
-                            take.append(i)
-                            made.append(r)
+                    take, made = per_batch(own, b.column(n_kept).to_pylist())
                     index = pa.array(take, pa.int64())
-                    cols = [b.column(k).take(index) for k in range(len(types))]
-                    cols += [pa.array([r[k] for r in made], t) for k, t in enumerate(arrow)]
-                    yield pa.RecordBatch.from_arrays(cols, names=schema.names)
+                    yield pa.RecordBatch.from_arrays([*(b.column(k).take(index) for k in range(n_kept)), *made], names=schema.names)
 
         return src.mapInArrow(run, schema)
 
-    def tokenize_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", tolerant: bool = False) -> DataFrame:
+    def tokenize_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", tolerant: bool = False, fields: Sequence[str] | None = None, offsets: str = OFFSETS[0]) -> DataFrame:
         """``df`` with ``morphemes`` and ``error`` for the text column; null and empty texts have none.
 
+        ``fields`` names the morpheme fields wanted, all by default; ``offsets`` counts
+        begin and end in code points, UTF-16 units or UTF-8 bytes of the original text.
         With ``tolerant`` a text that can't be analysed gets an error message and a null
         list instead of failing the job.
         """
-        fields = T.StructType([T.StructField("morphemes", T.ArrayType(T.StructType.fromDDL(MORPHEME))), T.StructField("error", T.StringType())])
+        wanted = _wanted(fields, offsets)
+
+        def per_batch(own: Engine, texts: list[str | None]):
+            done, errors = [], []
+            for text in texts:
+                try:
+                    t = normalized(text or "", own.input)
+                    done.append((t, own.path_of(t.text, mode)))
+                    errors.append(None)
+                except ValueError as e:
+                    if not tolerant:
+                        raise
+                    done.append(None)
+                    errors.append(str(e))
+            return range(len(texts)), [own.columns(done, wanted, offsets), pa.array(errors, pa.string())]
+
+        return self._mapped(df, text_col, {"morphemes": _list_type(wanted), "error": T.StringType()}, per_batch)
+
+    def sentence_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", limit: int = sentences.LIMIT, fields: Sequence[str] | None = None) -> DataFrame:
+        """A row for each sentence: sent_no, sent_begin, sent_end, sentence, morphemes."""
+        wanted = _wanted(fields, OFFSETS[0])
+        types = {f.name: f.dataType for f in T.StructType.fromDDL("sent_no int, sent_begin int, sent_end int, sentence string")}
 
-        def one(own: Engine, text: str | None) -> list[tuple]:
-            try:
-                return [(own.tokenize(text or "", mode), None)]
-            except ValueError as e:
-                if not tolerant:
-                    raise
-                return [(None, str(e))]
+        def per_batch(own: Engine, texts: list[str | None]):
+            rows = [(i, k, a, b, part) for i, text in enumerate(texts) for k, (a, b, part) in enumerate(own.split_sentences(text or "", limit))]
+            done = [(part, own.path_of(part.text, mode)) for *_, part in rows]
+            numbers = [pa.array([r[k] for r in rows], pa.int32()) for k in (1, 2, 3)]
+            return [r[0] for r in rows], [*numbers, pa.array([texts[r[0]][r[2] : r[3]] for r in rows], pa.string()), own.columns(done, wanted, OFFSETS[0])]
 
-        return self._mapped(df, text_col, fields, one)
+        return self._mapped(df, text_col, types | {"morphemes": _list_type(wanted)}, per_batch)
 
-    def sentence_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", limit: int = sentences.LIMIT) -> DataFrame:
-        """A row for each sentence: sent_no, sent_begin, sent_end, sentence, morphemes."""
-        fields = T.StructType.fromDDL("sent_no int, sent_begin int, sent_end int, sentence string").add("morphemes", T.ArrayType(T.StructType.fromDDL(MORPHEME)))
+    def dump_table(self, df: DataFrame, text_col: str = "text") -> DataFrame:
+        def per_batch(own: Engine, texts: list[str | None]):
+            return range(len(texts)), [pa.array([own.dump(text or " ") for text in texts], pa.string())]
 
-        def one(own: Engine, text: str | None) -> list[tuple]:
-            return [(k, a, b, text[a:b], own.analyse(part, mode)) for k, (a, b, part) in enumerate(own.split_sentences(text or "", limit))]
+        return self._mapped(df, text_col, {"dump": T.StringType()}, per_batch)
 
-        return self._mapped(df, text_col, fields, one)
 
-    def dump_table(self, df: DataFrame, text_col: str = "text") -> DataFrame:
-        return self._mapped(df, text_col, T.StructType.fromDDL("dump string"), lambda own, text: [(own.dump(text or " "),)])
+def _scanned(df: DataFrame) -> bool:
+    """Whether the partitions of ``df`` are those of its source; telling those after a shuffle would run it."""
+    return not df.isStreaming and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def _wanted(fields: Sequence[str] | None, offsets: str) -> list[str]:
+    wanted = list(FIELDS if fields is None else fields)
+    if not wanted or not set(wanted) <= set(FIELDS) or offsets not in OFFSETS:
+        raise ValueError("unknown morpheme field or unit of offsets")
+    return wanted
+
+
+def _list_type(fields: Sequence[str]) -> T.ArrayType:
+    return T.ArrayType(T.StructType.fromDDL(", ".join(f"`{f}` {FIELDS[f]}" for f in fields)))
 
 
-_TYPE_OF = {"morphemes": pa.list_(_TYPE), "error": pa.string(), "sent_no": pa.int32(), "sent_begin": pa.int32(), "sent_end": pa.int32(), "sentence": pa.string(), "dump": pa.string()}
+def _places(text: str, offsets: str) -> Callable[[int], int]:
+    """Offsets in code points to those in the wanted unit."""
+    if offsets == OFFSETS[0] or text.isascii():
+        return int
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = 1 + (points > 0xFFFF) if offsets == "utf-16" else 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
+    return np.concatenate(([0], np.cumsum(size))).tolist().__getitem__
 
 
 def morphemes(df: DataFrame) -> DataFrame:

@@ -5,17 +5,20 @@ from __future__ import annotations
 import importlib
 import json
 import os
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from ..functions.charclass import Categories, parse_char_definition
+from ..functions.definitions import CHARACTERS, UNKNOWN_WORDS
 from ..functions.normalize import DefaultRewrite, ProlongedMarks, StripRuby
 from ..operators.lattice import CategoryOov, CounterOov, JoinKatakana, JoinNumeric, RegexOov, SimpleOov
+from ..operators.plugins import ConnectionEdit, InputText, OovProvider, PathRewrite
 from ..operators.tokenize import Engine
 from ..sources import lexicon as src
-from .dictionary import Dictionary, inhibit, targeted
+from .dictionary import Compiled, Dictionary, inhibit, targeted
 
 PLUGINS = {c.__name__: c for c in (DefaultRewrite, ProlongedMarks, StripRuby, SimpleOov, CategoryOov, RegexOov, CounterOov, JoinNumeric, JoinKatakana)}
 NOUN = ("名詞", "普通名詞", "一般", "*", "*", "*")
@@ -83,10 +86,13 @@ def plugin(name: str, **options):
     return known(**options)
 
 
-def plugins(config: Config, key: str, default: Sequence) -> list:
+def plugins(config: Config, key: str, kind: type, default: Sequence) -> list:
     """Plugins of a list of {"class": name, ...}; a missing or empty list means the default."""
-    found = config.items(key)
-    return [plugin(p["class"], **{k: v for k, v in p.items() if k != "class"}) for p in found] or list(default)
+    found = [plugin(p["class"], **{k: v for k, v in p.items() if k != "class"}) for p in config.items(key)]
+    for p in found:
+        if not isinstance(p, kind):
+            raise TypeError(f"{type(p).__name__} in {key} is no {kind.__name__}")
+    return found or list(default)
 
 
 def default_oov(categories: dict | None = None, rules: Sequence = (), register: bool = True) -> list:
@@ -96,23 +102,52 @@ def default_oov(categories: dict | None = None, rules: Sequence = (), register:
     return [*first, SimpleOov(NOUN, cost=30000, register=register)]
 
 
-def engine(dictionary: Dictionary, config: Config | None = None, char_definition: Sequence[str] | None = None, unknown_rules: Sequence[str] | None = None, rewrite_rules: Sequence[str] = ()) -> Engine:
-    """The default profile over a dictionary: connection edits, then input, OOV and path plugins."""
-    config = config or Config()
+def _covers(compiled: Compiled, rules: Sequence) -> bool:
+    return all(left < compiled.cols and right < compiled.rows for _, left, right, _, _ in rules)
+
+
+def connection_edits(config: Config, dictionary: Dictionary) -> DataFrame:
+    """The dictionary's connections after the edits of the configuration, in their order.
+
+    An edit is {"inhibitPair": [[left, right], ...]}, {"rules": [...]} between entries,
+    or {"class": name, ...} for a plugin of one's own.
+    """
     connection = dictionary.connection
     for edit in config.items("editConnectionCostPlugin"):
         if "inhibitPair" in edit:
             connection = inhibit(connection, edit["inhibitPair"])
-        else:
-            rows = [(r["left"]["surface"], (list(r["left"]["pos"]) + ["*"] * 6)[:6], r["left"]["reading"], r["right"]["surface"], (list(r["right"]["pos"]) + ["*"] * 6)[:6], r["right"]["reading"], r["cost"]) for r in edit["rules"]]
-            rules = connection.sparkSession.createDataFrame(rows, "l_surface string, l_pos array<string>, l_reading string, r_surface string, r_pos array<string>, r_reading string, cost int")
+        elif "rules" in edit:
+            six = lambda pos: (list(pos) + ["*"] * 6)[:6]
+            rows = [(r["left"]["surface"], six(r["left"]["pos"]), r["left"]["reading"], r["right"]["surface"], six(r["right"]["pos"]), r["right"]["reading"], r["cost"], i) for i, r in enumerate(edit["rules"])]
+            rules = connection.sparkSession.createDataFrame(rows, "l_surface string, l_pos array<string>, l_reading string, r_surface string, r_pos array<string>, r_reading string, cost int, seq int")
             connection = targeted(connection, dictionary.lexicon, rules)
-    ranges, categories = parse_char_definition(char_definition) if char_definition else (None, None)
-    rules = src.parse_unknown_rules(list(unknown_rules)) if unknown_rules else ()
+        else:
+            own = plugin(edit["class"], **{k: v for k, v in edit.items() if k != "class"})
+            if not isinstance(own, ConnectionEdit):
+                raise TypeError(f"{type(own).__name__} is no ConnectionEdit")
+            connection = own.edit(connection, dictionary.lexicon)
+    return connection
+
+
+def engine(dictionary: Dictionary, config: Config | None = None, char_definition: Sequence[str] | None = None, unknown_rules: Sequence[str] | None = None, rewrite_rules: Sequence[str] | None = None) -> Engine:
+    """The default profile over a dictionary: connection edits, then input, OOV and path plugins.
+
+    Definitions that aren't given are the packaged ones. The packaged unknown-word rules
+    name ids of a large matrix; with a smaller one they are left out with a warning. An
+    empty list of rules leaves them out without one; given rules must fit.
+    """
+    config = config or Config()
+    compiled = Dictionary(dictionary.lexicon, dictionary.pos, connection_edits(config, dictionary)).compile()
+    ranges, categories = parse_char_definition(CHARACTERS if char_definition is None else char_definition)
+    rules = src.parse_unknown_rules(list(UNKNOWN_WORDS if unknown_rules is None else unknown_rules))
+    if unknown_rules is None and not config.items("oovProviderPlugin") and not _covers(compiled, rules):
+        warnings.warn("the packaged unknown-word rules need a larger connection matrix and are left out", stacklevel=2)
+        rules = []
+    rewrite = DefaultRewrite.standard() if rewrite_rules is None else DefaultRewrite.from_lines(rewrite_rules)
     return Engine(
-        Dictionary(dictionary.lexicon, dictionary.pos, connection).compile(),
-        plugins(config, "inputTextPlugin", [DefaultRewrite.from_lines(rewrite_rules)]),
-        plugins(config, "oovProviderPlugin", default_oov(categories, rules)),
-        plugins(config, "pathRewritePlugin", [JoinNumeric(), JoinKatakana(NOUN, register=True)]),
+        compiled,
+        plugins(config, "inputTextPlugin", InputText, [rewrite]),
+        plugins(config, "oovProviderPlugin", OovProvider, default_oov(categories, rules)),
+        plugins(config, "pathRewritePlugin", PathRewrite, [JoinNumeric(), JoinKatakana(NOUN, register=True)]),
         Categories(ranges),
     )

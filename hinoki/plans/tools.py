@@ -40,20 +40,24 @@ def assembled(spark: SparkSession, system: str, users: Sequence[str] = (), compo
     return Dictionary.build(rows + [read_rows(spark, u) for u in users], spark.read.parquet(f"{system}/connection"))
 
 
-def build(spark: SparkSession, out: str, files: Sequence[str], matrix: str | None = None, system: str | None = None, description: str = "") -> dict:
+def build(spark: SparkSession, out: str, files: Sequence[str], matrix: str | None = None, system: str | None = None, description: str = "", progress: Callable[[str, str, int | None], None] | None = None) -> dict:
     """Write a system (``matrix``) or user (``system``) dictionary; returns statistics.
 
     All references are resolved once before anything is written, so invalid rows and
     connections fail the build. ``inputs`` and ``outputs`` of the statistics hold name,
-    milliseconds and entries of each.
+    milliseconds and entries of each. ``progress(part, name, entries)`` is called when a
+    part begins (entries None) and when it ends.
     """
+    tell = progress or (lambda part, name, entries: None)
     if (matrix is None) == (system is None):
         raise ValueError("either a matrix or a system dictionary")
     stats: dict = {"inputs": [], "outputs": []}
 
     def timed(kind: str, name: str, step: Callable[[], int]) -> None:
+        tell(kind, name, None)
         began = time.perf_counter()
         entries = step()
+        tell(kind, name, entries)
         stats[kind].append({"name": name, "time_ms": round((time.perf_counter() - began) * 1000, 2), "entries": entries})
 
     rows = src.parse_rows(src.read_csv(spark, list(files)))
@@ -121,7 +125,7 @@ def engine_from(spark: SparkSession, config: Config, resources: Sequence[str] =
         raise ValueError("no system dictionary")
     dictionary = assembled(spark, place(system), [place(u) for u in config.items("userDict")], config.flag("enableDefaultCompoundParticles", True))
     lines = {k: src.read_lines(spark, place(config.string(k))) if config.string(k) else None for k in ("charDef", "unkDef", "rewriteDef")}
-    return engine(dictionary, config, lines["charDef"], lines["unkDef"], lines["rewriteDef"] or ())
+    return engine(dictionary, config, lines["charDef"], lines["unkDef"], lines["rewriteDef"])
 
 
 def formatter(name: str | None, details: bool, words: bool) -> Callable[[Column], Column]:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.charclass import BITS
+
 CSV_COLUMNS = ("headword", "left_id", "right_id", "cost", "surface", "pos1", "pos2", "pos3", "pos4", "pos5", "pos6", "reading", "normalized", "dict_form_ref", "unit_type", "a_split_ref", "b_split_ref", "structure_ref", "synonym_ref")
 CSV_SCHEMA = ", ".join(f"{c} {'int' if c in ('left_id', 'right_id', 'cost') else 'string'}" for c in CSV_COLUMNS)
 MAX_STRING, MAX_LIST = 32767, 127
@@ -82,22 +84,30 @@ def compound_particles(spark: SparkSession, dict_id: int = 1) -> DataFrame:
 
 
 def parse_matrix(lines: DataFrame) -> DataFrame:
-    """(left, right, cost) of the non-header lines of a matrix file (column ``value``); missing cells cost 0.
+    """(left, right, cost) of the lines (columns ``value`` and, if known, ``seq``) of a matrix file.
 
-    The header is the one line of two numbers; ids outside it are an error.
+    The first line that isn't blank is the header, two numbers of ids; without ``seq``
+    it is the only line of two numbers. Missing cells cost 0. A missing or second header,
+    a line of another form and an id outside of the header's numbers are errors.
     """
     cols = F.split(F.trim("value"), r"\s+")
-    rows = lines.filter(F.trim("value") != "").select(cols.alias("c"))
-    size = rows.filter(F.size("c") == 2).select(F.col("c")[0].cast("int").alias("nl"), F.col("c")[1].cast("int").alias("nr"))
-    cells = rows.filter(F.size("c") != 2).select(*[F.col("c")[i].cast("int").alias(n) for i, n in enumerate(("left", "right", "cost"))])
-    # The header is a single row.
-    joined = cells.join(F.broadcast(size), (F.col("left") >= 0) | F.col("left").isNull())
-    bad = F.col("cost").isNull() | (F.col("left") >= F.col("nl")) | (F.col("right") >= F.col("nr")) | (F.col("right") < 0)
-    return joined.select("left", "right", F.when(bad, F.raise_error(F.lit("invalid matrix line"))).otherwise(F.col("cost")).alias("cost"))
+    rows = lines.filter(F.trim("value") != "").select(cols.alias("c"), (F.col("seq") if "seq" in lines.columns else F.lit(0)).alias("seq"))
+    heads = rows.filter(F.size("c") == 2).agg(F.count("*").alias("heads"), F.min(F.struct("seq", "c")).alias("h"))
+    # One row: the sizes, the number of headers, and where they and the other lines begin.
+    first = rows.filter(F.size("c") != 2).agg(F.min("seq").alias("first"))
+    head = heads.crossJoin(first).select("heads", "first", F.col("h.seq").alias("at"), F.col("h.c")[0].try_cast("int").alias("nl"), F.col("h.c")[1].try_cast("int").alias("nr"))
+    cells = rows.filter(F.size("c") != 2).select(F.size("c").alias("n"), *[F.try_element_at("c", F.lit(i + 1)).try_cast("int").alias(n) for i, n in enumerate(("left", "right", "cost"))])
+    joined = F.broadcast(head).join(cells, F.lit(True), "left")
+    no_head = (F.col("heads") != 1) | F.col("nl").isNull() | F.col("nr").isNull() | (F.col("at") > F.col("first"))
+    inside = F.col("left").between(0, F.col("nl") - 1) & F.col("right").between(0, F.col("nr") - 1) & F.col("cost").between(-32768, 32767)
+    bad = F.when(no_head, "a matrix begins with one line of two numbers").when(F.col("n").isNotNull() & ~((F.col("n") == 3) & F.coalesce(inside, F.lit(False))), "invalid matrix line")
+    checked = joined.withColumn("ok", F.when(bad.isNotNull(), F.raise_error(bad).cast("boolean")).otherwise(F.col("n").isNotNull()))
+    return checked.filter("ok").select("left", "right", "cost")
 
 
 def read_matrix(spark: SparkSession, path: str) -> DataFrame:
-    return parse_matrix(spark.read.text(path))
+    # Ids follow the lines, as those of a file's later splits are larger.
+    return parse_matrix(spark.read.text(path).withColumn("seq", F.monotonically_increasing_id()))
 
 
 def read_lines(spark: SparkSession, path: str) -> list[str]:
@@ -112,7 +122,7 @@ def parse_unknown_rules(lines: list[str]) -> list[tuple[str, int, int, int, tupl
         if not line.strip() or line.startswith("#"):
             continue
         cols = line.split(",")
-        if len(cols) < 10:
+        if len(cols) < 10 or cols[0] not in BITS:
             raise ValueError(f"invalid unknown-word rule at line {number}")
         out.append((cols[0], int(cols[1]), int(cols[2]), int(cols[3]), tuple(cols[4:10])))
     return out

@@ -17,28 +17,32 @@ STATE = "tail string, next_seq long, sent_no int, waiting map<long,string>, last
 
 
 def complete(engine: Engine, text: str, ended: bool, limit: int) -> tuple[list[str], str]:
-    """(sentences that no later chunk can change, rest)."""
-    out = []
-    while text:
-        head = text.lstrip()
-        norm = normalized(head, engine.input)
-        n = sentences.find_eos(norm.text, engine.veto, limit)
-        if n == 0:
-            return out, ""
+    """(sentences that no later chunk can change, rest).
+
+    The text is normalized once; white space before a sentence isn't part of it.
+    """
+    t, out, at = normalized(text, engine.input), [], 0
+    while True:
+        start = at
+        while start < len(t.text) and t.text[start].isspace():
+            start += 1
+        if start == len(t.text):
+            return out, "" if ended else text[t.origin[at] :]
+        n = sentences.find_eos(t.text[start : start + 2 * limit], engine.veto, limit)
+        end = start + abs(n)
         # A boundary at the very end may still grow; a cut needs a full window.
-        if not ended and (abs(n) >= len(norm.text) or (n < 0 and len(norm.text) < limit)):
-            return out, text
-        cut = norm.origin[abs(n)]
-        out.append(head[:cut])
-        text = head[cut:]
-    return out, ""
+        if not ended and (end >= len(t.text) or (n < 0 and len(t.text) - start < limit)):
+            return out, text[t.origin[at] :]
+        out.append(text[t.origin[start] : t.origin[end]])
+        at = end
 
 
 def sentence_stream(chunks: DataFrame, engine: Engine, mode: str = "C", limit: int = sentences.LIMIT) -> DataFrame:
     """(key, seq, chunk, last) in any order of arrival -> (key, sent_no, sentence, surfaces).
 
     ``seq`` counts a key's chunks from 0 and ``last`` marks the final one. Chunks that
-    come early wait in the state until their turn; what can still grow stays there.
+    come early wait in the state until their turn; what can still grow stays there. The
+    state goes once the final chunk is done; a key's numbers start again if it comes back.
     Without a size cut the sentences don't depend on how the text was cut into chunks.
     """
     shared = chunks.sparkSession.sparkContext.broadcast(engine)
@@ -59,7 +63,10 @@ def sentence_stream(chunks: DataFrame, engine: Engine, mode: str = "C", limit: i
         ended = 0 <= last < at
         done, tail = complete(own, tail, ended, limit)
         rows = [(key[0], number + i, s, " ".join(m["surface"] for m in own.tokenize(s, mode))) for i, s in enumerate(done)]
-        state.update((tail, at, number + len(done), waiting, last))
+        if ended:
+            state.remove()
+        else:
+            state.update((tail, at, number + len(done), waiting, last))
         yield pd.DataFrame(rows, columns=["key", "sent_no", "sentence", "surfaces"])
 
     return chunks.groupBy("key").applyInPandasWithState(run, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)

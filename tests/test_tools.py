@@ -40,7 +40,9 @@ def test_build_and_print(spark, places, capsys):
 
 def test_statistics(spark, places):
     root, lines = places
-    stats = tools.build(spark, f"{root}/again", [f"{root}/lex.csv"], matrix=f"{root}/matrix.def")
+    told = []
+    stats = tools.build(spark, f"{root}/again", [f"{root}/lex.csv"], matrix=f"{root}/matrix.def", progress=lambda *x: told.append(x))
+    assert told[:2] == [("inputs", f"{root}/lex.csv", None), ("inputs", f"{root}/lex.csv", len(lines))] and told[-1] == ("outputs", "meta", 1)
     assert json.loads(tools.rendered(stats, "json"))["inputs"][0]["entries"] == len(lines)
     assert tools.rendered(stats, "csv").splitlines()[0] == "part,name,time_ms,entries"
     assert f"{root}/lex.csv" in tools.rendered(stats, "console")
