@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import charclass, formats, normalize, numerals, sentences
@@ -21,10 +21,6 @@ from .config import NOUN, default_oov
 from .dictionary import Dictionary, PosMatcher
 
 SENTENCES = ("東京都に行く", "京都の本を三冊買う", "すもももももももものうち", "アイスクリームを1,200円で買う。", "ねことねる", "漢字(かんじ)を読むーーー", "京都に行く。東京に行く。", "xyz本")
-WAKATI = {
-    "C": ("東京都 に 行く", "京都 の 本 を 三 冊 買う", "すもも も もも も もも の うち", "アイスクリーム を 1,200 円 で 買う 。", "ねこ と ねる", "漢字 ( か ん じ ) を 読む ー ー ー", "京都 に 行く 。 東京 に 行く 。", "xyz 本"),
-    "A": ("東京 都 に 行く", "京都 の 本 を 三 冊 買う", "すもも も もも も もも の うち", "アイス クリーム を 1,200 円 で 買う 。", "ねこ と ねる", "漢字 ( か ん じ ) を 読む ー ー ー", "京都 に 行く 。 東京 に 行く 。", "xyz 本"),
-}
 COUNTS = (1, 1, 1, 1, 1, 1, 2, 1)
 OOV_COST = 30000
 K = len(SENTENCES)
@@ -69,7 +65,7 @@ _MATRIX = [(a, b, 100 * abs(a - b) - (300 if (a, b) in ((1, 2), (2, 3), (4, 4),
 
 
 def raw_rows() -> list[tuple]:
-    return [(h, left, right, cost, h, *pos.split(","), reading, norm, form, unit, split, "*", split, syn, i) for i, (h, left, right, cost, pos, reading, norm, form, unit, split, syn) in enumerate(_WORDS)]
+    return [(h, left, right, cost, h, *pos.split(","), reading, norm, form, unit, split, split if unit == "C" else "*", split, syn, i) for i, (h, left, right, cost, pos, reading, norm, form, unit, split, syn) in enumerate(_WORDS)]
 
 
 def parsed(spark: SparkSession) -> DataFrame:
@@ -179,49 +175,85 @@ def scan_documents(spark, sf_dir):
 
 @query(_with(_MASKS) + "SELECT mask, count(*) AS n FROM (SELECT unnest(m) AS mask FROM masks) GROUP BY mask")
 def char_category(spark, sf_dir):
-    masks = _docs(spark, sf_dir).select(F.explode(relational.mask_array(F.col("text"))).alias("mask"))
-    return masks.groupBy("mask").agg(F.count("*").alias("n"))
+    # Characters are counted first, so that categories are looked up for few rows.
+    chars = _docs(spark, sf_dir).select(F.explode(F.split("text", "")).alias("ch")).filter("ch <> ''").groupBy("ch").agg(F.count("*").alias("n"))
+    return chars.groupBy(charclass.mask_column(F.col("ch")).alias("mask")).agg(F.sum("n").alias("n"))
 
 
 @query(_with(_MASKS) + f"SELECT doc_id, len(list_filter(range(1, len(m) + 1), lambda i: i = 1 OR (m[i] & {GROUPING}) = 0 OR (m[i] & m[i - 1]) = 0)) AS n_begins FROM masks")
 def can_bow(spark, sf_dir):
-    return _docs(spark, sf_dir).select("doc_id", relational.count_starts(relational.mask_array(F.col("text")), GROUPING).alias("n_begins"))
+    return _docs(spark, sf_dir).select("doc_id", charclass.begins_column(F.col("text")).cast("long").alias("n_begins"))
 
 
-@query(_with(_MASKS) + "SELECT doc_id, len(list_filter(range(1, len(m) + 1), lambda i: i = 1 OR (m[i] & m[i - 1]) = 0)) AS n_runs FROM masks")
+#: Latin letters become characters of several categories, so that runs narrow.
+_MIXED = ("etaoinsrhl", "一〇、ー゛々カAЖ三")
+
+
+def _narrowing_sql() -> str:
+    # Number of runs so far and the categories left, packed into one integer.
+    step = "CASE WHEN (a & 65535 & m) <> 0 THEN (a >> 16 << 16) | (a & 65535 & m) ELSE ((a >> 16) + 1) << 16 | m END"
+    masks = f"list_transform(string_split(translate(text, '{_MIXED[0]}', '{_MIXED[1]}'), ''), lambda c: CAST({_mask_sql('c')} AS BIGINT))"
+    return f"SELECT doc_id, CASE WHEN text IS NULL THEN NULL ELSE list_reduce(list_prepend(0::BIGINT, {masks}), lambda a, m: {step}) >> 16 END AS n_runs FROM documents"
+
+
+@query(_narrowing_sql())
 def category_run(spark, sf_dir):
-    every = (1 << 16) - 1
-    return _docs(spark, sf_dir).select("doc_id", relational.count_starts(relational.mask_array(F.col("text")), every).alias("n_runs"))
+    text = F.translate("text", *_MIXED)
+    return _docs(spark, sf_dir).select("doc_id", charclass.runs_column(text).alias("n_runs"))
 
 
 @query("SELECT doc_id, md5(lower(text)) AS norm_md5 FROM documents")
 def normalize_lower_nfkc(spark, sf_dir):
-    norm = normalize.normalize_column(F.col("text"), [normalize.DefaultRewrite()])
+    norm = normalize.normalize_column(F.col("text"), [normalize.DefaultRewrite.standard()], native_ascii=True)
     return _docs(spark, sf_dir).select("doc_id", F.md5(norm).alias("norm_md5"))
 
 
-@query(_with(_SENT, _ATT) + "SELECT doc_id, regexp_replace(text, '[ー⁓〜〰-]{2,}', 'ー', 'g') AS text FROM att")
+_ASCII = "".join(map(chr, range(33, 127)))
+_WIDE = "".join(chr(ord(c) + 0xFEE0) for c in _ASCII)
+
+
+@query("SELECT doc_id, md5(lower(text)) AS norm_md5 FROM documents")
+def normalize_full_width(spark, sf_dir):
+    """Whole texts in full width forms; NFKC and lower case bring them back."""
+    wide = F.translate("text", _ASCII, _WIDE)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.normalize_column(wide, [normalize.DefaultRewrite.standard()])).alias("norm_md5"))
+
+
+@query("SELECT doc_id, md5(regexp_replace(translate(text, 'ae', 'ー〜'), '[ー⁓〜〰-]{2,}', 'ー', 'g')) AS text_md5 FROM documents")
 def prolonged_mark(spark, sf_dir):
-    return _attached(spark, sf_dir).select("doc_id", normalize.collapse_marks(F.col("text")).alias("text"))
+    text = F.translate("text", "ae", "ー〜")
+    return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.normalize_column(text, [normalize.ProlongedMarks()])).alias("text_md5"))
+
 
+_RUBY = ("aeiounr", "漢か(ン)（）")
 
-@query(_with(_SENT, _ATT) + "SELECT doc_id, regexp_replace(text, '([一-鿿])[(（][ぁ-ゟァ-ヺー-ヿ]{1,4}[)）]', '\\1', 'g') AS text FROM att")
+
+@query(f"SELECT doc_id, md5(regexp_replace(translate(text, '{_RUBY[0]}', '{_RUBY[1]}'), '([一-鿿])[(（][ぁ-ゟァ-ヺー-ヿ]{{1,4}}[)）]', '\\1', 'g')) AS text_md5 FROM documents")
 def strip_ruby(spark, sf_dir):
-    return _attached(spark, sf_dir).select("doc_id", normalize.strip_ruby(F.col("text")).alias("text"))
+    text = F.translate("text", *_RUBY)
+    return _docs(spark, sf_dir).select("doc_id", F.md5(normalize.normalize_column(text, [normalize.StripRuby()])).alias("text_md5"))
 
 
-@query("SELECT doc_id, CAST(doc_id * 987654 + 1 AS VARCHAR) AS normalized FROM documents")
+@query("SELECT doc_id, CAST(doc_id * 987654 + 100000001 AS VARCHAR) AS normalized, CAST(1000 * (1 + doc_id % 9) + 100 * (1 + doc_id // 9 % 9) + 10 * (1 + doc_id % 7) + doc_id % 10 AS VARCHAR) AS units, CASE doc_id % 3 WHEN 0 THEN 'COMMA' WHEN 1 THEN 'POINT' ELSE 'OTHER' END AS error FROM documents")
 def numeric_normalize(spark, sf_dir):
-    text = F.format_number(F.col("doc_id") * 987654 + 1, 0)
-    return _docs(spark, sf_dir).select("doc_id", numerals.numeral_column(text)["normalized"].alias("normalized"))
+    i, kanji = F.col("doc_id"), ("0123456789", "〇一二三四五六七八九")
+    n = i * 987654 + 100000001
+    large = F.concat((n / 100000000).cast("long"), F.lit("億"), (n % 100000000 / 10000).cast("long"), F.lit("万"), F.translate((n % 10000).cast("string"), *kanji))
+    d = lambda c: F.translate(c.cast("string"), *kanji)
+    units = F.concat(d(1 + i % 9), F.lit("千"), d(1 + (i / 9).cast("long") % 9), F.lit("百"), d(1 + i % 7), F.lit("十"), d(i % 10))
+    wrong = F.when(i % 3 == 0, F.concat(i + 1, F.lit(",4"))).when(i % 3 == 1, F.concat(i, F.lit("."))).otherwise(F.concat(F.lit("億"), i, F.lit("万")))
+    out = _docs(spark, sf_dir).select("doc_id", numerals.numeral_column(large).alias("a"), numerals.numeral_column(units).alias("b"), numerals.numeral_column(wrong).alias("c"))
+    return out.select("doc_id", F.col("a.normalized").alias("normalized"), F.col("b.normalized").alias("units"), F.col("c.error").alias("error"))
 
 
-@query("SELECT doc_id, (doc_id % 15 << 28) | (doc_id & 268435455) AS encoded, doc_id % 15 AS dict_part, doc_id & 268435455 AS word_part, (1::BIGINT << (doc_id % 60)::INT) AS length_mask FROM documents")
+@query("SELECT doc_id, (doc_id % 15 << 28) | (doc_id & 268435455) AS encoded, doc_id % 15 AS dict_part, doc_id & 268435455 AS word_part, (1::BIGINT << (doc_id % 62)::INT) | 1 AS length_mask, doc_id % 62 = 0 AS has_first, doc_id % 62 = 39 AS has_fortieth FROM documents")
 def word_id_bits(spark, sf_dir):
     i = F.col("doc_id")
-    made = F.shiftleft(i % 15, 28).bitwiseOR(i.bitwiseAND(F.lit((1 << 28) - 1)))
-    out = _docs(spark, sf_dir).select("doc_id", made.alias("encoded"), F.expr("shiftleft(1L, int(doc_id % 60))").alias("length_mask"))
-    return out.select("doc_id", "encoded", F.shiftright("encoded", 28).alias("dict_part"), F.col("encoded").bitwiseAND(F.lit((1 << 28) - 1)).alias("word_part"), "length_mask")
+    mask = dic.length_mask(i % 62 + 1)
+    made = dic.encoded(i % 15, i.bitwiseAND(F.lit(dic.WORD_MASK)))
+    out = _docs(spark, sf_dir).select("doc_id", made.alias("e"), dic.add_length(mask, F.lit(1)).alias("length_mask"), dic.has_length(mask, F.lit(1)).alias("has_first"), dic.has_length(mask, F.lit(40)).alias("has_fortieth"))
+    unsigned = F.col("e").cast("long").bitwiseAND(F.lit(0xFFFFFFFF))
+    return out.select("doc_id", unsigned.alias("encoded"), dic.dictionary_part(F.col("e")).cast("long").alias("dict_part"), dic.word_part(F.col("e")).cast("long").alias("word_part"), "length_mask", "has_first", "has_fortieth")
 
 
 def _delta_sql() -> str:
@@ -295,7 +327,7 @@ def lookup_word_id(spark, sf_dir):
     return parsed(spark).groupBy("surface", F.array_join("pos", ",").alias("pos"), "reading").agg(F.min("word_id").alias("word_id"))
 
 
-@query(_with(_LEX) + "SELECT word_id, concat_ws(',', CASE WHEN headword = ',' THEN '\\u002c' ELSE headword END, left_id, right_id, cost, CASE WHEN headword = ',' THEN '\\u002c' ELSE headword END, pos, CASE WHEN reading = ',' THEN '\\u002c' ELSE reading END, CASE WHEN normalized = ',' THEN '\\u002c' ELSE normalized END, form, CASE WHEN a = '*' THEN 'A' ELSE 'B' END, a, '*', a, CASE WHEN syn = '*' THEN '*' ELSE array_to_string(list_transform(string_split(syn, '/'), lambda x: lpad(x, 6, '0')), '/') END) AS line FROM lex")
+@query(_with(_LEX) + "SELECT word_id, concat_ws(',', CASE WHEN headword = ',' THEN '\\u002c' ELSE headword END, left_id, right_id, cost, CASE WHEN headword = ',' THEN '\\u002c' ELSE headword END, pos, CASE WHEN reading = ',' THEN '\\u002c' ELSE reading END, CASE WHEN normalized = ',' THEN '\\u002c' ELSE normalized END, form, unit, a, CASE WHEN unit = 'C' THEN a ELSE '*' END, a, CASE WHEN syn = '*' THEN '*' ELSE array_to_string(list_transform(string_split(syn, '/'), lambda x: lpad(x, 6, '0')), '/') END) AS line FROM lex")
 def print_dict(spark, sf_dir):
     return demo_dictionary(spark).printed().select("word_id", "line")
 
@@ -350,35 +382,79 @@ def oov_simple(spark, sf_dir):
     return nodes.filter("word_id < 0").select("k", F.col("at").cast("long").alias("at"), F.col("end").cast("long").alias("end"), "surface")
 
 
-@query(_with(_SENT, _LEX, _CONN, _LATTICE) + 'SELECT a.k, a.ord AS from_ord, b.ord AS to_ord, coalesce(c.cost, 0) AS conn FROM nodes a JOIN nodes b ON a.k = b.k AND a.e = b.b0 LEFT JOIN conn c ON c."left" = a.right_id AND c."right" = b.left_id WHERE coalesce(c.cost, 0) <> 32767')
+@query(_with(_SENT, _LEX, _CONN, _LATTICE) + 'SELECT a.k, a.ord AS from_ord, b.ord AS to_ord, coalesce(c.cost, 0) AS conn FROM nodes a JOIN nodes b ON a.k = b.k AND a.e = b.b0 LEFT JOIN conn c ON c."left" = a.right_id AND c."right" = b.left_id WHERE (a.right_id, b.left_id) NOT IN ((2, 1), (1, 3))')
 def lattice_edges(spark, sf_dir):
     nodes, conn = _lattice(spark)
-    return relational.edges(nodes, conn, "k").select("k", F.col("from_ord").cast("long").alias("from_ord"), F.col("to_ord").cast("long").alias("to_ord"), "conn")
+    return relational.edges(nodes, dic.inhibit(conn, [[2, 1], [1, 3]]), "k").select("k", F.col("from_ord").cast("long").alias("from_ord"), F.col("to_ord").cast("long").alias("to_ord"), "conn")
 
 
-def _viterbi_sql() -> str:
-    steps = ["s0 AS (SELECT k, 0::BIGINT AS e, 0 AS right_id, 0::BIGINT AS total FROM sent)"]
+def _paths_sql(mode: str) -> str:
+    """best (k, total, words): best paths by one step for each position, words in the units of the mode."""
+    units = {"A": "a <> '*'", "B": "a <> '*' AND unit = 'C'", "C": "false"}[mode]
+    parts = f"parts AS (SELECT word_id, string_agg(u.headword, ' ' ORDER BY i) AS words FROM (SELECT l.word_id, CAST(unnest(string_split(l.a, '/')) AS INT) AS ref, unnest(range(len(string_split(l.a, '/')))) AS i FROM lex l WHERE {units}) r JOIN (SELECT word_id AS id, headword FROM lex) u ON u.id = r.ref GROUP BY word_id)"
+    steps = ["s0 AS (SELECT k, 0::BIGINT AS e, 0 AS right_id, 0::BIGINT AS total, '' AS words FROM sent)"]
     longest = max(map(len, SENTENCES))
     for at in range(longest):
-        steps.append(f's{at + 1} AS MATERIALIZED (SELECT * FROM s{at} UNION ALL SELECT n.k, n.e, n.right_id, min(p.total + coalesce(c.cost, 0)) + n.cost FROM nodes n JOIN s{at} p ON p.k = n.k AND p.e = n.b0 LEFT JOIN conn c ON c."left" = p.right_id AND c."right" = n.left_id WHERE n.b0 = {at} AND coalesce(c.cost, 0) <> 32767 GROUP BY n.k, n.ord, n.e, n.right_id, n.cost)')
-    last = f'best AS (SELECT p.k, CAST(min(p.total + coalesce(c.cost, 0)) AS BIGINT) AS total FROM s{longest} p JOIN sent s ON s.k = p.k AND p.e = length(s.text) LEFT JOIN conn c ON c."left" = p.right_id AND c."right" = 0 GROUP BY p.k)'
-    return _with(_SENT, _LEX, _CONN, _LATTICE, *steps, last) + f"SELECT d.doc_id, b.total FROM documents d JOIN best b ON d.doc_id % {K} = b.k"
+        steps.append(f"""s{at + 1} AS MATERIALIZED (SELECT * FROM s{at} UNION ALL SELECT n.k, n.e, n.right_id, min(p.total + coalesce(c.cost, 0)) + n.cost, arg_min(p.words, p.total + coalesce(c.cost, 0)) || CASE WHEN n.b0 > 0 THEN ' ' ELSE '' END || coalesce(u.words, n.surface)
+  FROM nodes n JOIN s{at} p ON p.k = n.k AND p.e = n.b0 LEFT JOIN conn c ON c."left" = p.right_id AND c."right" = n.left_id LEFT JOIN parts u ON u.word_id = n.word_id
+  WHERE n.b0 = {at} AND coalesce(c.cost, 0) <> 32767 GROUP BY n.k, n.ord, n.b0, n.e, n.right_id, n.cost, n.surface, u.words)""")
+    last = f"""best AS (SELECT p.k, CAST(min(p.total + coalesce(c.cost, 0)) AS BIGINT) AS total, arg_min(p.words, p.total + coalesce(c.cost, 0)) AS words
+  FROM s{longest} p JOIN sent s ON s.k = p.k AND p.e = length(s.text) LEFT JOIN conn c ON c."left" = p.right_id AND c."right" = 0 GROUP BY p.k)"""
+    return _with(_SENT, _LEX, _CONN, _LATTICE, parts, *steps, last)
 
 
-@query(_viterbi_sql())
+@query(_paths_sql("C") + f"SELECT d.doc_id, b.total, b.words FROM documents d JOIN best b ON d.doc_id % {K} = b.k")
 def viterbi_best_path(spark, sf_dir):
     nodes, conn = _lattice(spark)
-    return _spread(relational.viterbi(nodes, conn, "k"), spark, sf_dir)
+    best = relational.viterbi(nodes, conn, "k").select("k", "total", F.posexplode("path").alias("i", "node_ord"))
+    words = best.join(nodes.select("k", "node_ord", "surface"), ["k", "node_ord"]).groupBy("k", "total").agg(F.array_sort(F.collect_list(F.struct("i", "surface"))).alias("ws"))
+    return _spread(words.select("k", "total", F.array_join(F.transform("ws", lambda w: w["surface"]), " ").alias("words")), spark, sf_dir)
+
+
+#: A lexicon over Latin words: two entries for one headword, an entry inside of other words, digits.
+_LATIN = [("the", 1, 2, 700), ("the", 2, 1, 800), ("of", 2, 2, 600), ("and", 1, 1, 650), ("de", 2, 1, 500), ("la", 1, 2, 550), ("in", 2, 2, 610), ("7", 3, 3, 300), (",", 5, 5, 100)]
+
+
+def _latin_lattice(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    rows = [(0, i, w, left, right, cost, w, 0) for i, (w, left, right, cost) in enumerate(_LATIN)]
+    lexicon = spark.createDataFrame(rows, "dict_id int, word_id int, headword string, left_id int, right_id int, cost int, surface string, pos_id int")
+    texts = _docs(spark, sf_dir).select("doc_id", F.lower("text").alias("text"))
+    nodes = relational.lattice_nodes(texts, lexicon, "doc_id", max(len(w[0]) for w in _LATIN), OOV_COST, 0)
+    return nodes, dic.inhibit(connection(spark), [[2, 2], [0, 5]])
+
+
+def _class_sql(bit: str) -> str:
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high, m in charclass.Categories().segments() if m == charclass.BITS[bit]) + "]+"
+
+
+_UNITS = f"{_class_sql('ALPHA')}|{_class_sql('GREEK')}|{_class_sql('CYRILLIC')}|(?s:.)"
+# On Latin texts words begin where the units of the categories do, and each unit has its entries or one unknown word.
+_LATIN_NODES = f"""units AS MATERIALIZED (SELECT doc_id, unnest(u) AS tok, unnest(range(len(u))) AS i FROM (SELECT doc_id, regexp_extract_all(lower(text), '{_UNITS}') AS u FROM documents)),
+{_values("latin", "headword, left_id, right_id, cost", _LATIN)},
+lnodes AS MATERIALIZED (SELECT u.doc_id, u.i, coalesce(l.left_id, 0) AS left_id, coalesce(l.right_id, 0) AS right_id, coalesce(l.cost, {OOV_COST}) AS cost, l.cost IS NULL AS oov FROM units u LEFT JOIN latin l ON u.tok = l.headword)"""
+
+
+@query(_with(_LATIN_NODES) + "SELECT doc_id, count(*) AS n_nodes, CAST(sum(cost) AS BIGINT) AS cost, CAST(sum(CASE WHEN oov THEN 1 ELSE 0 END) AS BIGINT) AS n_oov FROM lnodes GROUP BY doc_id")
+def lattice_nodes_documents(spark, sf_dir):
+    nodes, _ = _latin_lattice(spark, sf_dir)
+    return nodes.groupBy("doc_id").agg(F.count("*").alias("n_nodes"), F.sum("cost").alias("cost"), F.sum((F.col("word_id") < 0).cast("long")).alias("n_oov"))
+
+
+@query(_with(_LATIN_NODES, _CONN) + 'SELECT a.doc_id, count(*) AS n_edges, CAST(sum(coalesce(c.cost, 0)) AS BIGINT) AS conn FROM lnodes a JOIN lnodes b ON a.doc_id = b.doc_id AND b.i = a.i + 1 LEFT JOIN conn c ON c."left" = a.right_id AND c."right" = b.left_id WHERE (a.right_id, b.left_id) NOT IN ((2, 2), (0, 5)) GROUP BY a.doc_id')
+def lattice_edges_documents(spark, sf_dir):
+    nodes, conn = _latin_lattice(spark, sf_dir)
+    return relational.edges(nodes, conn, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n_edges"), F.sum("conn").alias("conn"))
 
 
 # -- analysis ----------------------------------------------------------------------------
 def _wakati(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
-    out = demo_engine(spark).tokenize_table(_attached(spark, sf_dir), mode=mode)
+    out = demo_engine(spark).tokenize_table(_attached(spark, sf_dir), mode=mode, fields=["surface"])
     return out.select("doc_id", formats.wakati(F.col("morphemes"), eos="").alias("words"))
 
 
 def _wakati_sql(mode: str) -> str:
-    return _with(_values("w", "k, words", enumerate(WAKATI[mode]))) + f"SELECT doc_id, words FROM documents JOIN w ON doc_id % {K} = k"
+    joined = "regexp_replace(b.words, '([0-9]) , ([0-9]) ([0-9]) ([0-9])', '\\1,\\2\\3\\4')"
+    return _paths_sql(mode) + f"SELECT d.doc_id, {joined} AS words FROM documents d JOIN best b ON d.doc_id % {K} = b.k"
 
 
 @query(_wakati_sql("C"))
@@ -391,7 +467,7 @@ def tokenize_a(spark, sf_dir):
     return _wakati(spark, sf_dir, "A")
 
 
-@query(_wakati_sql("C"))
+@query(_wakati_sql("B"))
 def tokenize_b(spark, sf_dir):
     return _wakati(spark, sf_dir, "B")
 
@@ -404,35 +480,41 @@ def sentence_split(spark, sf_dir):
 
 @query()
 def tokenize_sentences(spark, sf_dir):
-    out = demo_engine(spark).sentence_table(_docs(spark, sf_dir).select("doc_id", "text"))
+    out = demo_engine(spark).sentence_table(_docs(spark, sf_dir).select("doc_id", "text"), fields=["total_cost"])
     return out.select("doc_id", "sent_no", "sent_begin", "sent_end", F.size("morphemes").alias("n_morphemes"), formats.path_cost(F.col("morphemes")).alias("path_cost"))
 
 
-def _tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return morphemes(demo_engine(spark).tokenize_table(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text")))
+# On Latin texts the small dictionary leaves one path: numbers as they may be grouped, letters of one group, single characters.
+_GROUPED = r"(?:[1-9]\d{0,2}|0[1-9]\d?|00[1-9])(?:,\d{3})+(?:\.\d+)?|\d+(?:\.\d+)?"
+_TOKENS = f"tokens AS MATERIALIZED (SELECT doc_id, lang, source, unnest(regexp_extract_all(lower(text), '{_GROUPED}|{_UNITS}')) AS tok FROM documents)"
+_COUNTS = "count(*) AS n_morphemes, CAST(sum(CASE WHEN regexp_matches(tok, '^[0-9,]') THEN 0 ELSE 1 END) AS BIGINT) AS n_oov"
 
 
-@query()
+def _tokens(spark: SparkSession, sf_dir: str, *fields: str) -> DataFrame:
+    return morphemes(demo_engine(spark).tokenize_table(_docs(spark, sf_dir).select("doc_id", "lang", "source", "text"), fields=fields))
+
+
+@query(_with(_TOKENS) + f"SELECT doc_id, {_COUNTS} FROM tokens GROUP BY doc_id")
 def tokenize_documents(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("doc_id").agg(F.count("*").alias("n_morphemes"), F.sum(F.col("is_oov").cast("long")).alias("n_oov"))
+    return _tokens(spark, sf_dir, "is_oov").groupBy("doc_id").agg(F.count("*").alias("n_morphemes"), F.sum(F.col("is_oov").cast("long")).alias("n_oov"))
 
 
-@query()
+@query(_with(_TOKENS) + f"SELECT lang, {_COUNTS} FROM tokens GROUP BY lang")
 def oov_rate_by_lang(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("lang").agg(F.count("*").alias("n_morphemes"), F.sum(F.col("is_oov").cast("long")).alias("n_oov"))
+    return _tokens(spark, sf_dir, "is_oov").groupBy("lang").agg(F.count("*").alias("n_morphemes"), F.sum(F.col("is_oov").cast("long")).alias("n_oov"))
 
 
-@query()
+@query(_with(_TOKENS) + "SELECT source, count(*) AS n_morphemes FROM tokens GROUP BY source")
 def morphemes_by_source(spark, sf_dir):
-    return _tokens(spark, sf_dir).groupBy("source").agg(F.count("*").alias("n_morphemes"))
+    return _tokens(spark, sf_dir, "is_oov").groupBy("source").agg(F.count("*").alias("n_morphemes"))
 
 
-@query()
+@query(_with(_TOKENS, "counts AS (SELECT lang, tok AS normalized_form, count(*) AS n FROM tokens WHERE length(tok) > 1 GROUP BY ALL)", "ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, normalized_form) AS rank FROM counts)") + "SELECT lang, normalized_form, n, CAST(rank AS INT) AS rank FROM ranked WHERE rank <= 20")
 def morpheme_topk(spark, sf_dir):
     """The 20 most frequent normalized forms of each language; the count comes first, then a rank over few rows."""
     from pyspark.sql import Window
 
-    counts = _tokens(spark, sf_dir).filter(F.length("normalized_form") > 1).groupBy("lang", "normalized_form").agg(F.count("*").alias("n"))
+    counts = _tokens(spark, sf_dir, "normalized_form").filter(F.length("normalized_form") > 1).groupBy("lang", "normalized_form").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "normalized_form"))
     return counts.withColumn("rank", rank).filter("rank <= 20")
 

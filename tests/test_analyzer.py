@@ -1,19 +1,23 @@
 """Goldens and properties of the analyzer."""
 
+import json
 import random
 import shutil
+import time
+import warnings
 
 import duckdb
 import numpy as np
 import pytest
-from hinoki.functions import charclass, formats, normalize, numerals, sentences
+from hinoki.functions import charclass, counters, definitions, formats, normalize, numerals, sentences
 from hinoki.functions.charclass import BITS, Categories
 from hinoki.operators import lattice, relational
 from hinoki.operators.lattice import CategoryOov, Chars, CounterOov, JoinKatakana, JoinNumeric, RegexOov, SimpleOov
-from hinoki.operators.tokenize import Engine, morphemes
-from hinoki.plans import config, queries
+from hinoki.operators.plugins import ConnectionEdit, OovProvider
+from hinoki.operators.tokenize import FIELDS, Engine, morphemes
+from hinoki.plans import config, queries, rule_queries  # noqa: F401
 from hinoki.plans.config import NOUN, Config
-from hinoki.plans.dictionary import Compiled, Dictionary, PosMatcher, Word
+from hinoki.plans.dictionary import Compiled, Dictionary, PosMatcher, Word, edit_connections, encoded, length_mask
 from hinoki.sources import lexicon as src
 from hinoki.streaming.sentence_stream import complete, sentence_stream
 from pyspark.sql import functions as F
@@ -90,6 +94,11 @@ def test_normalization_and_offsets():
             e.replace(*bad, "z")
     with pytest.raises(ValueError):
         e.replace(2, 2, "z")
+    assert e.substring(1, 3) == "xy"
+    with pytest.raises(IndexError):
+        e.substring(1, 9)
+    with pytest.raises(ValueError, match="surrogate"):
+        normalize.normalized("a\ud800b", chain)
 
 
 def test_rewrite_file():
@@ -277,6 +286,53 @@ def test_dictionary_round_trip_and_user_dictionary(spark, tmp_path):
     cols = ["word_id", "headword", "left_id", "cost", "surface", "pos", "normalized"]
     assert sorted(map(str, again.select(*cols).collect())) == sorted(map(str, queries.parsed(spark).select(*cols).collect()))
     assert e.dictionary.word_of("京都", ms[0]["pos_id"], "x") is None
+    assert ms[0]["original"] == "東京府"
+
+
+def test_user_dictionary_printed_and_built_again(spark, tmp_path):
+    """References of all kinds survive: own words, system words, inline."""
+    system, user = queries.parsed(spark), rule_queries.user_rows(spark)
+    d = Dictionary.build([system, user], queries.connection(spark))
+    (tmp_path / "u.csv").write_text("\n".join(r["line"] for r in d.printed().filter("dict_id = 1").orderBy("word_id").collect()) + "\n", encoding="utf-8")
+    again = Dictionary.build([system, src.parse_rows(src.read_csv(spark, f"{tmp_path}/u.csv"))], queries.connection(spark))
+    cols = ["dict_id", "word_id", "headword", "dict_form", "form_dict", "form_word", "a_split", "b_split", "word_structure", "pos_id"]
+    rows = lambda x: sorted(map(str, x.lexicon.select(*cols).collect()))
+    assert rows(d) == rows(again)
+    bad = user.withColumn("dict_form_ref", F.lit("U9"))
+    with pytest.raises(Exception, match="unresolved reference U9"):
+        Dictionary.build([system, bad], queries.connection(spark)).lexicon.collect()
+
+
+@pytest.mark.parametrize("lines", [["-1 0 5"], ["2 2", "-1 0 5"], ["2 2", "3 3", "0 0 1"], ["0 0 5", "2 2"], ["2 2", "0 2 1"], ["2 2", "0 0"], ["2 2", "0 0 40000"], ["2 2", "0 0 1 1"], []])
+def test_matrix_errors(spark, lines):
+    df = spark.createDataFrame([(x, i) for i, x in enumerate(lines)], "value string, seq long")
+    with pytest.raises(Exception, match="matrix"):
+        src.parse_matrix(df).collect()
+
+
+def test_matrix_and_edits(spark, tmp_path):
+    (tmp_path / "m.def").write_text("\n  2 2\n\n0 1  -5\n1 0 7\n")
+    m = src.read_matrix(spark, f"{tmp_path}/m.def")
+    assert sorted(map(tuple, m.collect())) == [(0, 1, -5), (1, 0, 7)]
+    assert src.parse_matrix(spark.createDataFrame([("3 3", 0)], "value string, seq long")).count() == 0
+    edits = spark.createDataFrame([(0, 1, 1, 0), (0, 1, 3, 2), (0, 1, 2, 1)], "left int, right int, cost int, seq int").repartition(3)
+    assert dict(((r[0], r[1]), r[2]) for r in edit_connections(m, edits).collect()) == {(0, 1): 3, (1, 0): 7}
+    d = compiled([("あ", 1, "名詞")])
+    for cell in ((-1, 0), (0, -1), (1, 0), (0, 1)):
+        with pytest.raises(IndexError):
+            d.connect(*cell)
+    outside = queries.parsed(spark).withColumn("left_id", F.when(F.col("word_id") == 3, 99).otherwise(F.col("left_id")))
+    with pytest.raises(ValueError, match="outside of the matrix"):
+        Dictionary.build([outside], queries.connection(spark)).compile()
+
+
+def test_word_ids(spark):
+    df = spark.createDataFrame([(15, (1 << 28) - 1)], "d int, w int")
+    assert df.select(encoded("d", "w")).first()[0] == -1
+    for bad in (encoded(F.lit(16), F.lit(0)), encoded(F.lit(0), F.lit(1 << 28)), length_mask(F.lit(0)), length_mask(F.lit(65))):
+        with pytest.raises(Exception, match="out of range"):
+            df.select(bad).collect()
+    assert df.select(length_mask(F.lit(35))).first()[0] == 1 << 34
 
 
 def test_lexicon_errors(spark):
@@ -319,6 +375,79 @@ def test_config_and_plugins(spark):
         config.plugin("nothing")
 
 
+class Twice(ConnectionEdit):
+    def __init__(self, factor=2):
+        self.factor = factor
+
+    def edit(self, connection, lexicon):
+        return connection.withColumn("cost", F.col("cost") * self.factor)
+
+
+def test_default_profile_and_own_plugins(spark):
+    d = queries.demo_dictionary(spark)
+    with pytest.warns(UserWarning, match="larger connection matrix"):
+        e = config.engine(d)
+    assert [type(p).__name__ for p in e.oov] == ["CounterOov", "SimpleOov"] and e.input[0].replacements["ｶﾞ"] == "ガ"
+    big = Dictionary(d.lexicon, d.pos, d.connection.union(spark.createDataFrame([(5999, 5999, 0)], "left int, right int, cost int")))
+    with warnings.catch_warnings():
+        warnings.simplefilter("error", UserWarning)
+        assert [type(p).__name__ for p in config.engine(big).oov] == ["CounterOov", "CategoryOov", "SimpleOov"]
+        assert len(config.engine(d, unknown_rules=[]).oov) == 2
+    assert surfaces(config.engine(big), "xyzペンギン本") == ["xyz", "ペンギン", "本"]
+    with pytest.raises(ValueError, match="outside of the matrix"):
+        config.engine(d, unknown_rules=definitions.UNKNOWN_WORDS)
+    with pytest.raises(ValueError, match="line 1"):
+        src.parse_unknown_rules(["NOTHING,0,0,1,名詞,*,*,*,*,*"])
+    edit = Config.parse(json.dumps({"editConnectionCostPlugin": [{"class": "tests.test_analyzer:Twice", "factor": 3}]}))
+    assert config.engine(d, edit, unknown_rules=[]).dictionary.connect(0, 5) == 3 * queries.demo_engine(spark).dictionary.connect(0, 5)
+    with pytest.raises(TypeError, match="no OovProvider"):
+        config.engine(d, Config({"oovProviderPlugin": [{"class": "JoinNumeric"}]}))
+    with pytest.raises(TypeError):
+        OovProvider()
+
+
+def test_counters():
+    assert counters.resolve("かい").surface == "回" and counters.resolve("かい", "階").surface == "階"
+    assert counters.resolve("x", "y", "本").surface == "本" and counters.resolve("x") is None
+    assert [c.surface for c in counters.with_surface("さい")] == ["歳", "才"]
+    assert counters.resolve("本").after("サン") == "サンボン" and counters.resolve("円").after("サン") == "サンエン"
+    assert counters.DAYS["ニジュウ"] == "ハツカ" and "以上" in counters.SUFFIXES
+
+
+def test_fields_and_offsets(spark, engine):
+    df = spark.createDataFrame([("😀京都に行く",)], "text string")
+    first = engine.tokenize_table(df, fields=["surface", "begin", "original"]).first()["morphemes"]
+    assert [tuple(m) for m in first][:2] == [("😀", 0, "😀"), ("京都", 1, "京都")]
+    ends = lambda unit: [m["end"] for m in engine.tokenize_table(df, fields=["end"], offsets=unit).first()["morphemes"]]
+    assert (ends("code points"), ends("utf-16"), ends("bytes")) == ([1, 3, 4, 6], [2, 4, 5, 7], [4, 10, 13, 19])
+    with pytest.raises(ValueError):
+        engine.tokenize_table(df, fields=["nothing"])
+    with pytest.raises(ValueError):
+        engine.tokenize_table(df, offsets="inches")
+    whole = engine.tokenize("ＡＢＣと京都")
+    assert list(whole[0]) == list(FIELDS) and (whole[0]["surface"], whole[0]["original"]) == ("abc", "ＡＢＣ")
+
+
+def test_cost_grows_with_the_text(engine):
+    """Eight times the text takes well under sixty-four times as long."""
+    for make in (lambda n: "x" * n, lambda n: "京都に行く" * (n // 5), lambda n: "1" * n, lambda n: "À㍿" * (n // 2), lambda n: "1,234,567." * (n // 10)):
+        took = []
+        for n in (4000, 32000):
+            best = []
+            for _ in range(3):
+                began = time.perf_counter()
+                engine.tokenize(make(n))
+                best.append(time.perf_counter() - began)
+            took.append(min(best))
+        assert took[1] < 24 * max(took[0], 0.002), make(10)
+
+
+def test_long_words_veto_boundaries():
+    long = "あ" * 50 + "。" + "い" * 5
+    e = Engine(compiled([(long, 1, "名詞"), ("う", 1, "名詞")]), oov=[SimpleOov(NOUN, register=True)])
+    assert [e for _, e, _ in e.split_sentences("う。" + long + "う。")] == [2, 2 + len(long) + 2]
+
+
 def test_stream_equals_batch(spark, engine, tmp_path):
     text = "京都に行く。「本を買う。」と言う。\n東京都に行く。ねことねる"
     want = [text[a:b] for a, b, _ in engine.split_sentences(text)]
