@@ -13,24 +13,28 @@ import re
 import struct
 import unicodedata
 from collections.abc import Callable, Iterator
+from functools import cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .process import process_cache
+from .process import map_batches, process_cache
 from .textkernel import slices
 
 #: Pre-token pattern of byte-level files whose pre-tokenizer uses its own.
 BYTE_LEVEL = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Words remembered by a process; two generations of so many at most.
-MEMO = 250_000
+#: Words remembered by a process, two generations of so many at most, and the longest
+#: that are: what a memo holds stays below some hundred bytes a word, whatever the texts.
+MEMO, LONGEST = 250_000, 48
+#: For encoding with decoding, which keeps more of each word.
+MEMO_BOTH = 120_000
 #: Texts with other characters go through the library's own normalizer and
 #: pre-tokenizer, as character classes differ between versions of Unicode. The ranges
 #: have been stable for long; U+001C to U+001F and U+0085 are left out on purpose.
 _LATIN_RANGE = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e"
-_NOT_LATIN = re.compile(f"[^{_LATIN_RANGE}]")
+NOT_LATIN = re.compile(f"[^{_LATIN_RANGE}]")
 _UNUSUAL = re.compile(f"[^{_LATIN_RANGE}\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 #: What the classes of the files' patterns are within the Latin range.
 _LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
@@ -48,20 +52,14 @@ def byte_chars() -> list[str]:
     return out
 
 
-def _reader(path: str) -> str:
-    with open(path, encoding="utf-8") as f:
-        return f.read()
-
-
 class BpeFile:
     """A tokenizers JSON file: vocabulary, merges, text rules."""
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
-        text = _reader(path)
-        spec = json.loads(text)
+        with open(path, encoding="utf-8") as f:
+            spec = json.load(f)
         model = spec["model"]
         self.vocab: dict[str, int] = model["vocab"]
         added = {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -90,16 +88,23 @@ class BpeFile:
         self.latin = re.compile(latin.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
         self.folds = spec["normalizer"] is not None
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
-        # For the library's normalizer and pre-tokenizer only; padding and truncation stay unused.
-        self.library = Tokenizer.from_str(text)
-        self.library.no_truncation()
-        self.library.no_padding()
+        self.path = path
+
+    @cached_property
+    def library(self):
+        """The library's own reading, for texts of unusual characters; padding and truncation stay unused."""
+        from tokenizers import Tokenizer
+
+        out = Tokenizer.from_file(self.path)
+        out.no_truncation()
+        out.no_padding()
+        return out
 
     # -- text to words ------------------------------------------------------
     def pieces(self, text: str) -> list[str]:
         """Pre-tokens of a text without added tokens, as plain strings."""
         pattern = None
-        if not _NOT_LATIN.search(text):
+        if not NOT_LATIN.search(text):
             pattern = self.latin
         elif not _UNUSUAL.search(text):
             pattern = self.pattern
@@ -107,7 +112,7 @@ class BpeFile:
             if self.folds:
                 if not text.isascii():
                     text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-                    pattern = self.pattern if _NOT_LATIN.search(low := text.lower()) else pattern
+                    pattern = self.pattern if NOT_LATIN.search(low := text.lower()) else pattern
                     text = low
                 else:
                     text = text.lower()
@@ -218,18 +223,22 @@ class Memo(dict):
         value = self.old.get(word)
         if value is None:
             value = self.make(word)
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
-            self.update(self.seed)
-        self[word] = value
+        if len(word) <= LONGEST:
+            if len(self) >= self.limit:
+                self.turn()
+            self[word] = value
         return value
 
+    def turn(self) -> None:
+        self.old = dict(self)
+        self.clear()
+        self.update(self.seed)
+
 
-def memo(path: str, kind: str, make: Callable[[str], object], seed: Callable[[], dict] | None = None) -> Memo:
+def memo(path: str, kind: str, make: Callable[[str], object], seed: Callable[[], dict] | None = None, limit: int = MEMO) -> Memo:
     files = process_cache().files
     if (kind, path) not in files:
-        files[kind, path] = Memo(make, seed=seed() if seed else None)
+        files[kind, path] = Memo(make, limit, seed() if seed else None)
     return files[kind, path]
 
 
@@ -240,7 +249,7 @@ def encoded_texts(file: BpeFile, path: str, texts: list[str | None]) -> Iterator
         ids = file.encode_word(word)
         return struct.pack(f"<{len(ids)}I", *ids), " ".join(map(file.strings.__getitem__, ids))
 
-    words = memo(path, "words", make)
+    words = memo(path, "words", make, limit=MEMO_BOTH)
     spaced = not file.byte_decoder
     for text in texts:
         raw, said = [], []
@@ -288,7 +297,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
     schema = src.select("doc_id").schema.add("n_tokens", "long").add("ids_sha256", "string").add("decoded_sha256", "string")
-    return src.mapInArrow(run, schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema)
+    return map_batches(src, run, schema.add("ids", T.ArrayType(T.IntegerType())) if with_ids else schema)
 
 
 def int_lists(raws: list[bytes]) -> pa.Array:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .process import map_batches
 from .scratch import Scratch
 
 #: Edges that one task contracts, about; a table of edges is read in parts of this size.
@@ -38,7 +39,7 @@ def _forest(links: DataFrame, parts: int) -> DataFrame:
         flat = np.array(hung, np.int64).reshape(-1, 2)
         yield pa.RecordBatch.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], names=["u", "v"])
 
-    return links.select("a", "b").coalesce(parts).mapInArrow(run, "u long, v long")
+    return map_batches(links.select("a", "b").coalesce(parts), run, "u long, v long")
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -1,11 +1,47 @@
-"""What a worker process keeps from task to task."""
+"""What a worker process keeps from task to task, and what it gives back."""
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+
+#: Rows and bytes of the Arrow batches that go to Python, unless the session says otherwise.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{BATCH_BYTES}b")}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Make Arrow batches small where the session has Spark's defaults.
+
+    Ten thousand documents can be any number of bytes, in the JVM and in Python.
+    """
+    for key, (default, ours) in _DEFAULTS.items():
+        if spark.conf.get(key) == default:
+            spark.conf.set(key, ours)
+
+
+def map_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size."""
+    bound_batches(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
 
 def process_cache() -> types.SimpleNamespace:
     """Things worth keeping between the tasks of one worker process."""
     return sys.modules.setdefault("_hinoki_process_cache", types.SimpleNamespace(files={}))
+
+
+def release() -> None:
+    """Give the memory of finished batches back to the system, where it can be done."""
+    pa.default_memory_pool().release_unused()
+    files = process_cache().files
+    if "trim" not in files:
+        try:
+            files["trim"] = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            files["trim"] = lambda pad: 0
+    files["trim"](0)

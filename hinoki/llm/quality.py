@@ -6,15 +6,14 @@ characters that lie inside duplicated n-grams, and inside duplicated lines.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .textkernel import buffers, slices, span_hashes, windows, words
+from .process import bound_batches, release
+from .textkernel import buffers, prefixes, runs, span_hashes, windows, words
 
 #: n-gram length -> largest share of word characters inside duplicated n-grams.
 COVERAGE = {5: 0.30, 6: 0.28, 8: 0.25, 10: 0.22}
@@ -69,7 +68,8 @@ def measure(col: pa.Array, coverage: dict[int, float], line_limit: float, symbol
     points = np.concatenate(([0], np.cumsum((data & 0xC0) != 0x80)))
     symbols = np.concatenate(([0], np.cumsum(_SYMBOL[data])))
     chars = points[end] - points[start]
-    grams = {n: windows(h, n) for n in {5, *coverage}}
+    pre = prefixes(h)
+    grams = {n: windows(h, n, pre) for n in {5, *coverage}}
     breaks = np.flatnonzero(data == 10)
     out: dict[str, list] = {k.split()[0]: [] for k in MEASURES.split(", ")}
     for r in range(len(offs) - 1):
@@ -111,23 +111,33 @@ def quality(docs: DataFrame, text_col: str = "text", coverage: dict[int, float]
     rows are judged alike, each on its own. An input column named like a measure
     is replaced (names compare without case); give ``prefix`` to keep both.
     """
+    bound_batches(docs.sparkSession)
+    fields = T.StructType.fromDDL(MEASURES).fields
+    taken = {f"{prefix}{f.name}".lower() for f in fields}
+    kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in taken]
+    judged = docs.select(*kept, measures(F.col(f"`{text_col}`"), coverage, line_limit, symbol_limit).alias("__measures"))
+    return judged.select(*kept, *[F.col(f"__measures.{f.name}").alias(f"{prefix}{f.name}") for f in fields])
+
+
+def measures(text: Column, coverage: dict[int, float] | None, line_limit: float, symbol_limit: float) -> Column:
+    """The measures as one struct. Only the text goes to Python; other columns stay in the JVM."""
     coverage = COVERAGE if coverage is None else coverage
-    names = [f"{prefix}{x.split()[0]}" for x in MEASURES.split(", ")]
-    kept = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
-    src = docs.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text_col}`").alias("__text"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(T.StructType.fromDDL(MEASURES))
+    def run(col: pa.Array) -> pa.Array:
         types = [pa.int64()] * 5 + [pa.float64(), pa.list_(pa.float64()), pa.bool_(), pa.bool_()]
-        for b in (s for whole in batches for s in slices(whole, whole.num_columns - 1)):
-            got = measure(b.column(b.num_columns - 1), coverage, line_limit, symbol_limit)
-            cols = [pa.array(v, t) for v, t in zip(got.values(), types)]
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *cols], names=[*kept, *names])
+        made: dict[str, list] = {x.split()[0]: [] for x in MEASURES.split(", ")}
+        for at, n in runs(col):
+            for name, values in measure(col.slice(at, n), coverage, line_limit, symbol_limit).items():
+                made[name] += values
+        out = pa.StructArray.from_arrays([pa.array(v, t) for v, t in zip(made.values(), types)], names=list(made))
+        release()
+        return out
 
-    fields = src.drop("__text").schema.fields + [T.StructField(n, f.dataType) for n, f in zip(names, T.StructType.fromDDL(MEASURES))]
-    return src.mapInArrow(run, T.StructType(fields))
+    return run(text)
 
 
-def keep_good(docs: DataFrame, text_col: str = "text", **options) -> DataFrame:
+def keep_good(docs: DataFrame, text_col: str = "text", coverage: dict[int, float] | None = None, line_limit: float = LINE_COVERAGE, symbol_limit: float = SYMBOLS_PER_WORD) -> DataFrame:
     """The rows of ``docs`` that pass, with the columns they came with."""
-    judged = quality(docs, text_col, prefix="__q_", **options)
-    return judged.filter("__q_kept").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bound_batches(docs.sparkSession)
+    return docs.filter(measures(F.col(f"`{text_col}`"), coverage, line_limit, symbol_limit)["kept"])

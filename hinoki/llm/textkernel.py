@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from .process import process_cache
+from .process import process_cache, release
 
 U64 = np.uint64
 _BASE = 0x9E3779B97F4A7C55  # odd, so it has an inverse modulo 2**64
@@ -36,7 +36,6 @@ def mix(x: np.ndarray) -> np.ndarray:
 _BYTE = mix(np.arange(1, 257, dtype=U64) * U64(_BASE))
 _BYTE_LOWER = _BYTE.copy()
 _BYTE_LOWER[65:91] = _BYTE[97:123]
-_STEP = mix(np.arange(101, 133, dtype=U64)) | U64(1)
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -72,17 +71,24 @@ def buffers(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The batch in runs of rows with about ``most`` bytes of text, a longer text alone."""
-    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
+def runs(col: pa.Array, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
+    """(begin, length) of runs of rows with about ``most`` bytes of text, a longer text alone."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(col), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64)
     at = 0
-    while at < batch.num_rows:
+    while at < len(col):
         done = size[at - 1] if at else 0
         end = max(at + 1, int(np.searchsorted(size, done + most, "right")))
-        yield batch.slice(at, end - at)
+        yield at, end - at
         at = end
 
 
+def slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The batch in such runs of rows by one of its columns; memory is given back after the last."""
+    for at, n in runs(batch.column(column), most):
+        yield batch.slice(at, n)
+    release()
+
+
 def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, end, row): byte spans of all words; row r has words row[r] to row[r+1]-1."""
     n = len(data)
@@ -116,16 +122,26 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, lower: boo
     return mix(out)
 
 
-def windows(h: np.ndarray, n: int) -> np.ndarray:
-    """Hash of each run of n consecutive values, over the whole array."""
+def prefixes(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums of a polynomial in the values, and the inverse powers that shift a window to 0."""
+    power, inverse = _powers(len(h) + 1)
+    sums = np.zeros(len(h) + 1, U64)
+    with np.errstate(over="ignore"):
+        np.cumsum(h * power[:-1], out=sums[1:])
+    return sums, inverse
+
+
+def windows(h: np.ndarray, n: int, pre: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
+    """Rolling hash of each run of n consecutive values, over the whole array.
+
+    ``pre`` is ``prefixes(h)``, for several lengths.
+    """
     m = len(h) - n + 1
     if m <= 0:
         return np.zeros(0, U64)
+    sums, inverse = pre or prefixes(h)
     with np.errstate(over="ignore"):
-        out = h[:m] * _STEP[0]
-        for j in range(1, n):
-            out += h[j : j + m] * _STEP[j]
-    return mix(out)
+        return mix((sums[n:] - sums[:m]) * inverse[:m] + U64(n))
 
 
 def shingle_sets(col: pa.Array, n: int = 5) -> Iterator[np.ndarray]:
