@@ -38,6 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .process import map_batches
 from .scratch import Scratch
 from .textkernel import shingle_sets, slices
 
@@ -72,7 +73,7 @@ def sketches(docs: DataFrame, words: int, k: int) -> DataFrame:
             flat = np.concatenate(low) if low else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.ListArray.from_arrays(pa.array(sizes), pa.array(flat))], names=["doc_id", "n_shingles", "set_id", "sketch"])
 
-    return docs.mapInArrow(run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
+    return map_batches(docs, run, "doc_id long, n_shingles long, set_id binary, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
@@ -89,7 +90,7 @@ def _verified(pairs: DataFrame, words: int, num: int, den: int) -> DataFrame:
                 keep = pa.array(hit, pa.bool_())
                 yield pa.RecordBatch.from_arrays([part.column(0).filter(keep), part.column(1).filter(keep)], names=["a", "b"])
 
-    return pairs.mapInArrow(run, "a long, b long")
+    return map_batches(pairs, run, "a long, b long")
 
 
 def _full_sets(texts: DataFrame, words: int) -> DataFrame:
@@ -101,7 +102,7 @@ def _full_sets(texts: DataFrame, words: int) -> DataFrame:
             owner = np.repeat(b.column(0).to_numpy(), [len(s) for s in sets])
             yield pa.RecordBatch.from_arrays([pa.array(owner), pa.array(np.concatenate(sets).view(np.int64))], names=["a", "v"])
 
-    return texts.mapInArrow(run, "a long, v long")
+    return map_batches(texts, run, "a long, v long")
 
 
 def _differences(groups: DataFrame, num: int, den: int) -> DataFrame:
@@ -128,7 +129,7 @@ def _differences(groups: DataFrame, num: int, den: int) -> DataFrame:
             flat = np.concatenate([np.zeros(0, np.int64), *es])
             yield pa.RecordBatch.from_arrays([b.column("p"), b.column("a"), pa.array(w, pa.int64()), pa.ListArray.from_arrays(pa.array(offs), pa.array(flat))], names=["p", "a", "w", "es"])
 
-    return groups.select("p", "a", "n", "vs", "cs", "pvs", "pcs").mapInArrow(run, "p long, a long, w long, es array<long>")
+    return map_batches(groups.select("p", "a", "n", "vs", "cs", "pvs", "pcs"), run, "p long, a long, w long, es array<long>")
 
 
 class _Search:
@@ -216,9 +217,11 @@ class _Search:
         """(doc_id, n_shingles, node, component_id) of every row of docs."""
         scratch = self.scratch
         sk = scratch.table(sketches(self.docs, self.words, self.k), "sketches")
-        sets = sk.filter("set_id is not null and doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("node"))
-        members = sk.join(sets, "set_id", "left")
-        members = members.withColumn("node", F.when(F.col("doc_id").isNotNull(), F.col("node")))
+        # Sets of several documents. Their table stands alone, so that AQE can split the join by a set of many.
+        some = sk.filter("set_id is not null and doc_id is not null").groupBy("set_id")
+        sets = scratch.table(some.agg(F.min("doc_id").alias("least"), F.count("*").alias("c")).filter("c > 1").select("set_id", "least"), "sets")
+        members = sk.join(self._small(sets, scratch.rows(sets)), "set_id", "left")
+        members = members.withColumn("node", F.when(F.col("set_id").isNotNull() & F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
         members = scratch.table(members.select("doc_id", "n_shingles", "node", F.when(F.col("doc_id") == F.col("node"), F.col("sketch")).alias("sketch")), "members")
         scratch.drop(sk)
         # One or two shingles reach 3/4 with an equal set only.
