@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import ranges
+from .process import map_batches
 from .textkernel import U64, mix
 
 KMER, SKETCHES, KEEP = 6, 24, 2
@@ -107,20 +109,16 @@ def with_next(docs: DataFrame, parts: int) -> DataFrame:
     sort last.
     """
     keyed = docs.withColumn("__key", F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))))
-    quantiles = [i / parts for i in range(1, parts)]
-    bounds = sorted(set(keyed.approxQuantile("__key", quantiles, 0.25 / parts))) if parts > 1 else []
-    # approxQuantile returns doubles; keys beside a bound only move to a neighbouring range.
-    limits = F.array(*[F.lit(int(b)) for b in bounds]).cast("array<bigint>") if bounds else F.array().cast("array<bigint>")
-    # Range 0 has the largest ids.
-    part = F.size(F.filter(limits, lambda x: x >= F.col("__key")))
-    keyed = keyed.withColumn("__part", part)
+    # Null ids have the smallest key. Range 0 has the largest ids.
+    cuts = ranges.bounds(keyed, "__key", parts)
+    keyed = keyed.withColumn("__part", F.lit(len(cuts)) - ranges.number(F.col("__key"), cuts))
     heads = [(r["__part"], r["head"]) for r in keyed.groupBy("__part").agg(F.max("__key").alias("head")).orderBy("__part").collect()]
     before = {head: heads[i - 1][0] for i, (_, head) in enumerate(heads)}  # the last range for i = 0
     ghosts = docs.sparkSession.createDataFrame([(h, p) for h, p in before.items()], "__head long, __to int")
     joined = keyed.join(F.broadcast(ghosts), F.col("__key") == F.col("__head"), "left")
     places = F.when(F.col("__to").isNull(), F.array(F.struct(F.col("__part").alias("part"), F.lit(False).alias("ghost")))).otherwise(F.array(F.struct(F.col("__part").alias("part"), F.lit(False).alias("ghost")), F.struct(F.col("__to").alias("part"), F.lit(True).alias("ghost"))))
     spread = joined.select(F.explode(places).alias("__at"), "__key", "doc_id", "text").select("__at.part", "__at.ghost", "__key", "doc_id", "text")
-    dealt = spread.repartition(parts, "part").sortWithinPartitions("part", "ghost", F.desc("__key"), "text")
+    dealt = spread.repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ghost", F.desc("__key"), "text")
     return dealt.select("part", "ghost", "doc_id", "text")
 
 
@@ -134,8 +132,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     A single row is its own next document. Other columns don't take part, and an empty
     table gives an empty result. Long texts are fingerprinted whole.
     """
-    spark = docs.sparkSession
-    parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = ranges.count(docs, parts)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,4 +170,4 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield batch()
 
     schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
-    return with_next(src, parts).mapInArrow(run, schema)
+    return map_batches(with_next(src, parts), run, schema)
