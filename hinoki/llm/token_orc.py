@@ -17,11 +17,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .bpe import BYTE_LEVEL, BpeFile, bpe_file, int_lists, memo
+from . import ranges
+from .bpe import BYTE_LEVEL, LONGEST, NOT_LATIN, BpeFile, Memo, bpe_file, int_lists
+from .process import map_batches, process_cache
 from .textkernel import slices
 
 STRIDE = 1000
 STRIPE_BYTES = 32 << 20
+#: Strings between spaces that a process remembers, in two generations.
+RUNS = 400_000
+#: ASCII marks; the apostrophe is left out, as it may begin a contraction.
+_MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
 SCHEMA = "doc_id long, part int, pos long, n_tokens int, ids array<int>"
 
 
@@ -34,6 +40,31 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
     space that has no white space beside it, and what lies between two cuts is remembered whole.
     """
 
+    words, runs = _memos(file, path)
+    end, out = struct.pack("<I", end_id), []
+    cuts = file.pattern.pattern == BYTE_LEVEL and not file.folds
+    for t in texts:
+        if t and file.added_split is not None and file.added_split.search(t):
+            out.append(array("I", file.library.encode(t, add_special_tokens=False).ids).tobytes() + end)
+            continue
+        rest = (t or "").split(" ") if cuts else [t or ""]
+        first = rest.pop(0)
+        if not first[-1:].isspace():
+            try:
+                packed = b"".join(map(runs.__getitem__, rest))
+                out.append(b"".join(map(words.__getitem__, file.pieces(first))) + packed + end)
+                continue
+            except TypeError:  # joining None: a cut of this text isn't safe
+                pass
+        out.append(b"".join(map(words.__getitem__, file.pieces(t or ""))) + end)
+    return out
+
+
+def _memos(file: BpeFile, path: str) -> tuple[Memo, Memo]:
+    """Packed ids of pre-tokens, and of what follows a space up to the next; both kept by the process."""
+    files = process_cache().files
+    if ("library", path) in files:
+        return files["library", path]
     tokenize, chars, at = file.library.model.tokenize, dict(enumerate(file.chars)), attrgetter("id")
     blank = file.chars[32]
 
@@ -43,29 +74,42 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
         raw = word if word.isascii() else word.encode("utf-8", "surrogateescape").decode("latin-1")
         return array("I", map(at, tokenize(raw.translate(chars)))).tobytes()
 
-    words = memo(path, "library", encode)
-
-    def make(rest: str) -> bytes | None:
-        if rest.isascii() and rest.isalpha():
-            return encode(" " + rest)
+    words = Memo(encode)
+
+    def run(rest: str) -> bytes | None:
+        """Ids of what follows a space, if it isn't plain letters; None where the cut isn't safe."""
+        core = rest.strip(_MARKS)
+        plain = core.isalpha() if core.isascii() else core.isalpha() and not NOT_LATIN.search(core)
+        if plain or (core.isascii() and core.isdigit()):
+            if len(core) == len(rest):
+                return encode(" " + rest)
+            # Marks, one kind of characters, marks: three pre-tokens, of which the first has the space.
+            start = rest.index(core)
+            tail = rest[start + len(core) :]
+            head = words[" " + rest[:start]] + words[core] if start else runs[core]
+            return head + words[tail] if tail else head
         if not rest or rest[0].isspace() or rest[-1].isspace():
-            return None  # the cut isn't safe
-        found = file.pieces(" " + rest)
-        return encode(found[0]) if len(found) == 1 else b"".join(map(words.__getitem__, found))
+            return None
+        if not core:
+            return words[" " + rest]
+        return b"".join(map(words.__getitem__, file.pieces(" " + rest)))
 
-    runs, end, out = memo(path, "library runs", make), struct.pack("<I", end_id), []
-    cuts = file.pattern.pattern == BYTE_LEVEL and not file.folds
-    for t in texts:
-        if t and file.added_split is not None and file.added_split.search(t):
-            out.append(array("I", file.library.encode(t, add_special_tokens=False).ids).tobytes() + end)
-            continue
-        first, *rest = (t or "").split(" ")
-        packed = list(map(runs.__getitem__, rest)) if cuts else [None]
-        if None in packed or first[-1:].isspace():
-            out.append(b"".join(map(words.__getitem__, file.pieces(t or ""))) + end)
-        else:
-            out.append(b"".join((*map(words.__getitem__, file.pieces(first)), *packed, end)))
-    return out
+    class Runs(Memo):
+        """As Memo, with plain ASCII letters encoded on the spot: most strings not remembered are such."""
+
+        def __missing__(self, rest: str) -> bytes | None:
+            value = self.old.get(rest)
+            if value is None:
+                value = array("I", map(at, tokenize(blank + rest))).tobytes() if rest.isalpha() and rest.isascii() else run(rest)
+            if len(rest) <= LONGEST:
+                if len(self) >= self.limit:
+                    self.turn()
+                self[rest] = value
+            return value
+
+    runs = Runs(run, RUNS)
+    files["library", path] = words, runs
+    return words, runs
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
@@ -76,11 +120,9 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
     first, rows that repeat an id follow each other by text. Other columns are left out.
     """
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    files = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # Bounds come from the id column alone; a range exchange would read the texts for its sample.
-    bounds = sorted({int(x) for x in src.approxQuantile("doc_id", [i / files for i in range(1, files)], 0.25 / files)}) if files > 1 else []
-    limits = F.array(*map(F.lit, bounds)).cast("array<bigint>")
-    part = F.coalesce(F.size(F.filter(limits, lambda x: x < F.col("doc_id"))), F.lit(0)).cast("int")
+    files = ranges.count(docs)
+    part = ranges.number(F.col("doc_id"), ranges.bounds(src, "doc_id", files))
     dealt = src.repartitionById(files, part).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -94,8 +136,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids.value_lengths(), ids], names=["doc_id", "part", "pos", "n_tokens", "ids"])
                 pos += n
 
-    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES)}
-    dealt.mapInArrow(run, SCHEMA).write.options(**options).orc(path)
+    options = {"compression": "zstd", "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": "0.01", "orc.row.index.stride": str(STRIDE), "orc.stripe.size": str(STRIPE_BYTES), "orc.rows.between.memory.checks": str(STRIDE)}
+    map_batches(dealt, run, SCHEMA).write.options(**options).orc(path)
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -122,7 +164,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
             crc = [crc32(flat[4 * x : 4 * y]) for x, y in zip(offs[:-1].tolist(), offs[1:].tolist())]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(np.diff(offs).astype(np.int64)), pa.array(crc, pa.int64())], names=["doc_id", "part", "pos", "n_tokens", "ids_crc32"])
 
-    rows = read_tokens(spark, path).mapInArrow(run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
+    rows = map_batches(read_tokens(spark, path), run, "doc_id long, part int, pos long, n_tokens long, ids_crc32 long")
     within = Window.partitionBy("part").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("__in", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
     files = read_tokens(spark, path).groupBy("part").agg(F.sum("n_tokens").alias("n"))

@@ -87,10 +87,19 @@ def test_token_counts(docs, texts):
         assert tuple(r)[1:] == (len(t.encode()), n, n > 512), r["doc_id"]
 
 
-def test_whole_tokens_are_single():
-    lib, whole = library("byte_bpe_50k.json"), token_count.whole_tokens(bpe.bpe_file(vocabulary("byte_bpe_50k.json")))
-    words = random.Random(2).sample(sorted(whole), 2000)
-    assert len(whole) > 45_000 and sum(len(e.ids) == 1 for e in lib.encode_batch(words, add_special_tokens=False)) > 1900
+def test_whole_tokens_are_all_single_pre_tokens_of_one_token():
+    file, lib = bpe.bpe_file(vocabulary("byte_bpe_50k.json")), library("byte_bpe_50k.json")
+    whole = token_count.whole_tokens(file)
+    texts = []
+    for s in file.vocab:
+        try:
+            t = bytes(file.byte_of[c] for c in s).decode("utf-8")
+        except (KeyError, UnicodeDecodeError):
+            continue
+        if len(lib.pre_tokenizer.pre_tokenize_str(t)) == 1 and t not in file.added:
+            texts.append(t)
+    single = {t for t, e in zip(texts, lib.encode_batch(texts, add_special_tokens=False)) if len(e.ids) == 1}
+    assert len(texts) > 45_000 and single == whole.keys() & set(texts)
 
 
 def test_token_orc(spark, docs, texts):
@@ -118,6 +127,48 @@ def test_token_orc_cuts_at_spaces_as_the_library(name):
         assert token_orc.library_ids(file, path, [text], 2) == [struct.pack(f"<{len(ids) + 1}I", *ids, 2)], repr(text)
 
 
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 40])
+def test_range_numbers(spark, n):
+    from bisect import bisect_left
+
+    from hinoki.llm import ranges
+
+    cuts = [3 * i + 1 for i in range(n)]
+    got = spark.createDataFrame([(i,) for i in [None, *range(-2, 3 * n + 5)]], "x long").select("x", ranges.number(F.col("x"), cuts).alias("r")).collect()
+    assert all(r["r"] == (0 if r["x"] is None else bisect_left(cuts, r["x"])) for r in got)
+
+
+def test_token_orc_files(spark, tmp_path):
+    """What the footers say: row index, Bloom filter, several stripes; and that a filter on ids reads fewer rows."""
+    from pyarrow import orc
+
+    rows = [(i, " ".join(str((i * 7919 + k * k) % 100_003) for k in range(60))) for i in range(12_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    old = token_orc.STRIPE_BYTES
+    token_orc.STRIPE_BYTES = 256 << 10
+    try:
+        token_orc.write_tokens(df, f"file://{tmp_path}/orc", vocabulary("byte_bpe_50k.json"), 2)
+    finally:
+        token_orc.STRIPE_BYTES = old
+    files = [orc.ORCFile(str(f)) for f in (tmp_path / "orc").glob("*.orc")]
+    assert sum(f.nrows for f in files) == len(rows) and max(f.nstripes for f in files) > 1
+    assert all(f.row_index_stride == token_orc.STRIDE for f in files)
+    reader = spark._jvm.org.apache.orc.OrcFile
+    for f in (tmp_path / "orc").glob("*.orc"):
+        r = reader.createReader(spark._jvm.org.apache.hadoop.fs.Path(str(f)), reader.readerOptions(spark._jsc.hadoopConfiguration()))
+        kinds = {str(s.getKind()) for k in range(r.getStripes().size()) for s in r.rows().readStripeFooter(r.getStripes().get(k)).getStreamsList()}
+        encodings = {str(e.getKind()) for k in range(r.getStripes().size()) for e in r.rows().readStripeFooter(r.getStripes().get(k)).getColumnsList()}
+        assert {"ROW_INDEX", "BLOOM_FILTER_UTF8"} <= kinds and "DIRECT_V2" in encodings
+    # The rows that the scan hands over, before the filter that Spark keeps above it.
+    some = token_orc.read_tokens(spark, f"file://{tmp_path}/orc", [7])
+    assert [r["doc_id"] for r in some.collect()] == [7]
+    scan = some._jdf.queryExecution().executedPlan()
+    while scan.children().size():
+        scan = scan.children().head()
+    metric = scan.metrics().get("numOutputRows").get().value()
+    assert 0 < metric <= 2 * token_orc.STRIDE
+
+
 def test_token_orc_repeats_nulls_empty(spark):
     path = Scratch(spark, "t").path("orc")
     df = spark.createDataFrame([(2, "b", 1), (None, "x y", 2), (2, "a", 3), (2, "a", 4), (1, None, 5)], "doc_id long, text string, pos long")
@@ -163,6 +214,46 @@ def naive_signature(text, k, sketches, keep):
     return out
 
 
+def plain_mix(x):
+    x ^= x >> 31
+    x = x * 0x7FB5D329728EA185 % 2**64
+    x ^= x >> 27
+    x = x * 0x81DADEF4BC2DD44D % 2**64
+    return x ^ (x >> 33)
+
+
+def plain_signature(text, k=6, sketches=24, keep=2):
+    """Numbered k-mers and their selection in plain integers, one k-mer and one sketch at a time."""
+    points, roll, seen, hashes = [ord(c) + 1 for c in text], 0x9FB21C651E98DF25, {}, []
+    k = min(k, len(points))
+    for i in range(len(points) - k + 1 if points else 0):
+        h = 0
+        for p in points[i : i + k]:
+            h = (h * roll + p) % 2**64
+        h = plain_mix((h + k) % 2**64)
+        number = seen[h] = seen.get(h, -1) + 1
+        hashes.append(plain_mix((h + number * 0xA0761D6478BD642F) % 2**64) if number else h)
+    out = []
+    for j in range(sketches):
+        ranked = []
+        for i, h in enumerate(hashes):
+            v = h * (plain_mix((j + 1) * 0xD1342543DE82EF95 % 2**64) | 1) % 2**64
+            ranked.append((v ^ (v >> 32), i))
+        t = j + 1
+        for i in sorted(i for _, i in sorted(ranked)[:keep]):
+            t = plain_mix((t * roll + hashes[i]) % 2**64)
+        out.append(t >> 32 if hashes else 0)
+    return out
+
+
+@pytest.mark.parametrize("k, sketches, keep", [(6, 24, 2), (6, 64, 2), (4, 5, 3)])
+def test_signature_is_that_of_a_plain_version(k, sketches, keep):
+    rng = random.Random(k)
+    for n in (0, 1, 2, 5, 7, 60, 500, 2500):
+        text = "".join(rng.choice("abcdé日😀 ") for _ in range(n))
+        assert order_minhash.signature(order_minhash.points_of(text), k, sketches, keep).tolist() == plain_signature(text, k, sketches, keep)
+
+
 def test_signature_selects_minima():
     rng = random.Random(4)
     for n in (1, 3, 40, 400, 3000):
