@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .process import map_batches
+
 #: Labelled URLs that the trees are fitted on at most: those with the smallest hash.
 FIT_ROWS = 20_000
 #: (verdict, host, path prefix).
@@ -173,9 +175,19 @@ class UrlModel:
 
 
 def fit_on(labelled: DataFrame, url_col: str, blocked_col: str, fit_rows: int = FIT_ROWS) -> UrlModel:
-    """A model from at most ``fit_rows`` distinct labelled URLs: those whose hash is smallest."""
+    """A model from at most ``fit_rows`` distinct labelled URLs: those whose hash is smallest.
+
+    Hashes above a threshold that leaves about twice as many URLs go first, so each
+    partition sends its part of these to the driver, however many partitions there are.
+    """
     rows = labelled.select(F.col(f"`{url_col}`").alias("url"), F.col(f"`{blocked_col}`").alias("blocked")).filter("url is not null and blocked is not null")
-    got = rows.distinct().select("url", "blocked", F.xxhash64("url").alias("h")).orderBy("h", "url", "blocked").limit(fit_rows).collect()
+    rows = rows.select("url", "blocked", F.xxhash64("url").alias("h"))
+    share = 2 * fit_rows / max(1, rows.agg(F.approx_count_distinct("url")).first()[0])
+    below = rows.filter(F.col("h") < F.lit(int(share * 2**64) - 2**63)) if share < 1 else rows
+    first = lambda df: df.distinct().orderBy("h", "url", "blocked").limit(fit_rows).collect()
+    got = first(below)
+    if share < 1 and len(got) < fit_rows:  # the count was far off
+        got = first(rows)
     return UrlModel.fit([r["url"] for r in got], [r["blocked"] for r in got])
 
 
@@ -207,4 +219,4 @@ def judge(pages: DataFrame, url_col: str = "url", id_col: str = "page_id", rules
                 verdict[i] = "block" if bad else "allow"
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(verdict, pa.string())], names=["page_id", "host", "path", "rule", "verdict"])
 
-    return ruled.mapInArrow(run, ruled.drop("url").schema)
+    return map_batches(ruled, run, ruled.drop("url").schema)
