@@ -6,13 +6,14 @@ of them. Pre-tokens equal to such a string count as one directly; only the rest
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import BpeFile, bpe_file, memo
+from .process import map_batches
 from .textkernel import slices
 
 
@@ -33,8 +34,8 @@ def whole_tokens(file: BpeFile) -> dict[str, int]:
     return out
 
 
-def count_texts(file: BpeFile, path: str, texts: list[str | None]) -> Iterator[int]:
-    counts = memo(path, "counts", lambda word: len(file.encode_word(word)), seed=lambda: whole_tokens(file))
+def count_texts(file: BpeFile, path: str, texts: list[str | None], whole: Callable[[], dict[str, int]]) -> Iterator[int]:
+    counts = memo(path, "counts", lambda word: len(file.encode_word(word)), seed=whole)
     for text in texts:
         n = 0
         for special, run in file.parts(text or ""):
@@ -51,6 +52,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
     table gives an empty result.
     """
     src = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # Proved once, before the job; as many strings as the vocabulary has at most.
+    proved = docs.sparkSession.sparkContext.broadcast(whole_tokens(bpe_file(path)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import pyarrow.compute as pc
@@ -59,8 +62,8 @@ def count_tokens(docs: DataFrame, path: str, limit: int = 512, id_col: str = "do
         for whole in batches:
             for b in slices(whole, 1):
                 size = pc.fill_null(pc.binary_length(b.column(1)), 0).cast(pa.int64())
-                n = pa.array(count_texts(file, path, b.column(1).to_pylist()), pa.int64())
+                n = pa.array(count_texts(file, path, b.column(1).to_pylist(), lambda: proved.value), pa.int64())
                 yield pa.RecordBatch.from_arrays([b.column(0), size, n, pc.greater(n, limit)], names=["doc_id", "n_bytes", "n_tokens", "over_limit"])
 
     schema = src.select("doc_id").schema.add("n_bytes", "long").add("n_tokens", "long").add("over_limit", "boolean")
-    return src.mapInArrow(run, schema)
+    return map_batches(src, run, schema)
