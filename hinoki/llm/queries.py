@@ -27,7 +27,7 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mix(_read(spark, sf_dir, "documents"), keep_probability="p")
+    out = mixing.mix(_read(spark, sf_dir, "documents"), share=mixing.SHARE, most_rounds=mixing.ROUNDS, keep_probability="p")
     return out.select("doc_id", "source", "lang", F.col("p_topic").alias("topic"), F.round("p", 6).alias("probability"))
 
 
@@ -77,4 +77,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """SQL where it can express the whole result; the other operators have brute-force tests."""
-    return {"op1_mix_sources": mixing.mix_sql(), "op5_line_dedup": line_dedup.drop_boilerplate_sql()}
+    return {"op1_mix_sources": mixing.mix_sql(share=mixing.SHARE), "op5_line_dedup": line_dedup.drop_boilerplate_sql()}

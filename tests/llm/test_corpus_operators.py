@@ -28,9 +28,9 @@ def oracle(sql, documents):
     return con.sql(sql).fetchall()
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
-def test_line_dedup(docs, limit):
-    got = line_dedup.drop_boilerplate(docs, count_col="n", broadcast_lines=limit).select("doc_id", "text", "n")
+@pytest.mark.parametrize("limit, host", [(10**6, 10**6), (10**6, 0), (0, 0)])
+def test_line_dedup(docs, limit, host):
+    got = line_dedup.drop_boilerplate(docs, count_col="n", broadcast_lines=limit, host_lines=host).select("doc_id", "text", "n")
     assert sorted(rows_of(got), key=str) == sorted(oracle(line_dedup.drop_boilerplate_sql(), docs), key=str)
 
 
@@ -41,6 +41,7 @@ def test_line_dedup_drops_site_lines(spark):
     assert got[3]["text"] == "page 3 words\n" and got[3]["line"] == 2 and got[3]["host"] == 7
     assert got[43]["text"] == "page 43 words\n" and got[0]["text"] is None and got[99]["text"] == "menu home"
     assert line_dedup.drop_boilerplate(df.limit(0)).count() == 0
+    assert line_dedup.drop_boilerplate(df, count_col="HOST").columns == ["doc_id", "text", "source", "HOST"]
 
 
 def test_pipeline_drops_rarer_site_lines(spark):
@@ -51,9 +52,10 @@ def test_pipeline_drops_rarer_site_lines(spark):
     assert not any("license" in t for t in texts) and sum("shared" in t for t in texts) == 5
 
 
-def test_mixing_matches_sql(docs):
-    got = mixing.mix(docs, keep_probability="p").select("doc_id", "source", "lang", F.col("p_topic"), F.round("p", 6))
-    assert sorted(rows_of(got), key=str) == sorted(oracle(mixing.mix_sql(), docs), key=str)
+@pytest.mark.parametrize("share", [None, 0.3, mixing.SHARE, 0.9, 1])
+def test_mixing_matches_sql(docs, share):
+    got = mixing.mix(docs, share=share, most_rounds=mixing.ROUNDS, keep_probability="p").select("doc_id", "source", "lang", F.col("p_topic"), F.round("p", 6))
+    assert sorted(rows_of(got), key=str) == sorted(oracle(mixing.mix_sql(share=share), docs), key=str)
 
 
 def test_mixing_meets_targets(spark):
@@ -99,6 +101,8 @@ def test_mixing_edges(spark):
     df = spark.createDataFrame([(1, None, None, None, 2), (None, "a b", "en", None, 2)], "doc_id long, text string, lang string, source string, weight long")
     assert mixing.mix(df).columns == df.columns
     assert mixing.mix(df.limit(0)).count() == 0
+    assert mixing.mix(df.limit(0), share=0.5).count() == 0
+    assert mixing.mix(df, keep_probability="WEIGHT").columns == ["doc_id", "text", "lang", "source", "WEIGHT", "WEIGHT_topic"]
 
 
 def test_sharding(spark, docs):
@@ -126,7 +130,42 @@ def test_sharding(spark, docs):
     exact = Counter()
     for item, s in sharding.lpt([(str(k), v) for k, v in groups.items()], shards).items():
         exact[s] += groups[None if item == "None" else item]
-    assert max(load.values()) <= 1.01 * max(exact.values())
+    assert load == exact
+
+
+def test_sharding_numbers_many_groups_of_one_size(spark, monkeypatch):
+    """Equal sizes in several chunks: loads are those of plain LPT, on both sides of the limit for broadcasting."""
+    monkeypatch.setattr(sharding, "SLOT_ROWS", 50)
+    monkeypatch.setattr(sharding, "OFTEN", 20)
+    rows = [(i, f"{i:05d}" + "x" * (i % 3 == 0)) for i in range(900)] + [(1000 + i, "hot") for i in range(500)] + [(2000 + i, "y" * 2500) for i in range(3)]
+    got = rows_of(sharding.shard_documents(spark.createDataFrame(rows, "doc_id long, text string"), 7))
+    groups, load, slots = Counter(), Counter(), defaultdict(list)
+    for _, t in rows:
+        groups[t] += len(t) + 8
+    for g in got:
+        load[g[3]] += g[1]
+        slots[g[3]].append(g[4])
+    exact = Counter()
+    for item, s in sharding.lpt(groups.items(), 7).items():
+        exact[s] += groups[item]
+    assert load == exact and all(sorted(x) == list(range(len(x))) for x in slots.values())
+
+
+def test_counts_of_sizes_are_the_schedule_of_single_groups():
+    rng = random.Random(3)
+    for _ in range(300):
+        shards, sizes = rng.randint(1, 9), Counter()
+        for _ in range(rng.randint(0, 8)):
+            sizes[rng.randint(0, 60)] += rng.choice((1, 2, 5, 60, 300))
+        items = [((s, i), s) for s, c in sizes.items() for i in range(c)]
+        plain, dealt = Counter(), Counter()
+        for item, s in sharding.lpt(items, shards).items():
+            plain[s] += item[0]
+        for size, used, upto in sharding.lpt_counts(sizes.items(), shards):
+            assert upto[-1] == sizes[size]
+            for s, low, high in zip(used, [0, *upto], upto):
+                dealt[s] += size * (high - low)
+        assert +plain == +dealt
 
 
 def test_lpt_takes_least_loaded():
@@ -173,6 +212,20 @@ def test_url_rules(spark):
     assert url_filter.judge(pages.limit(0)).count() == 0
 
 
+def test_url_verdicts_of_long_and_repeated_rows(spark):
+    rows = [(i, "http://h.net/" + "seg/" * 200_000 + "?" + "a=1&" * 50_000) for i in (1, 1, 2)] + [(3, "http://www.example.org/es/x")] * 3
+    got = sorted(rows_of(url_filter.judge(spark.createDataFrame(rows, "page_id long, url string")).select("page_id", F.length("path"), "rule", "verdict")), key=str)
+    assert [g[:3] for g in got] == [(1, 800_001, None)] * 2 + [(2, 800_001, None)] + [(3, 5, "example.org/es/")] * 3 and len({g[3] for g in got[:3]}) == 1
+
+
+def test_url_sample_is_that_of_the_smallest_hashes(spark, monkeypatch):
+    urls = spark.range(5000).select(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".org/")).alias("url"), (F.col("id") % 2 == 0).alias("blocked"))
+    seen = []
+    monkeypatch.setattr(url_filter.UrlModel, "fit", classmethod(lambda cls, u, b: seen.append(u)))
+    url_filter.fit_on(urls, "url", "blocked", fit_rows=300)
+    assert seen[0] == [r["url"] for r in urls.orderBy(F.xxhash64("url")).limit(300).collect()]
+
+
 def test_url_sample_takes_a_hot_url_once(spark):
     urls = spark.range(200).select(F.concat(F.lit("http://h"), F.col("id").cast("string"), F.lit(".org/")).alias("url"), (F.col("id") % 2 == 0).alias("blocked"))
     first = urls.orderBy(F.xxhash64("url")).limit(1)
@@ -218,7 +271,7 @@ def test_pipeline_against_brute_force(spark):
     label = near_components([(i, d["text"]) for i, d in docs.items()])
     docs = {i: d for i, d in docs.items() if label[i][1] == i}
     table = spark.createDataFrame([(d["doc_id"], d["text"], d["lang"], d["source"], len(d["text"])) for d in docs.values()], SCHEMA)
-    wanted = {r[0] for r in oracle(mixing.mix_sql(), table)}
+    wanted = {r[0] for r in oracle(mixing.mix_sql(share=mixing.SHARE), table)}
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(queries.vocabulary("word_bpe_49k.json"))
