@@ -8,11 +8,6 @@ from hinoki.llm import bpe, line_dedup, mixing, neardup, quality
 from hinoki.llm.queries import vocabulary
 from hinoki.llm.scratch import Scratch
 
-#: Share of a source's pages beyond which a line is boilerplate. Known license lines are
-#: on 8 to 13 % of a source's pages, and hardly any line is between 5 and 8 %.
-LINE_RATIO = 0.05
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
     return quality.keep_good(docs)
@@ -20,7 +15,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_frequency(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the boilerplate lines of their source."""
-    return line_dedup.drop_boilerplate(docs, length_col="n_chars", ratio=LINE_RATIO)
+    return line_dedup.drop_boilerplate(docs, length_col="n_chars")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A sample whose source, language and topic shares meet the targets."""
-    return mixing.mix(docs)
+    return mixing.mix(docs, share=mixing.SHARE, most_rounds=mixing.ROUNDS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
