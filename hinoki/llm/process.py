@@ -7,21 +7,9 @@ import sys
 import types
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
-#: Rows and bytes of the Arrow batches that go to Python, unless the session says otherwise.
-BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
-_DEFAULTS = {"spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", str(BATCH_ROWS)), "spark.sql.execution.arrow.maxBytesPerBatch": ("67108864b", f"{BATCH_BYTES}b")}
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Make Arrow batches small where the session has Spark's defaults.
-
-    Ten thousand documents can be any number of bytes, in the JVM and in Python.
-    """
-    for key, (default, ours) in _DEFAULTS.items():
-        if spark.conf.get(key) == default:
-            spark.conf.set(key, ours)
+from ..functions.batches import BATCH_BYTES, BATCH_ROWS, bound_batches  # noqa: F401
 
 
 def map_batches(df: DataFrame, run, schema) -> DataFrame:

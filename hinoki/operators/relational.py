@@ -1,79 +1,163 @@
-"""Lattice steps as joins and expressions, for inspection and for checking the kernel.
+"""The lattice as tables, for inspection and for checking the kernel.
 
-Positions are 0-based code-point offsets.
+A text's nodes and edges are found within its row, for many texts at once, so they need no
+shuffle; connection costs and best paths are joins and folds over them. Positions are 0-based
+code-point offsets.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions.charclass import GROUPING, mask_column
+from ..functions.batches import map_dealt, slices
+from ..functions.charclass import Categories, can_begin
 from ..plans.dictionary import INHIBITED
 
+NODE = ("at", "end", "surface", "left_id", "right_id", "cost", "dict_id", "word_id", "pos_id", "node_ord")
+_ENTRY = ("dict_id", "word_id", "left_id", "right_id", "cost", "pos_id")
+
+
+class _Lexicon:
+    """Headwords with their entries, each headword's side by side."""
+
+    def __init__(self, lexicon: DataFrame):
+        """Like any broadcast the lexicon passes through the driver; columns that it lacks are 0."""
+        columns = [c for c in (*_ENTRY, "surface") if c in lexicon.columns]
+        rows = sorted(lexicon.filter("headword is not null").select("headword", *columns).collect(), key=lambda r: r[0])
+        self.surface = [r["surface"] if "surface" in columns else r[0] for r in rows]
+        self.entry = {c: np.array([r[c] if c in columns else 0 for r in rows], np.int32) for c in _ENTRY}
+        heads = [r[0] for r in rows]
+        self.group = {h: i for i, h in enumerate(dict.fromkeys(heads))}
+        self.first = np.searchsorted(np.array([self.group[h] for h in heads], np.int64), np.arange(len(self.group) + 1))
+
+
+@dataclass
+class _Nodes:
+    """Nodes of several texts by text and order of insertion; begins and ends are offsets in the joined texts."""
+
+    whole: str
+    first: np.ndarray
+    begin: np.ndarray
+    end: np.ndarray
+    row: np.ndarray
+    entry: np.ndarray
+
+    @classmethod
+    def of(cls, texts: Sequence[str | None], cats: Categories, lexicon: _Lexicon, longest: int, simple: bool) -> _Nodes:
+        texts = [t or "" for t in texts]
+        whole = "".join(texts)
+        first = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
+        new = can_begin(cats.of(whole))
+        new[first[first < len(whole)]] = True
+        starts = np.flatnonzero(new)
+        bounds = np.append(starts, len(whole))  # the beginnings after a position, and the ends
+        row = np.searchsorted(first, starts, "right") - 1
+        get, i, hits = lexicon.group.get, np.arange(len(starts)), []
+        for ahead in range(1, longest + 1):
+            i = i[i + ahead < len(bounds)]
+            i = i[(bounds[i + ahead] - starts[i] <= longest) & (bounds[i + ahead] <= first[row[i] + 1])]
+            if not len(i):
+                break
+            spans = zip(starts[i].tolist(), bounds[i + ahead].tolist())
+            group = np.fromiter((get(whole[a:b], -1) for a, b in spans), np.int64, len(i))
+            found = np.flatnonzero(group >= 0)
+            n = lexicon.first[group[found] + 1] - lexicon.first[group[found]]
+            entry = np.repeat(lexicon.first[group[found]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            at = np.repeat(i[found], n)
+            hits.append((at, bounds[at + ahead], entry))
+        if simple:
+            bare = np.ones(len(starts), bool)
+            for at, *_ in hits:
+                bare[at] = False
+            at = np.flatnonzero(bare)
+            hits.append((at, bounds[at + 1], np.full(len(at), -1)))
+        at, end, entry = (np.concatenate([h[k] for h in hits]).astype(np.int64) if hits else np.zeros(0, np.int64) for k in range(3))
+        # A simple node stands alone at its position.
+        known = np.maximum(entry, 0)
+        keys = [lexicon.entry[c][known] if len(lexicon.surface) else entry for c in ("word_id", "dict_id")]
+        order = np.lexsort((keys[0], end, keys[1], at))
+        at, end, entry = at[order], end[order], entry[order]
+        return cls(whole, first, starts[at], end, row[at], entry)
+
+    def order(self) -> np.ndarray:
+        """Numbers from 1 on within each text."""
+        return np.arange(1, len(self.row) + 1) - np.searchsorted(self.row, self.row)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """Indexes of each node and of the nodes after it."""
+        low, high = (np.searchsorted(self.begin, self.end, side) for side in ("left", "right"))
+        n = np.where(self.end < self.first[self.row + 1], high - low, 0)
+        return np.repeat(np.arange(len(n)), n), np.repeat(low, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+
+
+def _mapped(texts: DataFrame, lexicon: DataFrame, key: str, longest: int, simple: bool, types: dict[str, str], columns: Callable[[_Nodes, _Lexicon], tuple[np.ndarray, list]]) -> DataFrame:
+    """(key, the columns): ``columns`` returns the row of each output row and the values."""
+    src = texts.select(F.col(key), F.col("text").alias("text"))
+    kept, cats = texts.sparkSession.sparkContext.broadcast(_Lexicon(lexicon)), Categories()
+    schema = T.StructType([src.schema[key], *(T.StructField(n, T.StringType() if t == "string" else T.IntegerType()) for n, t in types.items())])
+    arrow = [pa.string() if t == "string" else pa.int32() for t in types.values()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = kept.value
+        for batch in batches:
+            for b in slices(batch, 1):
+                nodes = _Nodes.of(b.column(1).to_pylist(), cats, own, longest, simple)
+                row, made = columns(nodes, own)
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row)), *(pa.array(x, t) for x, t in zip(made, arrow))], names=schema.names)
+
+    return map_dealt(src, run, schema)
 
-def characters(texts: DataFrame, key: str) -> DataFrame:
-    """(key, at, ch, mask, n): a row for each character."""
-    # The length comes first: beside the generator it would take the whole text along in every row.
-    chars = F.filter(F.split("text", ""), lambda c: c != "")
-    out = texts.select(key, F.length("text").alias("n"), chars.alias("chars")).select(key, "n", F.posexplode("chars").alias("at", "ch"))
-    return out.withColumn("mask", mask_column(F.col("ch")))
 
+def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
+    """(key, at, end, word_id): every headword that starts at a word beginning and ends at one or at the end.
 
-def positions(texts: DataFrame, key: str, longest: int) -> DataFrame:
-    """(key, n, at, next, unit, ahead): word beginnings, where the next one or the end is, the
-    characters up to there, and the ``longest`` next characters. No row carries a whole text."""
-    order = Window.partitionBy(key).orderBy("at")
-    new = (F.col("at") == 0) | (F.col("mask").bitwiseAND(F.lit(GROUPING)) == 0) | (F.col("mask").bitwiseAND(F.lag("mask").over(order)) == 0)
-    ahead = F.array_join(F.collect_list("ch").over(order.rowsBetween(0, longest - 1)), "")
-    rows = characters(texts, key).select(key, "n", "at", "ch", ahead.alias("ahead"), new.alias("new"))
-    rows = rows.withColumn("unit_no", F.sum(F.col("new").cast("int")).over(order))
-    chars = F.transform(F.array_sort(F.collect_list(F.struct("at", "ch"))), lambda x: x["ch"])
-    return rows.groupBy(key, "unit_no").agg(F.first("n").alias("n"), F.min("at").alias("at"), (F.max("at") + 1).alias("next"), F.array_join(chars, "").alias("unit"), F.min_by("ahead", "at").alias("ahead")).drop("unit_no")
+    ``longest`` bounds the substrings looked up at each position.
+    """
 
+    def columns(n: _Nodes, own: _Lexicon) -> tuple[np.ndarray, list]:
+        base = n.first[n.row]
+        return n.row, [n.begin - base, n.end - base, own.entry["word_id"][n.entry]]
 
-def prefix_join(texts: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
-    """Lexicon nodes: every headword that starts at a word beginning and ends at one or at the end.
+    return _mapped(texts, lexicon, key, longest, False, {"at": "int", "end": "int", "word_id": "int"}, columns)
 
-    ``longest`` bounds the substrings made at each position; the join is an equi-join.
+
+def lattice_nodes(texts: DataFrame, lexicon: DataFrame, key: str, longest: int, oov_cost: int, oov_pos: int, fields: Sequence[str] = NODE) -> DataFrame:
+    """Lexicon nodes, and one up to the next word beginning wherever the lexicon has none.
+
+    As the only provider of unknown words it is the fallback too, so it also serves characters
+    that don't begin unknown words otherwise. ``node_ord`` is the order of insertion.
     """
-    return _lexicon_nodes(positions(texts, key, longest), lexicon, key, longest)
+    unknown = {"left_id": 0, "right_id": 0, "cost": oov_cost, "dict_id": -1, "word_id": -1, "pos_id": oov_pos}
 
+    def values(name: str, n: _Nodes, own: _Lexicon) -> Sequence:
+        if name in unknown:
+            return np.append(own.entry[name], unknown[name])[n.entry]  # entry -1 is the last
+        if name == "surface":
+            return [own.surface[e] if e >= 0 else n.whole[a:b] for e, a, b in zip(n.entry.tolist(), n.begin.tolist(), n.end.tolist())]
+        return n.order() if name == "node_ord" else (n.begin if name == "at" else n.end) - n.first[n.row]
 
-def _lexicon_nodes(pos: DataFrame, lexicon: DataFrame, key: str, longest: int) -> DataFrame:
-    spans = pos.select(key, "at", "n", "ahead", F.explode(F.sequence(F.lit(1), F.least(F.lit(longest), F.col("n") - F.col("at")))).alias("len"))
-    spans = spans.withColumn("headword", F.substring("ahead", F.lit(1), F.col("len")))
-    hits = spans.drop("ahead").join(F.broadcast(lexicon.filter("headword is not null")), "headword")
-    # The next beginnings are all beginnings but the first, and the ends.
-    return hits.withColumn("end", F.col("at") + F.col("len")).join(pos.select(key, F.col("next").alias("end")), [key, "end"], "left_semi")
+    return _mapped(texts, lexicon, key, longest, True, {f: "string" if f == "surface" else "int" for f in fields}, lambda n, own: (n.row, [values(f, n, own) for f in fields]))
 
 
-def simple_oov(pos: DataFrame, nodes: DataFrame, key: str, cost: int, pos_id: int) -> DataFrame:
-    """One node up to the next word beginning wherever the lexicon has none.
+def lattice_edges(texts: DataFrame, lexicon: DataFrame, connection: DataFrame, key: str, longest: int) -> DataFrame:
+    """(key, from_ord, to_ord, conn): connectable neighbours of ``lattice_nodes``, inhibited ones left out."""
 
-    As the only provider it is the fallback too, so it also serves characters that
-    don't begin unknown words otherwise.
-    """
-    bare = pos.join(nodes.select(key, "at").distinct(), [key, "at"], "left_anti")
-    return bare.select(key, "at", F.col("next").alias("end"), F.col("unit").alias("surface"), F.lit(0).alias("left_id"), F.lit(0).alias("right_id"), F.lit(cost).alias("cost"), F.lit(-1).alias("dict_id"), F.lit(-1).alias("word_id"), F.lit(pos_id).alias("pos_id"))
-
-
-def lattice_nodes(texts: DataFrame, lexicon: DataFrame, key: str, longest: int, oov_cost: int, oov_pos: int) -> DataFrame:
-    """Lexicon and simple OOV nodes with ``node_ord``, the order of insertion."""
-    cols = [key, "at", "end", "surface", "left_id", "right_id", "cost", "dict_id", "word_id", "pos_id"]
-    pos = positions(texts, key, longest)
-    hits = _lexicon_nodes(pos, lexicon, key, longest).select(*cols)
-    every = hits.unionByName(simple_oov(pos, hits, key, oov_cost, oov_pos))
-    order = Window.partitionBy(key).orderBy("at", F.col("dict_id") < 0, "dict_id", "end", "word_id")
-    return every.withColumn("node_ord", F.row_number().over(order))
-
-
-def edges(nodes: DataFrame, connection: DataFrame, key: str) -> DataFrame:
-    """(key, from_ord, to_ord, conn): connectable neighbours, inhibited ones left out."""
-    left = nodes.select(key, F.col("end").alias("at"), F.col("node_ord").alias("from_ord"), F.col("right_id").alias("left"))
-    right = nodes.select(key, "at", F.col("node_ord").alias("to_ord"), F.col("left_id").alias("right"))
-    cost = connection.select("left", "right", F.col("cost").alias("conn"))
-    return left.join(right, [key, "at"]).join(cost, ["left", "right"], "left").select(key, "from_ord", "to_ord", F.coalesce("conn", F.lit(0)).alias("conn")).filter(F.col("conn") != INHIBITED)
+    def columns(n: _Nodes, own: _Lexicon) -> tuple[np.ndarray, list]:
+        (a, b), order = n.pairs(), n.order()
+        ids = {c: np.append(own.entry[c], 0)[n.entry] for c in ("left_id", "right_id")}
+        return n.row[a], [order[a], order[b], ids["right_id"][a], ids["left_id"][b]]
+
+    pairs = _mapped(texts, lexicon, key, longest, True, {"from_ord": "int", "to_ord": "int", "left": "int", "right": "int"}, columns)
+    # By a sorted join all edges would go to the few pairs of ids.
+    cost = F.broadcast(connection.select("left", "right", F.col("cost").alias("conn")))
+    return pairs.join(cost, ["left", "right"], "left").select(key, "from_ord", "to_ord", F.coalesce("conn", F.lit(0)).alias("conn")).filter(F.col("conn") != INHIBITED)
 
 
 def viterbi(nodes: DataFrame, connection: DataFrame, key: str) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import sentences
+from ..functions.batches import map_dealt, slices
 from ..functions.charclass import Categories
 from ..functions.normalize import DefaultRewrite, Edited, normalized
 from ..plans.dictionary import Compiled
@@ -118,14 +119,10 @@ class Engine:
     def _mapped(self, df: DataFrame, text_col: str, types: dict[str, T.DataType], per_batch) -> DataFrame:
         """Rows of ``df`` without the text, repeated as ``per_batch(engine, texts)`` says.
 
-        It returns (row numbers, Arrow columns). Tables in fewer partitions than there are
-        cores are dealt out first: analysis is CPU-bound.
+        It returns (row numbers, Arrow columns).
         """
         keep = [c for c in df.columns if c != text_col]
         src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text_col}`").alias("__text"))
-        cores = df.sparkSession.sparkContext.defaultParallelism
-        if _scanned(src) and src.rdd.getNumPartitions() < cores:
-            src = src.repartition(4 * cores)
         engine = df.sparkSession.sparkContext.broadcast(self)
         schema = T.StructType(src.drop("__text").schema.fields + [T.StructField(n, t) for n, t in types.items()])
         n_kept = len(keep)
@@ -133,13 +130,12 @@ class Engine:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = engine.value
             for whole in batches:
-                for at in range(0, whole.num_rows, 64):
-                    b = whole.slice(at, 64)
+                for b in slices(whole, n_kept):
                     take, made = per_batch(own, b.column(n_kept).to_pylist())
                     index = pa.array(take, pa.int64())
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(index) for k in range(n_kept)), *made], names=schema.names)
 
-        return src.mapInArrow(run, schema)
+        return map_dealt(src, run, schema)
 
     def tokenize_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", tolerant: bool = False, fields: Sequence[str] | None = None, offsets: str = OFFSETS[0]) -> DataFrame:
         """``df`` with ``morphemes`` and ``error`` for the text column; null and empty texts have none.
@@ -187,11 +183,6 @@ class Engine:
         return self._mapped(df, text_col, {"dump": T.StringType()}, per_batch)
 
 
-def _scanned(df: DataFrame) -> bool:
-    """Whether the partitions of ``df`` are those of its source; telling those after a shuffle would run it."""
-    return not df.isStreaming and "Exchange" not in df._jdf.queryExecution().executedPlan().toString()
-
-
 def _wanted(fields: Sequence[str] | None, offsets: str) -> list[str]:
     wanted = list(FIELDS if fields is None else fields)
     if not wanted or not set(wanted) <= set(FIELDS) or offsets not in OFFSETS:

@@ -241,6 +241,28 @@ def test_kernel_equals_brute_force_and_relational(spark):
     assert dict((r[0], r[1]) for r in relational.viterbi(nodes, conn, "k").collect()) == dict(enumerate(totals))
 
 
+def test_lattice_tables_stay_within_rows(spark):
+    """Nodes and edges come without sorting or dealing out characters, as the kernel makes them."""
+    words = [("the", 1, 2, 700, "名詞"), ("the", 2, 1, 800, "名詞"), ("th", 1, 1, 10, "名詞"), ("あ", 0, 1, 5, "名詞"), ("あい", 1, 1, 7, "名詞"), ("い", 2, 0, 9, "名詞")]
+    d, oov = compiled(words, np.zeros((3, 3), np.int16)), SimpleOov(("名詞", *"*****"), cost=1500)
+    oov.set_up(d)
+    texts = ["the あいい the", "", None, "い", "thethe い", "\n😀あ", "あい" * 40]
+    nodes_want, edges_want = [], []
+    for k, t in enumerate(texts):
+        made = sorted(lattice.build(d, Chars.of(t, Categories()), [oov]).nodes(), key=lambda n: (n.begin, n.is_oov, n.end, n.word.word_id)) if t else []
+        nodes_want += [(k, n.begin, n.end, n.word.surface, n.word.cost, n.word.word_id, i) for i, n in enumerate(made, 1)]
+        edges_want += [(k, i, j, 0) for i, a in enumerate(made, 1) for j, b in enumerate(made, 1) if a.end == b.begin and (a.word.right_id, b.word.left_id) != (2, 1)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, text string")
+    lex = spark.createDataFrame([(0, w.word_id, w.surface, w.left_id, w.right_id, w.cost, w.surface, 0) for w in d.words.values()], "dict_id int, word_id int, headword string, left_id int, right_id int, cost int, surface string, pos_id int")
+    nodes = relational.lattice_nodes(df, lex, "k", 3, 1500, 0)
+    edges = relational.lattice_edges(df, lex, spark.createDataFrame([(2, 1, 32767)], "left int, right int, cost int"), "k", 3)
+    assert sorted(map(tuple, nodes.select("k", "at", "end", "surface", "cost", "word_id", "node_ord").collect())) == nodes_want
+    assert sorted(map(tuple, edges.collect())) == sorted(edges_want)
+    for made in (nodes, edges):
+        plan = made._jdf.queryExecution().executedPlan().toString()
+        assert not any(x in plan for x in ("hashpartitioning", "Window", "SortMergeJoin"))
+
+
 def test_split_modes_and_ids(engine):
     assert surfaces(engine, "東京都", "A") == ["東京", "都"] and surfaces(engine, "東京都") == ["東京都"] == surfaces(engine, "東京都", "B")
     m = engine.tokenize("京都")[0]
