@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from .batches import bound_batches
 from .definitions import CHARACTERS
 
 # Category bits.
@@ -155,4 +156,5 @@ def runs_column(text: Column, cats: Categories | None = None) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else narrowing_runs(x, own)).astype("Int64")
 
+    bound_batches(SparkSession.active())
     return run(text)

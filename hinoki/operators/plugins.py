@@ -6,6 +6,7 @@ from abc import ABC, abstractmethod
 from collections.abc import Sequence
 from typing import TYPE_CHECKING
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 
 if TYPE_CHECKING:
@@ -32,6 +33,10 @@ class OovProvider(Plugin):
     def provide(self, chars: Chars, at: int, seen: set[int]) -> Sequence[Node]:
         """Nodes that begin at ``at``; ``seen`` has the lengths of those already there."""
 
+    def idle(self, chars: Chars) -> np.ndarray | None:
+        """For each character whether there is no node at it, whatever else there is; None if that isn't known."""
+        return None
+
 
 class PathRewrite(Plugin):
     def validate_split_mode(self, mode: str) -> None:  # noqa: B027

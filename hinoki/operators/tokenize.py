@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import gc
 import json
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -68,28 +69,33 @@ class Engine:
     def tokenize(self, text: str, mode: str = "C") -> list[dict]:
         return self.analyse(normalized(text, self.input), mode)
 
-    def columns(self, done: Sequence[tuple[Edited, list[Node]] | None], fields: Sequence[str], offsets: str) -> pa.ListArray:
+    def columns(self, done: Sequence[tuple[Edited, list[Node]] | None], fields: Sequence[str], offsets: str | Sequence[str]) -> pa.ListArray:
         """list<struct> of the fields of each text's nodes, column by column; None gives null."""
-        texts = [(t, _places(t.original, offsets), nodes) for t, nodes in filter(None, done)]
-        spans = [(t, place, n) for t, place, nodes in texts for n in nodes]
-        words, pos = [n.word for _, _, n in spans], self.dictionary.pos
+        texts = list(filter(None, done))
+        nodes, pos = [n for _, own in texts for n in own], self.dictionary.pos
         makers = {
-            "begin": lambda: [place(t.origin[n.begin]) for t, place, n in spans],
-            "end": lambda: [place(t.origin[n.end]) for t, place, n in spans],
-            "surface": lambda: [w.surface for w in words],
-            "pos": lambda: [pos[w.pos_id] for w in words],
-            "pos_id": lambda: [w.pos_id for w in words],
-            "dictionary_form": lambda: [w.dict_form for w in words],
-            "normalized_form": lambda: [w.normalized for w in words],
-            "reading_form": lambda: [w.reading for w in words],
-            "is_oov": lambda: [n.is_oov for _, _, n in spans],
-            "word_id": lambda: [w.word_id for w in words],
-            "dictionary_id": lambda: [-1 if n.is_oov else n.word.dict_id for _, _, n in spans],
-            "synonym_group_ids": lambda: [w.synonyms for w in words],
-            "total_cost": lambda: [n.total for _, _, n in spans],
-            "original": lambda: [t.original[t.origin[n.begin] : t.origin[n.end]] for t, _, n in spans],
+            "surface": lambda: [n.word.surface for n in nodes],
+            "pos": lambda: [pos[n.word.pos_id] for n in nodes],
+            "pos_id": lambda: [n.word.pos_id for n in nodes],
+            "dictionary_form": lambda: [n.word.dict_form for n in nodes],
+            "normalized_form": lambda: [n.word.normalized for n in nodes],
+            "reading_form": lambda: [n.word.reading for n in nodes],
+            "is_oov": lambda: [n.is_oov for n in nodes],
+            "word_id": lambda: [n.word.word_id for n in nodes],
+            "dictionary_id": lambda: [-1 if n.is_oov else n.word.dict_id for n in nodes],
+            "synonym_group_ids": lambda: [n.word.synonyms for n in nodes],
+            "total_cost": lambda: [n.total for n in nodes],
+            "original": lambda: [t.original[t.origin[n.begin] : t.origin[n.end]] for t, own in texts for n in own],
         }
-        flat = pa.StructArray.from_arrays([pa.array(makers[f](), _ARROW[FIELDS[f]]) for f in fields], names=list(fields))
+        columns = {}
+        for f in fields:
+            if f in makers:
+                columns[f] = pa.array(makers[f](), _ARROW[FIELDS[f]])
+                continue
+            at = [t.origin[n.begin] for t, own in texts for n in own] if f == "begin" else [t.origin[n.end] for t, own in texts for n in own]
+            for suffix, unit in _suffixes(offsets).items():
+                columns[f + suffix] = pa.array(_in_unit(at, texts, unit), pa.int32())
+        flat = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
         ends = np.concatenate(([0], np.cumsum([len(x[1]) if x else 0 for x in done]))).astype(np.int32)
         return pa.ListArray.from_arrays(pa.array(ends), flat, mask=pa.array([x is None for x in done], pa.bool_()))
 
@@ -131,17 +137,22 @@ class Engine:
             own = engine.value
             for whole in batches:
                 for b in slices(whole, n_kept):
-                    take, made = per_batch(own, b.column(n_kept).to_pylist())
+                    gc.disable()  # nodes have no cycles, but many are alive at once
+                    try:
+                        take, made = per_batch(own, b.column(n_kept).to_pylist())
+                    finally:
+                        gc.enable()
                     index = pa.array(take, pa.int64())
                     yield pa.RecordBatch.from_arrays([*(b.column(k).take(index) for k in range(n_kept)), *made], names=schema.names)
 
         return map_dealt(src, run, schema)
 
-    def tokenize_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", tolerant: bool = False, fields: Sequence[str] | None = None, offsets: str = OFFSETS[0]) -> DataFrame:
+    def tokenize_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", tolerant: bool = False, fields: Sequence[str] | None = None, offsets: str | Sequence[str] = OFFSETS[0]) -> DataFrame:
         """``df`` with ``morphemes`` and ``error`` for the text column; null and empty texts have none.
 
         ``fields`` names the morpheme fields wanted, all by default; ``offsets`` counts
-        begin and end in code points, UTF-16 units or UTF-8 bytes of the original text.
+        begin and end in code points, UTF-16 units or UTF-8 bytes of the original text. For
+        several units at once these fields have names like ``end_utf_16``.
         With ``tolerant`` a text that can't be analysed gets an error message and a null
         list instead of failing the job.
         """
@@ -161,7 +172,7 @@ class Engine:
                     errors.append(str(e))
             return range(len(texts)), [own.columns(done, wanted, offsets), pa.array(errors, pa.string())]
 
-        return self._mapped(df, text_col, {"morphemes": _list_type(wanted), "error": T.StringType()}, per_batch)
+        return self._mapped(df, text_col, {"morphemes": _list_type(wanted, offsets), "error": T.StringType()}, per_batch)
 
     def sentence_table(self, df: DataFrame, text_col: str = "text", mode: str = "C", limit: int = sentences.LIMIT, fields: Sequence[str] | None = None) -> DataFrame:
         """A row for each sentence: sent_no, sent_begin, sent_end, sentence, morphemes."""
@@ -183,24 +194,35 @@ class Engine:
         return self._mapped(df, text_col, {"dump": T.StringType()}, per_batch)
 
 
-def _wanted(fields: Sequence[str] | None, offsets: str) -> list[str]:
-    wanted = list(FIELDS if fields is None else fields)
-    if not wanted or not set(wanted) <= set(FIELDS) or offsets not in OFFSETS:
+def _wanted(fields: Sequence[str] | None, offsets: str | Sequence[str]) -> list[str]:
+    wanted, units = list(FIELDS if fields is None else fields), [offsets] if isinstance(offsets, str) else offsets
+    if not wanted or not units or not set(wanted) <= set(FIELDS) or not set(units) <= set(OFFSETS):
         raise ValueError("unknown morpheme field or unit of offsets")
     return wanted
 
 
-def _list_type(fields: Sequence[str]) -> T.ArrayType:
-    return T.ArrayType(T.StructType.fromDDL(", ".join(f"`{f}` {FIELDS[f]}" for f in fields)))
+def _suffixes(offsets: str | Sequence[str]) -> dict[str, str]:
+    """What the names of begin and end get -> unit."""
+    return {"": offsets} if isinstance(offsets, str) else {f"_{u.replace(' ', '_').replace('-', '_')}": u for u in offsets}
 
 
-def _places(text: str, offsets: str) -> Callable[[int], int]:
-    """Offsets in code points to those in the wanted unit."""
-    if offsets == OFFSETS[0] or text.isascii():
-        return int
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    size = 1 + (points > 0xFFFF) if offsets == "utf-16" else 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
-    return np.concatenate(([0], np.cumsum(size))).tolist().__getitem__
+def _list_type(fields: Sequence[str], offsets: str | Sequence[str] = OFFSETS[0]) -> T.ArrayType:
+    names = {f + x: FIELDS[f] for f in fields for x in (_suffixes(offsets) if f in ("begin", "end") else ("",))}
+    return T.ArrayType(T.StructType.fromDDL(", ".join(f"`{f}` {kind}" for f, kind in names.items())))
+
+
+def _in_unit(at: list[int], texts: Sequence[tuple[Edited, list[Node]]], unit: str) -> Sequence[int]:
+    """Offsets in code points of the texts' nodes, one after the other, in the wanted unit."""
+    if unit == OFFSETS[0] or all(t.original.isascii() for t, _ in texts):
+        return at
+    out, done = np.array(at, np.int64), 0
+    for t, own in texts:
+        if own and not t.original.isascii():
+            points = np.frombuffer(t.original.encode("utf-32-le", "surrogatepass"), np.uint32)
+            size = 1 + (points > 0xFFFF) if unit == "utf-16" else 1 + (points > 0x7F).astype(int) + (points > 0x7FF) + (points > 0xFFFF)
+            out[done : done + len(own)] = np.concatenate(([0], np.cumsum(size)))[out[done : done + len(own)]]
+        done += len(own)
+    return out
 
 
 def morphemes(df: DataFrame) -> DataFrame:

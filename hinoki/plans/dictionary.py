@@ -220,9 +220,15 @@ class Compiled:
     def _flat(self) -> None:
         self.rows, self.cols = self.matrix.shape
         self.cells = memoryview(np.ascontiguousarray(self.matrix, np.int16).reshape(-1))
+        self.firsts = np.zeros(0x110000, bool)
+        self.firsts[[ord(c) for c in self.longest]] = True
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "cells"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("cells", "firsts")}
+
+    def may_begin(self, text: str) -> np.ndarray:
+        """For each character whether any word begins with it."""
+        return self.firsts[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)]
 
     def __setstate__(self, state):
         self.__dict__.update(state)
@@ -231,6 +237,8 @@ class Compiled:
     def prefixes(self, text: str, at: int) -> list[Word]:
         """Words starting at an offset: by lexicon, then shorter headword, then word id."""
         most, get = min(self.longest.get(text[at], 0), len(text) - at), self.index.get
+        if not most:
+            return []
         found = [w for n in range(1, most + 1) for w in get(text[at : at + n], ())]
         if len(found) > 1:
             found.sort(key=lambda w: (w.dict_id, w.length, w.word_id))

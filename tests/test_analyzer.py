@@ -263,6 +263,73 @@ def test_lattice_tables_stay_within_rows(spark):
         assert not any(x in plan for x in ("hashpartitioning", "Window", "SortMergeJoin"))
 
 
+def _table(tmp_path, texts) -> str:
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    n = len(texts)
+    pq.write_table(pa.table({"doc_id": pa.array(range(n), pa.int64()), "text": pa.array(texts, pa.string()), "lang": ["en"] * n, "source": ["a"] * n}), f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_chains_of_unknown_words_equal_single_steps(monkeypatch):
+    class Stepwise(SimpleOov):
+        """Another class, whose nodes are inserted one by one."""
+
+    rng, made = random.Random(4), []
+    words = [("the", 100, "名詞"), ("the of", 150, "名詞"), ("o", 5, "名詞"), ("7", 9, "名詞"), ("個", 100, "接尾辞,名詞的,助数詞")]
+    for matrix in (np.zeros((1, 1), np.int16), np.full((1, 1), -7, np.int16)):
+        for kind in (SimpleOov, Stepwise):
+            made.append(Engine(compiled(words, matrix), oov=[CounterOov(), kind(NOUN, register=True)]))
+    for _ in range(60):
+        text = "".join(rng.choice(["the ", "the of", "off", " ", "xyz", "7", "こ", "あ", "Ж", "\n"]) for _ in range(rng.randint(1, 25)))
+        for fast, slow in (made[:2], made[2:]):
+            assert fast.tokenize(text) == slow.tokenize(text)
+            assert json.loads(fast.dump(text)) == json.loads(slow.dump(text))
+    calls = []
+    monkeypatch.setattr(SimpleOov, "provide", lambda self, c, at, seen, f=SimpleOov.provide: calls.append(at) or f(self, c, at, seen))
+    assert len(made[0].tokenize("abc def ghi jkl")) == 7 and not calls
+
+
+def test_unknown_words_are_remembered():
+    categories = CategoryOov({"DEFAULT": (True, True, 2), "ALPHA": (True, True, 0)}, [("ALPHA", 0, 0, 5, NOUN)], True)
+    for p in (SimpleOov(NOUN, register=True), RegexOov("[a-z]+", NOUN, register=True), categories):
+        p.set_up(compiled([]))
+        a, b = (p.provide(Chars.of("abc", Categories()), 0, set())[0].word for _ in range(2))
+        assert a is b and (a.surface, a.length) == ("abc", 3)
+
+
+def test_offsets_in_all_units_at_once(spark, engine):
+    df = spark.createDataFrame([("東😀é",)], "text string").coalesce(1)
+    m = engine.tokenize_table(df, fields=["begin", "end", "surface"], offsets=("code points", "utf-16", "bytes")).collect()[0]["morphemes"]
+    assert [(x["begin_utf_16"], x["end_code_points"], x["end_utf_16"], x["end_bytes"]) for x in m][-1] == (3, 3, 4, 9)
+
+
+def test_tables_are_dealt_and_batches_bounded(spark, tmp_path):
+    from hinoki.functions import charclass, normalize
+    from hinoki.functions.batches import dealt
+
+    spark.range(60).repartition(6).write.parquet(f"{tmp_path}/six")
+    cores = spark.sparkContext.defaultParallelism
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    six = spark.read.parquet(f"{tmp_path}/six")
+    assert cores <= six.rdd.getNumPartitions() < 4 * cores == dealt(six).rdd.getNumPartitions()
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    path, rows = _table(tmp_path, ["Ab 12"]), "spark.sql.execution.arrow.maxRecordsPerBatch"
+    for f in (lambda: charclass.runs_column(F.col("x")), lambda: normalize.normalize_column(F.col("x"), []), lambda: rule_queries.offset_map(spark, path), lambda: queries.tokenize_documents(spark, path)):
+        spark.conf.set(rows, "10000")
+        f()
+        assert spark.conf.get(rows) == "1000"
+
+
+def test_counts_have_no_row_for_each_morpheme(spark, tmp_path):
+    path = _table(tmp_path, ["the of 12 x", "", None])
+    for name in ("tokenize_documents", "oov_rate_by_lang", "morphemes_by_source"):
+        plan = queries.QUERIES[name](spark, path)._jdf.queryExecution().executedPlan().toString()
+        assert "Generate" not in plan
+    assert [tuple(r) for r in queries.tokenize_documents(spark, path).collect()] == [(0, 7, 6)]
+
+
 def test_split_modes_and_ids(engine):
     assert surfaces(engine, "東京都", "A") == ["東京", "都"] and surfaces(engine, "東京都") == ["東京都"] == surfaces(engine, "東京都", "B")
     m = engine.tokenize("京都")[0]
