@@ -1,6 +1,7 @@
 """Goldens and properties of the analyzer."""
 
 import json
+import os
 import random
 import shutil
 import time
@@ -582,3 +583,29 @@ def test_query_matches_sql(spark, name):
     assert cols == sorted(want.columns)
     order = [want.columns.index(c) for c in cols]
     assert sorted(map(str, (tuple(r[c] for c in cols) for r in got.collect()))) == sorted(str(tuple(r[i] for i in order)) for r in want.fetchall())
+
+
+def test_keys_of_a_stream_share_groups(spark, engine, tmp_path):
+    """In two buckets every key keeps its own state, the null key too, and all states go."""
+    keys = [None, "null", *map(str, range(9))]
+    for n, rows in enumerate(([(k, 1, "行く。", True) for k in keys[:-1]], [(k, 0, "京都に行く。東京に", False) for k in keys])):
+        time.sleep(0.01)
+        spark.createDataFrame(rows, "key string, seq long, chunk string, last boolean").coalesce(1).write.parquet(f"{tmp_path}/in/a={n}")
+    stream = spark.readStream.schema("key string, seq long, chunk string, last boolean, a int").option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in").drop("a")
+    q = sentence_stream(stream, engine, buckets=2).writeStream.format("memory").queryName("shared_groups").outputMode("append").option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = sorted(map(tuple, spark.table("shared_groups").collect()), key=str)
+    first, second = (0, "京都に行く。", "京都 に 行く 。"), (1, "東京に行く。", "東京 に 行く 。")
+    want = [(k, *s) for k in keys for s in ((first, second) if k != "8" else (first,))]
+    assert got == sorted(want, key=str)
+    assert max(p["stateOperators"][0]["numRowsTotal"] for p in q.recentProgress) <= 2 and q.recentProgress[-1]["stateOperators"][0]["numRowsTotal"] == 1
+
+
+def test_triggers_of_stream_sentences_dont_grow_with_files(spark, tmp_path):
+    spark.range(40).select(F.col("id").alias("doc_id")).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.files.openCostInBytes", "128m")
+    done = queries.QUERIES["stream_sentences"](spark, str(tmp_path))
+    spark.conf.unset("spark.sql.files.openCostInBytes")
+    root = done.inputFiles()[0].rsplit("/out/", 1)[0].removeprefix("file://")
+    assert len([x for x in os.listdir(f"{root}/state/commits") if not x.startswith(".")]) == 2
+    assert done.count() == 40
