@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Sequence
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -68,6 +69,14 @@ class Categories:
                 masks[i] |= m
         self.edges, self.masks = edges, [m or BITS["DEFAULT"] for m in masks]
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "table"}
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """The mask of every code point."""
+        return np.repeat(np.array(self.masks, np.uint16), np.diff([*self.edges, max(0x110000, self.edges[-1])]))
+
     def segments(self) -> list[tuple[int, int, int]]:
         """Disjoint (low, high, mask) over all code points."""
         return [(a, b - 1, m) for a, b, m in zip(self.edges, [*self.edges[1:], 0x110000], self.masks)]
@@ -77,8 +86,7 @@ class Categories:
 
     def of(self, text: str) -> np.ndarray:
         """Masks of all code points."""
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        return np.asarray(self.masks)[np.searchsorted(np.asarray(self.edges), points, "right") - 1]
+        return self.table[np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)].astype(np.int64)
 
     def points(self, wanted: Callable[[int], bool]) -> str:
         """The inside of a regular expression's class for the code points whose mask is wanted."""

@@ -6,6 +6,7 @@ import gc
 import json
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +20,7 @@ from ..functions.charclass import Categories
 from ..functions.normalize import DefaultRewrite, Edited, normalized
 from ..plans.dictionary import Compiled
 from . import lattice
-from .lattice import Chars, Lattice, Node
+from .lattice import Chain, Chars, Lattice, Node
 
 MORPHEME = "begin int, end int, surface string, pos array<string>, pos_id int, dictionary_form string, normalized_form string, reading_form string, is_oov boolean, word_id int, dictionary_id int, synonym_group_ids array<int>, total_cost long, original string"
 _ARROW = {"int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string()), "array<int>": pa.list_(pa.int32())}
@@ -43,12 +44,12 @@ class Engine:
             p.set_up(self.dictionary)
 
     # -- one text ---------------------------------------------------------------
-    def lattice(self, text: str) -> tuple[Chars, Lattice, list[Node]]:
+    def lattice(self, text: str) -> tuple[Chars, Lattice, Sequence[Node]]:
         c = Chars.of(text, self.categories)
         lat = lattice.build(self.dictionary, c, self.oov)
         return c, lat, lat.path()
 
-    def path_of(self, text: str, mode: str) -> list[Node]:
+    def path_of(self, text: str, mode: str) -> Sequence[Node]:
         """Best path of a normalized text, rewritten and split."""
         if mode not in MODES:
             raise ValueError(f"unknown split mode {mode}")
@@ -58,6 +59,8 @@ class Engine:
             return []
         c, lat, path = self.lattice(text)
         path = lattice.neko(self.dictionary, path, lat)
+        if self.path:
+            path = list(path)
         for p in self.path:
             path = p.rewrite(c, path, lat)
         return lattice.split(self.dictionary, path, mode)
@@ -69,18 +72,20 @@ class Engine:
     def tokenize(self, text: str, mode: str = "C") -> list[dict]:
         return self.analyse(normalized(text, self.input), mode)
 
-    def columns(self, done: Sequence[tuple[Edited, list[Node]] | None], fields: Sequence[str], offsets: str | Sequence[str]) -> pa.ListArray:
+    def columns(self, done: Sequence[tuple[Edited, Sequence[Node]] | None], fields: Sequence[str], offsets: str | Sequence[str]) -> pa.ListArray:
         """list<struct> of the fields of each text's nodes, column by column; None gives null."""
         texts = list(filter(None, done))
-        nodes, pos = [n for _, own in texts for n in own], self.dictionary.pos
+        pos = self.dictionary.pos
+        # What a chain knows without its nodes doesn't make them.
+        nodes = [n for _, own in texts for n in own] if set(fields) - {"begin", "end", "surface", "is_oov"} else []
         makers = {
-            "surface": lambda: [n.word.surface for n in nodes],
+            "surface": lambda: [x for _, own in texts for x in (own.surfaces() if isinstance(own, Chain) else (n.word.surface for n in own))],
             "pos": lambda: [pos[n.word.pos_id] for n in nodes],
             "pos_id": lambda: [n.word.pos_id for n in nodes],
             "dictionary_form": lambda: [n.word.dict_form for n in nodes],
             "normalized_form": lambda: [n.word.normalized for n in nodes],
             "reading_form": lambda: [n.word.reading for n in nodes],
-            "is_oov": lambda: [n.is_oov for n in nodes],
+            "is_oov": lambda: [x for _, own in texts for x in (repeat(True, len(own)) if isinstance(own, Chain) else (n.is_oov for n in own))],
             "word_id": lambda: [n.word.word_id for n in nodes],
             "dictionary_id": lambda: [-1 if n.is_oov else n.word.dict_id for n in nodes],
             "synonym_group_ids": lambda: [n.word.synonyms for n in nodes],
@@ -92,7 +97,8 @@ class Engine:
             if f in makers:
                 columns[f] = pa.array(makers[f](), _ARROW[FIELDS[f]])
                 continue
-            at = [t.origin[n.begin] for t, own in texts for n in own] if f == "begin" else [t.origin[n.end] for t, own in texts for n in own]
+            side = lattice.begins if f == "begin" else lattice.ends
+            at = [t.origin[i] for t, own in texts for i in side(own)]
             for suffix, unit in _suffixes(offsets).items():
                 columns[f + suffix] = pa.array(_in_unit(at, texts, unit), pa.int32())
         flat = pa.StructArray.from_arrays(list(columns.values()), names=list(columns))
@@ -211,7 +217,7 @@ def _list_type(fields: Sequence[str], offsets: str | Sequence[str] = OFFSETS[0])
     return T.ArrayType(T.StructType.fromDDL(", ".join(f"`{f}` {kind}" for f, kind in names.items())))
 
 
-def _in_unit(at: list[int], texts: Sequence[tuple[Edited, list[Node]]], unit: str) -> Sequence[int]:
+def _in_unit(at: list[int], texts: Sequence[tuple[Edited, Sequence[Node]]], unit: str) -> Sequence[int]:
     """Offsets in code points of the texts' nodes, one after the other, in the wanted unit."""
     if unit == OFFSETS[0] or all(t.original.isascii() for t, _ in texts):
         return at

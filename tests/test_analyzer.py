@@ -301,6 +301,44 @@ def test_chains_of_unknown_words_equal_single_steps(monkeypatch):
     assert len(made[0].tokenize("abc def ghi jkl")) == 7 and not calls
 
 
+def test_idle_patterns_leave_chains(monkeypatch):
+    class Stepwise(SimpleOov):
+        """Another class, whose nodes are inserted one by one."""
+
+    def outcome(e, text):
+        try:
+            return e.tokenize(text), json.loads(e.dump(text))
+        except ValueError as error:  # a pattern may end inside a word
+            return str(error)
+
+    rng = random.Random(6)
+    words = [("the", 100, "名詞"), ("o", 5, "名詞")]
+    for regex, strict, longest in (("(?!)", True, 32), ("[a-z]+(?! )", True, 4), ("[0-9a-z-]+$", False, 3), ("x*", True, 32), ("(?<=7)[a-z ]+", False, 5), ("あ+", True, 0)):
+        for own, matrix in (([], np.zeros((1, 1), np.int16)), (words, np.full((1, 1), 9, np.int16))):
+            fast, slow = (Engine(compiled(own, matrix), oov=[RegexOov(regex, NOUN, longest=longest, strict=strict, register=True), kind(NOUN, register=True)]) for kind in (SimpleOov, Stepwise))
+            for _ in range(40):
+                text = "".join(rng.choice(["the ", "off", " ", "xyz", "x-", "7", "あ", "ねこと", "Ж", "\n", "７ａ"]) for _ in range(rng.randint(1, 12)))
+                assert outcome(fast, text) == outcome(slow, text), (regex, text)
+    calls, never = [], Engine(compiled([]), oov=[RegexOov("(?!)", NOUN, register=True), SimpleOov(NOUN, register=True)])
+    monkeypatch.setattr(RegexOov, "provide", lambda self, c, at, seen, f=RegexOov.provide: calls.append(at) or f(self, c, at, seen))
+    monkeypatch.setattr(lattice, "Node", lambda *a, f=lattice.Node, **k: calls.append(a) or f(*a, **k))
+    texts = [normalize.normalized(x, never.input) for x in ("abc def", "😀あ", "")]
+    done = [(t, never.path_of(t.text, "A")) for t in texts]
+    made = never.columns(done, ["is_oov", "begin", "end", "surface"], ("bytes",)).to_pylist()
+    assert [[(x["begin_bytes"], x["end_bytes"], x["surface"]) for x in m] for m in made] == [[(0, 3, "abc"), (3, 4, " "), (4, 7, "def")], [(0, 4, "😀"), (4, 7, "あ")], []]
+    assert all(x["is_oov"] for m in made for x in m) and len(calls) == 2  # the beginnings of two lattices
+    with pytest.raises(ValueError, match="not reachable"):
+        Engine(compiled([], np.array([[0, 0], [32767, 0]], np.int16)), oov=[SimpleOov(NOUN, 1, 1, register=True)]).tokenize("ab c")
+
+
+def test_a_subclass_of_the_pattern_is_asked_everywhere():
+    class Other(RegexOov):
+        def provide(self, c, at, seen):
+            return [lattice.Node(at, len(c.text), self.words[c.text[at:]], True)] if at == 1 else []
+
+    assert surfaces(Engine(compiled([]), oov=[Other("(?!)", NOUN, register=True), SimpleOov(NOUN, cost=1, register=True)]), "あいう") == ["あ", "いう"]
+
+
 def test_unknown_words_are_remembered():
     categories = CategoryOov({"DEFAULT": (True, True, 2), "ALPHA": (True, True, 0)}, [("ALPHA", 0, 0, 5, NOUN)], True)
     for p in (SimpleOov(NOUN, register=True), RegexOov("[a-z]+", NOUN, register=True), categories):
