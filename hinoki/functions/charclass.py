@@ -101,13 +101,12 @@ def runs(masks: Sequence[int] | np.ndarray) -> np.ndarray:
     """
     masks = np.asarray(masks, np.int64)
     n, at = len(masks), np.arange(len(masks))
-    out = np.zeros(n, np.int64)
+    found, ends = np.bitwise_or.reduce(masks, initial=0), at.copy()
     for bit in BITS.values():
-        has = (masks & bit) != 0
-        if has.any():
-            ends = np.append(np.flatnonzero(~has), n)
-            out = np.maximum(out, np.where(has, ends[np.searchsorted(ends, at)] - at, 0))
-    return out
+        if found & bit:
+            # From behind: the next position without the category, or the end.
+            np.maximum(ends, np.minimum.accumulate(np.where(masks & bit, n, at)[::-1])[::-1], out=ends)
+    return ends - at
 
 
 def can_begin(masks: Sequence[int] | np.ndarray) -> np.ndarray:

@@ -339,6 +339,28 @@ def test_a_subclass_of_the_pattern_is_asked_everywhere():
     assert surfaces(Engine(compiled([]), oov=[Other("(?!)", NOUN, register=True), SimpleOov(NOUN, cost=1, register=True)]), "あいう") == ["あ", "いう"]
 
 
+def test_category_spans_equal_single_words(spark, tmp_path, monkeypatch):
+    texts = ["", "ab 12,5 #%& xy", "東京都に行く", "カタカナとＡＢc", "一二三〇x", "ЖЖα😀 \n\t", "  aé--7"]
+    rules = src.parse_unknown_rules(definitions.UNKNOWN_WORDS)
+    for categories in (charclass.default_rules(), {k: (i % 2 == 0, i % 3 > 0, i % 4) for i, k in enumerate(charclass.default_rules())}):
+        p = CategoryOov(categories, rules, True)
+        p.set_up(rule_queries._large())
+        for t in texts:
+            c = Chars.of(t, Categories())
+            want = [(n.begin, n.end, n.word.surface, n.word.left_id, n.word.pos_id) for at in c.starts for n in p.provide(c, at, set())]
+            made = [(a, b, w[t[a:b]]) for w, begins, ends in p.spans(c) for a, b in zip(begins.tolist(), ends.tolist())]
+            assert sorted((a, b, w.surface, w.left_id, w.pos_id) for a, b, w in made) == sorted(want)
+    masks = np.array([random.Random(i).randrange(64) for i in range(300)])
+    slow = [next((k for k in range(len(masks) - i + 1) if i + k == len(masks) or not np.bitwise_and.reduce(masks[i : i + k + 1])), 0) for i in range(len(masks))]
+    assert charclass.runs(masks).tolist() == slow and charclass.runs([]).tolist() == []
+    monkeypatch.setattr(CategoryOov, "provide", None)
+    path = _table(tmp_path, [*texts, None])
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet' WHERE doc_id IN (1, 6)")
+    made = {tuple(r) for r in rule_queries.oov_category(spark, path).collect()}
+    assert set(con.sql(queries.SQL["oov_category"]).fetchall()) <= made and len(made) == len(texts) - 1
+
+
 def test_unknown_words_are_remembered():
     categories = CategoryOov({"DEFAULT": (True, True, 2), "ALPHA": (True, True, 0)}, [("ALPHA", 0, 0, 5, NOUN)], True)
     for p in (SimpleOov(NOUN, register=True), RegexOov("[a-z]+", NOUN, register=True), categories):
