@@ -37,7 +37,8 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
     The library's model encodes a pre-token when it is first met; texts with special
     strings are encoded by the library in one piece. A byte-level pre-token holds a space
     after other characters only in a run of white space, so a text may be cut before each
-    space that has no white space beside it, and what lies between two cuts is remembered whole.
+    space that has no white space beside it, and before and after each such line break.
+    What lies between two cuts is remembered whole.
     """
 
     words, runs = _memos(file, path)
@@ -47,7 +48,8 @@ def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int)
         if t and file.added_split is not None and file.added_split.search(t):
             out.append(array("I", file.library.encode(t, add_special_tokens=False).ids).tobytes() + end)
             continue
-        rest = (t or "").split(" ") if cuts else [t or ""]
+        # A line break gets a space before it, so it begins what follows a cut.
+        rest = (t or "").replace("\n", " \n").split(" ") if cuts else [t or ""]
         first = rest.pop(0)
         if not first[-1:].isspace():
             try:
@@ -77,7 +79,12 @@ def _memos(file: BpeFile, path: str) -> tuple[Memo, Memo]:
     words = Memo(encode)
 
     def run(rest: str) -> bytes | None:
-        """Ids of what follows a space, if it isn't plain letters; None where the cut isn't safe."""
+        """Ids of what follows a space or begins with a line break, if it isn't plain letters; None where the cut isn't safe."""
+        if rest[:1] == "\n":
+            line = rest[1:]
+            if not line or line[0].isspace() or line[-1].isspace():
+                return None
+            return words["\n"] + b"".join(map(words.__getitem__, file.pieces(line)))
         core = rest.strip(_MARKS)
         plain = core.isalpha() if core.isascii() else core.isalpha() and not NOT_LATIN.search(core)
         if plain or (core.isascii() and core.isdigit()):

@@ -127,6 +127,21 @@ def test_token_orc_cuts_at_spaces_as_the_library(name):
         assert token_orc.library_ids(file, path, [text], 2) == [struct.pack(f"<{len(ids) + 1}I", *ids, 2)], repr(text)
 
 
+def test_line_breaks_cut_what_is_remembered():
+    from hinoki.llm.process import process_cache
+
+    path = vocabulary("byte_bpe_50k.json")
+    file, rng = bpe.bpe_file(path), random.Random(5)
+    process_cache().files.pop(("library", path), None)
+    for _ in range(400):
+        text = "".join(rng.choice(["\n", "\n", " ", "the.", "Über", "it's", "\t", "\r\n", "12", "&&", "\x1c", "\x85", "\u2028", "東", "e\u0301", "'"]) for _ in range(rng.randint(1, 9)))
+        ids = file.library.encode(text, add_special_tokens=False).ids
+        assert token_orc.library_ids(file, path, [text], 2) == [struct.pack(f"<{len(ids) + 1}I", *ids, 2)], repr(text)
+    token_orc.library_ids(file, path, ["so end.\nNext one&&\nlast"], 2)
+    _, runs = process_cache().files["library", path]
+    assert "end." in runs and "\nNext" in runs and not any("\n" in r[1:] for r in runs)
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 40])
 def test_range_numbers(spark, n):
     from bisect import bisect_left
