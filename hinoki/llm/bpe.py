@@ -37,7 +37,7 @@ _LATIN_RANGE = "\x00-\x1b\x20-\x84\x86-\u024f\u2010-\u2027\u2030-\u205e"
 NOT_LATIN = re.compile(f"[^{_LATIN_RANGE}]")
 _UNUSUAL = re.compile(f"[^{_LATIN_RANGE}\u0391-\u03a1\u03a3-\u03c9\u0410-\u044f\u3041-\u3096\u30a1-\u30fa\u4e00-\u9fa5]")
 #: What the classes of the files' patterns are within the Latin range.
-_LETTERS, _NUMBERS, _WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
+LETTERS, NUMBERS, WHITE = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "0-9\xb2\xb3\xb9\xbc-\xbe", "\t-\r \xa0"
 
 
 def byte_chars() -> list[str]:
@@ -82,10 +82,10 @@ class BpeFile:
         steps = pre["pretokenizers"] if pre["type"] == "Sequence" else [pre]
         split = next((s["pattern"]["Regex"] for s in steps if s["type"] == "Split"), None)
         self.pattern = regex.compile(split or BYTE_LEVEL)
-        latin = (split or BYTE_LEVEL).replace(r"[^\s\p{L}\p{N}]", f"[^{_WHITE}{_LETTERS}{_NUMBERS}]")
-        for name, chars in ((r"\p{L}", _LETTERS), (r"\p{N}", _NUMBERS)):
+        latin = (split or BYTE_LEVEL).replace(r"[^\s\p{L}\p{N}]", f"[^{WHITE}{LETTERS}{NUMBERS}]")
+        for name, chars in ((r"\p{L}", LETTERS), (r"\p{N}", NUMBERS)):
             latin = latin.replace(f"[{name}]", name).replace(name, f"[{chars}]")
-        self.latin = re.compile(latin.replace(r"\s", f"[{_WHITE}]").replace(r"\S", f"[^{_WHITE}]"))
+        self.latin = re.compile(latin.replace(r"\s", f"[{WHITE}]").replace(r"\S", f"[^{WHITE}]"))
         self.folds = spec["normalizer"] is not None
         self.byte_decoder = (spec.get("decoder") or {}).get("type") == "ByteLevel"
         self.path = path

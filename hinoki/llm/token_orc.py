@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from . import ranges
+from . import pretokens, ranges
 from .bpe import BYTE_LEVEL, LONGEST, NOT_LATIN, BpeFile, Memo, bpe_file, int_lists
 from .process import map_batches, process_cache
 from .textkernel import slices
 
 STRIDE = 1000
 STRIPE_BYTES = 32 << 20
+#: Bytes of texts whose pre-tokens are told apart at once, about.
+UNIT = 4 << 20
 #: Strings between spaces that a process remembers, in two generations.
 RUNS = 400_000
 #: ASCII marks; the apostrophe is left out, as it may begin a contraction.
@@ -32,7 +34,7 @@ SCHEMA = "doc_id long, part int, pos long, n_tokens int, ids array<int>"
 
 
 def library_ids(file: BpeFile, path: str, texts: list[str | None], end_id: int) -> list[bytes]:
-    """Packed ids of whole texts from the library, ``end_id`` appended to each.
+    """Packed ids of whole texts from the library, ``end_id`` appended to each; for texts that ``pretokens`` leaves.
 
     The library's model encodes a pre-token when it is first met; texts with special
     strings are encoded by the library in one piece. A byte-level pre-token holds a space
@@ -119,6 +121,18 @@ def _memos(file: BpeFile, path: str) -> tuple[Memo, Memo]:
     return words, runs
 
 
+def encoded(file: BpeFile, path: str, col: pa.Array, end_id: int) -> pa.Array:
+    """Ids of whole texts, ``end_id`` appended to each: by pre-tokens of all texts at once where they can be cut so, else by ``library_ids``."""
+    if file.pattern.pattern != BYTE_LEVEL or file.folds:
+        return int_lists(library_ids(file, path, col.to_pylist(), end_id))
+    ids, usual = pretokens.encoded(file, path, col, end_id)
+    if usual.all():
+        return ids
+    rest = int_lists(library_ids(file, path, col.filter(pa.array(~usual)).to_pylist(), end_id))
+    order = np.where(usual, np.cumsum(usual) - 1, len(ids) + np.cumsum(~usual) - 1)
+    return pa.concat_arrays([ids, rest]).take(pa.array(order))
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every row and write it to ``path``.
 
@@ -137,8 +151,8 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, id_col
 
         file, part, pos = bpe_file(tokenizer), TaskContext.get().partitionId(), 0
         for whole in batches:
-            for b in slices(whole, 1):
-                ids = int_lists(library_ids(file, tokenizer, b.column(1).to_pylist(), end_id))
+            for b in slices(whole, 1, UNIT):
+                ids = encoded(file, tokenizer, b.column(1), end_id)
                 n = b.num_rows
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(n, part, np.int32)), pa.array(np.arange(pos, pos + n)), ids.value_lengths(), ids], names=["doc_id", "part", "pos", "n_tokens", "ids"])
                 pos += n

@@ -5,8 +5,9 @@ import random
 import struct
 import zlib
 
+import pyarrow as pa
 import pytest
-from hinoki.llm import bpe, order_minhash, quality, queries, token_count, token_orc
+from hinoki.llm import bpe, order_minhash, pretokens, quality, queries, token_count, token_orc
 from hinoki.llm.queries import vocabulary
 from hinoki.llm.scratch import Scratch
 from pyspark.sql import functions as F
@@ -142,6 +143,39 @@ def test_line_breaks_cut_what_is_remembered():
     assert "end." in runs and "\nNext" in runs and not any("\n" in r[1:] for r in runs)
 
 
+@pytest.mark.parametrize("most", [60, 400_000])
+def test_token_orc_batches_as_the_library(monkeypatch, most):
+    """Batches of any texts, also when what is remembered is full again and again."""
+    from hinoki.llm.process import process_cache
+
+    path = vocabulary("byte_bpe_50k.json")
+    file, rng = bpe.bpe_file(path), random.Random(most)
+    monkeypatch.setattr(pretokens, "REMEMBERED", most)
+    process_cache().files.pop(("remembered", path, 2), None)
+    latin = ["\n", "\n", " ", " ", "  ", "\t", "\r\n", "\x0b", "the.", "Über", "it's", "'s", "'re", "'ll", "'d", "'x", "'", "''", " '", "s", "12", "²", "½", "&&", "×", "\x00", "\x7f", "—", "⁞", "ª", "ɏ", "7" * 250]
+    other = ["\x1c", "\x85", "\xa0", "\u2003", "\u2028", "東", "e\u0301", "ɐ", "😀", "<|endoftext|>", "<|end"]
+    for size in [0, 1, 2, 300, 300, 300]:
+        texts = [None if rng.random() < 0.03 else "".join(rng.choices(latin if rng.random() < 0.8 else latin + other, k=rng.randrange(14))) for _ in range(size)]
+        got = token_orc.encoded(file, path, pa.array(["left out", *texts], pa.string()).slice(1), 2)
+        assert got.to_pylist() == [[*file.library.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
+    edges = ("", "a", "1", " ", "\n", ".")
+    texts = [a + chr(c) + b for c in [*range(0x255), *range(0x200C, 0x2064)] for a in edges for b in edges]
+    got = token_orc.encoded(file, path, pa.array(texts), 2).to_pylist()
+    assert got == [[*file.library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+
+def test_pretokens_meet_the_library_once(monkeypatch):
+    """Marks don't make other strings of words, and a batch asks for each of its pre-tokens once."""
+    path = vocabulary("byte_bpe_50k.json")
+    memo, asked = pretokens.Remembered(bpe.bpe_file(path), 2), []
+    monkeypatch.setattr(pretokens, "remembered", lambda *a: memo)
+    monkeypatch.setattr(memo, "_encode", lambda words, encode=memo._encode: asked.extend(words) or encode(words))
+    for _ in range(2):
+        lists, usual = pretokens.encoded(bpe.bpe_file(path), path, pa.array([f"one thaneon{m} thaneon\nthaneon{m}" for m in ("", ".", ",", ";", "...")]), 2)
+    assert usual.all() and len(lists) == 5
+    assert sorted(asked) == sorted(["one", " thaneon", "thaneon", "\n", ".", ",", ";", "..."])
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 5, 16, 17, 40])
 def test_range_numbers(spark, n):
     from bisect import bisect_left
